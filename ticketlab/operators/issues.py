@@ -30,6 +30,28 @@ def terms_regex(terms=K.DATA_QUALITY_TERMS) -> str:
     return "(?iu)" + "|".join(K.portable_regex(t) for t in terms)
 
 
+def search_regex(terms=K.DATA_QUALITY_TERMS) -> str:
+    """One pattern that finds any term, with the terms grouped by their first
+    word (``data\\s*(?:quality|governance|...)``). It matches exactly where the
+    plain alternation matches, but the engine tries ~10 branches per
+    character instead of ~47."""
+    ws = r"\s*"
+    groups: dict[str, list[str]] = {}
+    for t in terms:
+        head, sep, rest = t.partition(ws)
+        groups.setdefault(head, []).append(rest if sep else "")
+    parts = []
+    for head, rests in groups.items():
+        rests = list(dict.fromkeys(rests))
+        if "" in rests:  # the first word alone is a term: it covers the rest
+            parts.append(head)
+        elif len(rests) == 1:
+            parts.append(head + ws + rests[0])
+        else:
+            parts.append(head + ws + "(?:" + "|".join(rests) + ")")
+    return "(?iu)" + K.portable_regex("|".join(parts))
+
+
 def _issue_fields(df: DataFrame, cfg: IssueConfig) -> list[str]:
     return [f for f in cfg.fields if f in df.columns]
 
@@ -51,7 +73,7 @@ def has_term(df: DataFrame, cfg: IssueConfig = IssueConfig()) -> Column:
     """A data-quality term in any issue field. Every term contains an anchor
     word, so the short anchor pattern runs first and the long one only on
     fields that pass it (same matches, less regex work)."""
-    full = terms_regex(cfg.terms)
+    full = search_regex(cfg.terms)
     anchor = "(?iu)" + "|".join(cfg.anchors)
     m = F.lit(False)
     for f in _issue_fields(df, cfg):

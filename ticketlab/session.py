@@ -56,14 +56,18 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return d
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, num_files: int | None = None) -> DataFrame:
     """Write ``df`` as Parquet under the shared checkpoint folder and read it back.
 
     Cuts the lineage: a lost executor re-reads the written table instead of
     recomputing the whole plan. Used for inputs that many result tables share.
+    ``num_files`` spreads the rows evenly over that many files (a later scan
+    then splits into at least that many tasks).
     """
     spark = df.sparkSession
     root = ensure_checkpoint_dir(spark)
     path = os.path.join(root, f"{name}-{uuid.uuid4().hex}")
+    if num_files:
+        df = df.repartition(num_files)
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
