@@ -23,7 +23,8 @@ from ..session import ensure_checkpoint_dir
 
 
 def raw_ticket_schema(columns=K.SOURCE_COLUMNS) -> StructType:
-    """All-string schema in source-column order (a stream needs it up front)."""
+    """All-string schema in source-column order (a stream needs it up front;
+    files must carry these columns in this order)."""
     return StructType([StructField(c, StringType(), True) for c in columns])
 
 
@@ -34,7 +35,10 @@ def read_ticket_stream(spark: SparkSession, src_dir: str, fmt: str = "csv",
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", max_files_per_trigger)
     if fmt == "csv":
-        df = r.option("header", True).option("multiLine", True).option("escape", '"').csv(src_dir)
+        # a stream needs its schema up front; enforceSchema=false makes Spark
+        # check every file's header against it instead of trusting positions
+        df = (r.option("header", True).option("multiLine", True).option("escape", '"')
+              .option("enforceSchema", False).csv(src_dir))
     else:
         df = r.format(fmt).load(src_dir)
     renamed = df.select(*[F.col(f"`{c}`").alias(K.SOURCE_COLUMNS.get(c, c)) for c in df.columns])
