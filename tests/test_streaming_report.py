@@ -50,3 +50,25 @@ def test_quality_report_tables(spark):
     tables = quality_report_tables(q)
     assert tables["dq_totals"].first().unique_data_quality_issues == tables["dq_issues"].count()
     assert tables["dq_terms"].count() > 0
+
+
+def test_drop_time_zone_keeps_wall_time(spark):
+    from pyspark.sql import functions as F
+
+    from ticketlab.sources.sinks import drop_time_zone
+
+    df = spark.createDataFrame([("2025-01-28 10:00:00",)], "s string").select(F.to_timestamp("s").alias("ts"))
+    out = drop_time_zone(df)
+    assert dict(out.dtypes)["ts"] == "timestamp_ntz"
+    assert str(out.first().ts) == "2025-01-28 10:00:00"
+
+
+def test_field_consistency_bundle(spark):
+    from ticketlab.operators.similar import field_consistency
+
+    q = catalog.qinput(spark, SF)
+    out = field_consistency(q, "product_feature")
+    assert set(out) == {"case_variations", "value_counts", "similar_values"}
+    assert out["case_variations"].count() > 0 and out["value_counts"].count() > 0
+    for r in out["similar_values"].collect():
+        assert r.value < r.similar_value and 0.8 < r.ratio < 1.0

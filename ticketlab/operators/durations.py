@@ -111,6 +111,12 @@ def first_response_by_priority(t: DataFrame, method: str = "bracket") -> DataFra
                          "hours", method)
 
 
+def summarize(df: DataFrame) -> DataFrame:
+    """A14/A16 from an A13/A15 result: means and medians rounded half to even."""
+    prefix = "days" if "avg_days" in df.columns else "hours"
+    return _summary(df, prefix)
+
+
 def _summary(df: DataFrame, prefix: str) -> DataFrame:
     return df.select("priority",
                      round_half_even(f"avg_{prefix}", 1).alias(f"avg_{prefix}"),

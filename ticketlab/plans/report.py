@@ -1,9 +1,11 @@
 """The result-table sets behind the slide deck and the PDF.
 
-The cleaned, filtered tickets are written once to the shared checkpoint
-folder (lineage cut: a lost executor re-reads them); the count tables roll up
-from one base cube; the data-quality issues are written once and every
-quality table reads them.
+The filtered tickets without their long text columns are written once to the
+shared checkpoint folder, and so is the base cube (after its shuffle): a lost
+executor re-reads them instead of recomputing. Count tables roll up from the
+cube; duration tables read the narrow copy; word tables read their one text
+column straight from the source plan (column pruning: one column each). The
+data-quality issues are written once and every quality table reads them.
 """
 
 from __future__ import annotations
@@ -15,18 +17,23 @@ from pyspark.sql import DataFrame
 from ..operators import durations, metrics, trends, words
 from ..operators.issues import IssueConfig, data_quality_issues, dq_issues
 from ..session import materialize
-from ..sources.sinks import write_result_csv
+from ..sources.sinks import write_result_csv, write_table
 
 WORD_COLUMNS = ("subject", "description", "pod_name", "product_area", "product_feature")
+LONG_TEXT = ("subject", "description")
 
 
 def report_tables(t: DataFrame, persist: bool = True) -> dict[str, DataFrame]:
     """Every ticket report table, keyed by name, from filtered tickets ``t``."""
+    narrow = t.drop(*LONG_TEXT)
     if persist:
-        t = materialize(t, "filtered-tickets")
-    cube = metrics.ticket_cube(t)
+        narrow = materialize(narrow, "filtered-tickets-narrow")
+    cube = metrics.ticket_cube(narrow)
     if persist:
         cube = materialize(cube, "ticket-cube")
+    # one row per priority: small and bounded, kept in memory for its summary
+    res = durations.resolution_by_priority(narrow).cache()
+    first = durations.first_response_by_priority(narrow).cache()
     out = {
         "overview_kpis": metrics.overview_kpis(cube),
         "top_accounts": metrics.top_accounts_labeled(cube),
@@ -36,10 +43,10 @@ def report_tables(t: DataFrame, persist: bool = True) -> dict[str, DataFrame]:
         "monthly_csat": trends.monthly_csat(cube),
         "priority_distribution": metrics.priority_distribution(cube),
         "escalation_by_priority": metrics.escalation_by_priority(cube),
-        "resolution_by_priority": durations.resolution_by_priority(t),
-        "resolution_summary": durations.resolution_summary(t),
-        "first_response_by_priority": durations.first_response_by_priority(t),
-        "first_response_summary": durations.first_response_summary(t),
+        "resolution_by_priority": res,
+        "resolution_summary": durations.summarize(res),
+        "first_response_by_priority": first,
+        "first_response_summary": durations.summarize(first),
         "area_distribution": metrics.area_distribution(cube),
         "area_feature_rollup": metrics.area_feature_rollup(cube),
         "rca_distribution": metrics.rca_distribution(cube),
@@ -59,11 +66,19 @@ def quality_report_tables(q: DataFrame, cfg: IssueConfig = IssueConfig(),
     return data_quality_issues(q, cfg, issues=iss)
 
 
+# tables that grow with the tickets: written as Parquet, never as one file
+TICKET_SIZED = {"dq_issues"}
+
+
 def write_report(tables: dict[str, DataFrame], out_dir: str) -> list[str]:
-    """Write each (small) table as one CSV file under ``out_dir``."""
+    """Write each result table under ``out_dir``: one CSV file per small
+    table, Parquet for ticket-sized ones."""
     paths = []
     for name, df in tables.items():
         p = os.path.join(out_dir, name)
-        write_result_csv(df, p)
+        if name in TICKET_SIZED:
+            write_table(df, p, partition_by=())
+        else:
+            write_result_csv(df, p)
         paths.append(p)
     return paths
