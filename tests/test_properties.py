@@ -110,3 +110,14 @@ def test_month_partition_filter_equals_plain(spark, tmp_path):
     assert sorted(r[0] for r in a.collect()) == sorted(r[0] for r in b.collect())
     plan = filters.filter_tickets(back, flt)._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(month" in plan
+
+
+def test_bracket_miss_falls_back_exactly(spark, monkeypatch):
+    # an inverted bracket holds no rows, so every group takes the fallback branch
+    monkeypatch.setattr(durations, "BRACKET_HALF_WIDTH", -0.4)
+    rnd = random.Random(5)
+    data = [(f"g{i % 3}", float(rnd.randint(0, 50))) for i in range(2000)] + [("solo", 3.0)]
+    df = spark.createDataFrame(data, "k string, v double")
+    a = {r.k: r.median for r in durations.exact_median(df, ["k"], "v").collect()}
+    b = {r.k: r.m for r in df.groupBy("k").agg(F.median("v").alias("m")).collect()}
+    assert a == pytest.approx(b)
