@@ -221,3 +221,15 @@ def test_filter_empty_lists(make_raw):
     assert filters.filter_tickets(t, filters.TicketFilter(accounts=(), priorities=())).count() == 0
     assert filters.filter_tickets(t, filters.TicketFilter(accounts=("B",))).count() == 1
     assert filters.filter_tickets(t, filters.TicketFilter(accounts=(), priorities=("P2",))).count() == 1
+
+
+def test_optional_columns_missing(make_raw):
+    raw = make_raw([{}, {"priority": "P2", "csat": "5"}]).drop("rca", "status", "case_owner", "first_response_at")
+    t = clean.clean_tickets(raw)
+    assert t.count() == 2 and "rca" not in t.columns
+    f = filters.filter_tickets(t, filters.TicketFilter.all_accounts())
+    assert metrics.overview_kpis(f).first().total_tickets == 2
+    assert metrics.ticket_cube(f).count() == 2
+    assert clean.cleaning_funnel(raw).count() == 5
+    q = clean.quality_input(raw)
+    assert issues.dp_tickets(q).count() == 0
