@@ -59,24 +59,29 @@ def _issue_fields(df: DataFrame, cfg: IssueConfig) -> list[str]:
 def dp_mask(df: DataFrame, cfg: IssueConfig = IssueConfig()) -> Column:
     """D9 predicate: DP/analytics in area, feature, subject, description or
     cause (case-insensitive substring), or the POD is the analytics POD or
-    starts with ``DP`` (case-sensitive)."""
-    m = F.lit(False)
-    for f in ("product_area", "product_feature", "subject", "description", "rca"):
+    starts with ``DP`` (case-sensitive).
+
+    Spark evaluates OR left to right and stops at the first true term, so the
+    cheap POD comparisons and the short fields come first and the long
+    description last."""
+    pod = F.col("pod_name")
+    m = F.coalesce(pod == cfg.dp_pod_name, F.lit(False)) | F.coalesce(pod.startswith(cfg.dp_pod_prefix), F.lit(False))
+    for f in ("product_area", "product_feature", "rca", "subject", "description"):
         if f in df.columns:
             m = m | contains_ci(f, cfg.dp_pattern)
-    pod = F.col("pod_name")
-    m = m | F.coalesce(pod == cfg.dp_pod_name, F.lit(False)) | F.coalesce(pod.startswith(cfg.dp_pod_prefix), F.lit(False))
     return m
 
 
 def has_term(df: DataFrame, cfg: IssueConfig = IssueConfig()) -> Column:
     """A data-quality term in any issue field. Every term contains an anchor
     word, so the short anchor pattern runs first and the long one only on
-    fields that pass it (same matches, less regex work)."""
+    fields that pass it (same matches, less regex work). Short fields are
+    tried before the description (OR stops at the first true term)."""
     full = search_regex(cfg.terms)
     anchor = "(?iu)" + "|".join(cfg.anchors)
+    fields = sorted(_issue_fields(df, cfg), key=lambda f: f == "description")
     m = F.lit(False)
-    for f in _issue_fields(df, cfg):
+    for f in fields:
         c = F.col(f)
         m = m | F.coalesce(c.rlike(anchor) & c.rlike(full), F.lit(False))
     return m
