@@ -34,6 +34,8 @@ def test_similarity_join_has_no_cross_product(spark):
     pl = plan(similar.similar_values(q, "rca"))
     assert "CartesianProduct" not in pl and "BroadcastNestedLoopJoin" not in pl
     assert "ArrowEvalPython" in pl and "BatchEvalPython" not in pl
+    # the ratio runs once, after all pruning (not pushed below it)
+    assert pl.count("ArrowEvalPython") == 1
 
 
 def test_topk_is_take_ordered(spark):

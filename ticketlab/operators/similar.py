@@ -5,10 +5,12 @@ an equi-join on shared bigrams, which loses no accepted pair:
 
 * ratio = 2M/T > 0.8 (M matched characters, T = both lengths) needs
   min(len)/max(len) > 2/3, and
-* the two strings share more than 0.2*T - 1 bigrams (counted as a multiset),
-  hence at least max(1, floor(l/3)) for a string of length l, whatever the
-  partner. With bigrams in one global order (rarest first), two such strings
-  share a bigram among their first l - max(1, floor(l/3)) ("prefix filter").
+* the two strings share more than 0.2*T - 1 bigrams (counted as a multiset:
+  every unmatched character breaks at most two bigrams of a string, every
+  inserted one at most one, so shared >= 3M - T - 1), hence at least
+  max(1, floor(l/3)) for a string of length l, whatever the partner. With
+  bigrams in one global order (rarest first), two such strings share a bigram
+  among their first l - max(1, floor(l/3)) ("prefix filter").
 
 Only candidate pairs reach the Python ratio (Arrow batches, stdlib difflib, the
 exact function the original uses); everything else is Spark expressions.
@@ -17,6 +19,7 @@ exact function the original uses); everything else is Spark expressions.
 from __future__ import annotations
 
 import difflib
+from fractions import Fraction
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -29,9 +32,21 @@ from .profile import case_variations, value_counts
 
 
 @pandas_udf(DoubleType())
-def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """difflib's SequenceMatcher(None, a, b).ratio() per row."""
-    return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)], dtype="float64")
+def sequence_ratio(a: pd.Series, b: pd.Series, t: pd.Series) -> pd.Series:
+    """difflib's SequenceMatcher(None, a, b).ratio() per row when it can
+    exceed ``t``, else -1. real_quick_ratio and quick_ratio are difflib's own
+    upper bounds of ratio, so a pair they reject cannot pass."""
+    out = []
+    for x, y, th in zip(a, b, t):
+        m = difflib.SequenceMatcher(None, x, y)
+        out.append(m.ratio() if m.real_quick_ratio() > th and m.quick_ratio() > th else -1.0)
+    return pd.Series(out, dtype="float64")
+
+
+# Marked non-deterministic only so that Catalyst keeps it where it is written:
+# otherwise the filter on its result is pushed below the candidate pruning and
+# the Python ratio runs on every raw join row.
+_RATIO = sequence_ratio.asNondeterministic()
 
 
 def _bigram_tokens(strings: DataFrame) -> DataFrame:
@@ -45,26 +60,83 @@ def _bigram_tokens(strings: DataFrame) -> DataFrame:
         "s", F.concat(F.col("bg"), F.lit("\u0000"), F.col("occ").cast("string")).alias("tok"))
 
 
-def similar_pairs(values: DataFrame, threshold: float = K.SIMILARITY_THRESHOLD) -> DataFrame:
+def _char_tokens(strings: DataFrame) -> DataFrame:
+    """(s, token) with token = character + occurrence number within s."""
+    chars = strings.select(
+        "s", F.posexplode(F.transform(F.sequence(F.lit(1), F.length("s")), lambda i: F.substring("s", i, 1)))
+        .alias("pos", "ch"))
+    w = Window.partitionBy("s", "ch").orderBy("pos")
+    return chars.withColumn("occ", F.row_number().over(w)).select(
+        "s", F.concat(F.col("ch"), F.lit("\u0000"), F.col("occ").cast("string")).alias("ctok"))
+
+
+def _fraction(threshold: float) -> tuple[int, int]:
+    if not (0.8 <= threshold < 1.0):
+        # below 0.8 a pair may share no bigram, so bigram blocking is not lossless
+        raise ValueError("similarity threshold must be in [0.8, 1)")
+    f = Fraction(threshold).limit_denominator(10**6)
+    return f.numerator, f.denominator
+
+
+def similar_pairs(values: DataFrame, threshold: float = K.SIMILARITY_THRESHOLD,
+                  num_partitions: int | None = None) -> DataFrame:
     """Pairs (x, y), x < y, of distinct strings with threshold < ratio < 1.
 
-    ``values`` has one string column ``s`` (distinct). The ratio is taken
-    as SequenceMatcher(None, x, y) with the smaller string first.
+    ``values`` has one string column ``s``. The ratio is taken as
+    SequenceMatcher(None, x, y) with the smaller string first. With
+    threshold = p/q, every test below is integer arithmetic:
+
+    * length band: 2*min/T > p/q;
+    * shared bigrams (multiset) > (3p - 2q)/(2q) * T - 1, at least
+      t(l) = max(1, floor((3p - 2q) * l / (2q - p))) for a string of length l
+      whatever its partner, so two such strings meet in their prefixes of
+      l - t(l) rarest bigrams (the blocking equi-join);
+    * positional filter: where a pair first meets, the bigrams left in each
+      string bound the overlap (drops most pairs that meet on common bigrams);
+    * the exact shared-bigram count of a candidate pair and its common
+      characters (difflib's quick_ratio bound: 2*common/T > p/q), both from
+      intersections of per-string token arrays, are checked before any Python
+      runs.
     """
+    p, q = _fraction(threshold)
+    a_num, a_den = 3 * p - 2 * q, 2 * q - p
     s = values.select("s").filter(F.length("s") >= 3).distinct()
     toks = _bigram_tokens(s)
     freq = toks.groupBy("tok").agg(F.count(F.lit(1)).alias("f"))
     ranked = toks.join(freq, "tok")
     w = Window.partitionBy("s").orderBy("f", "tok")
     ranked = ranked.withColumn("r", F.row_number().over(w)).withColumn("l", F.length("s"))
-    prefix = ranked.filter(F.col("r") <= F.col("l") - F.greatest(F.lit(1), F.floor(F.col("l") / 3)))
-    a = prefix.select(F.col("tok"), F.col("s").alias("x"), F.col("l").alias("lx"))
-    b = prefix.select(F.col("tok"), F.col("s").alias("y"), F.col("l").alias("ly"))
+    need = F.greatest(F.lit(1), F.floor(F.col("l") * a_num / a_den).cast("long"))
+    prefix = ranked.filter(F.col("r") <= F.col("l") - need)
+    # rem = this token and the ones after it in the string's order
+    a = prefix.select(F.col("tok"), F.col("s").alias("x"), F.col("l").alias("lx"), (F.col("l") - F.col("r")).alias("rx"))
+    b = prefix.select(F.col("tok"), F.col("s").alias("y"), F.col("l").alias("ly"), (F.col("l") - F.col("r")).alias("ry"))
+    n = num_partitions or int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    lo, hi = F.least("lx", "ly"), F.greatest("lx", "ly")
+    total = F.col("lx") + F.col("ly")
+    # Positional filter: at the pair's first shared token (rarest first) the
+    # overlap is at most min(rx, ry); a valid pair passes there, so a join row
+    # that fails it is dropped without losing the pair.
+    ub = F.least("rx", "ry")
     cand = (a.join(b, "tok")
-            .filter((F.col("x") < F.col("y"))
-                    & (3 * F.least("lx", "ly") > 2 * F.greatest("lx", "ly")))
-            .select("x", "y").distinct())
-    return (cand.withColumn("ratio", sequence_ratio("x", "y"))
+            .filter((F.col("x") < F.col("y")) & (2 * q * lo > p * (lo + hi))
+                    & (2 * q * (ub + 1) > a_num * total))
+            .select("x", "y", total.alias("T"))
+            .repartition(n, "x", "y").distinct())
+    # each string's own tokens (bigrams and characters, with occurrence
+    # numbers): bounded by its length, not by the data size
+    bag = (toks.groupBy("s").agg(F.collect_set("tok").alias("tk"))
+           .join(_char_tokens(s).groupBy("s").agg(F.collect_set("ctok").alias("ck")), "s"))
+    bx = bag.select(F.col("s").alias("x"), F.col("tk").alias("tx"), F.col("ck").alias("cx"))
+    by = bag.select(F.col("s").alias("y"), F.col("tk").alias("ty"), F.col("ck").alias("cy"))
+    # common characters bound the matched ones (difflib's quick_ratio): 2*common/T > p/q
+    common = F.size(F.array_intersect("cx", "cy"))
+    shared = F.size(F.array_intersect("tx", "ty"))
+    kept = (cand.join(bx, "x").join(by, "y")
+            .filter((2 * q * common > p * F.col("T")) & (2 * q * (shared + 1) > a_num * F.col("T")))
+            .select("x", "y")
+            .repartition(n, "x", "y"))  # explicit count: AQE keeps the Python work spread out
+    return (kept.withColumn("ratio", _RATIO("x", "y", F.lit(float(threshold))))
             .filter((F.col("ratio") > threshold) & (F.col("ratio") < 1.0)))
 
 
