@@ -63,7 +63,7 @@ def main() -> None:
         "resolution_by_priority": lambda: run(durations.resolution_by_priority(f)),
         "words_description": lambda: run(words.word_frequencies(f, "description")),
         "dq_issues": lambda: run(issues.dq_issues(q)),
-        "dq_terms": lambda: run(issues.dq_terms(issues.dq_issues(q))),
+        "dq_terms": lambda: run(issues.dq_terms(issues.dq_issues(q, columns=issues.COLUMNS_FOR["dq_terms"]))),
         "similar_values": lambda: run(similar.similar_values(q, "rca")),
         "report_all_tables": report,
     }

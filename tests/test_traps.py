@@ -233,3 +233,11 @@ def test_optional_columns_missing(make_raw):
     assert clean.cleaning_funnel(raw).count() == 5
     q = clean.quality_input(raw)
     assert issues.dp_tickets(q).count() == 0
+
+
+def test_long_lists_use_semi_join(make_raw, monkeypatch):
+    t = clean.clean_tickets(make_raw([{"account_name": f"A{i}"} for i in range(5)]))
+    monkeypatch.setattr(filters, "INLINE_LIST_LIMIT", 2)
+    f = filters.filter_tickets(t, filters.TicketFilter(accounts=("A1", "A3", "A4", "zz")))
+    assert sorted(r.account_name for r in f.collect()) == ["A1", "A3", "A4"]
+    assert "LeftSemi" in f._jdf.queryExecution().executedPlan().toString()

@@ -12,6 +12,9 @@ from .. import constants as K
 
 # Lists longer than this are joined (semi join) instead of inlined as IN (...).
 INLINE_LIST_LIMIT = 1000
+# Caller lists up to this many entries are broadcast (their size is known on
+# the driver); longer ones are shuffled and left to AQE.
+BROADCAST_LIST_LIMIT = 1_000_000
 
 
 def top_accounts(t: DataFrame, n: int = K.TOP_ACCOUNTS) -> DataFrame:
@@ -95,8 +98,10 @@ def _member(df: DataFrame, column: str, values) -> DataFrame:
     if len(values) <= INLINE_LIST_LIMIT:
         return df.filter(F.col(column).isin(values))
     keys = df.sparkSession.createDataFrame([(v,) for v in values], [column]).distinct()
-    # the list came from the caller, so its size is known: safe to broadcast
-    return df.join(F.broadcast(keys), column, "left_semi")
+    if len(values) <= BROADCAST_LIST_LIMIT:
+        # the list came from the caller, so its size is known and bounded here
+        keys = F.broadcast(keys)
+    return df.join(keys, column, "left_semi")
 
 
 def filter_tickets(t: DataFrame, f: TicketFilter = TicketFilter()) -> DataFrame:

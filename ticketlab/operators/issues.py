@@ -92,14 +92,19 @@ def dp_tickets(df: DataFrame, cfg: IssueConfig = IssueConfig()) -> DataFrame:
     return df.filter(dp_mask(df, cfg))
 
 
-def dq_issues(df: DataFrame, cfg: IssueConfig = IssueConfig()) -> DataFrame:
+def dq_issues(df: DataFrame, cfg: IssueConfig = IssueConfig(), columns=None) -> DataFrame:
     """DP tickets with a data-quality term, one row per id: the first
     matching row in (created, case number) order. Missing ids form one group.
 
     ``min_by`` is a partial aggregate: duplicates collapse on the map side,
     so even one id holding a third of the rows never lands in one task whole.
+    ``columns`` limits what each issue row carries (default: every column);
+    Catalyst cannot prune fields inside the aggregate, so a caller that needs
+    a few fields should name them: the scan then reads only those.
     """
-    keep = [c for c in df.columns if c not in ("id",)]
+    wanted = df.columns if columns is None else list(dict.fromkeys(
+        [*columns, "created_at", "case_number"]))
+    keep = [c for c in wanted if c != "id"]
     order = F.struct(F.coalesce(F.col("created_at"), F.lit(FAR_FUTURE).cast("timestamp_ntz")),
                      F.col("case_number"))
     cand = dp_tickets(df, cfg).filter(has_term(df, cfg))
@@ -145,6 +150,16 @@ def dq_sample(issues: DataFrame, n: int = K.SAMPLE_ISSUES) -> DataFrame:
             .limit(n).select(*K.SAMPLE_COLUMNS))
 
 
+# what each result table needs from an issue row
+COLUMNS_FOR = {
+    "dq_by_pod": ("pod_name",),
+    "dq_by_area": ("product_area",),
+    "dq_monthly": ("created_at",),
+    "dq_sample": K.SAMPLE_COLUMNS,
+    "dq_terms": K.ISSUE_FIELDS,
+}
+
+
 def dq_terms(issues: DataFrame, cfg: IssueConfig = IssueConfig()) -> DataFrame:
     """Occurrences of each term in the issue texts (terms may overlap);
     zero counts left out. One aggregation with one count per term, then an

@@ -23,13 +23,12 @@ from ..sources import sinks, tickets
 from .oracle import INTERNAL_ACCOUNTS
 
 CFG = clean.CleanConfig(excluded_accounts=INTERNAL_ACCOUNTS)
-EXACT_DOUBLES = {"avg_days", "median_days", "avg_hours", "median_hours"}  # summaries: already rounded
 
 
-def r6(df: DataFrame, keep: set[str] = frozenset()) -> DataFrame:
+def r6(df: DataFrame) -> DataFrame:
     """Round double columns to 6 places for the cross-engine comparison."""
     cols = {f.name: F.round(F.col(f.name), 6) for f in df.schema.fields
-            if isinstance(f.dataType, DoubleType) and f.name not in keep}
+            if isinstance(f.dataType, DoubleType)}
     return df.withColumns(cols) if cols else df
 
 
@@ -73,10 +72,6 @@ def _cols(df: DataFrame, *cols: str) -> DataFrame:
     return df.select(*cols)
 
 
-def _q(fn) -> Callable[[SparkSession, str], DataFrame]:
-    return fn
-
-
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     # sources and sinks
     "scan_tickets": scan_tickets,
@@ -154,9 +149,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "dp_tickets": lambda s, d: issues.dp_tickets(qinput(s, d)),
     "dq_issues": lambda s, d: issues.dq_issues(qinput(s, d)),
     "dq_totals": lambda s, d: issues.dq_totals(qinput(s, d)),
-    "dq_by_pod": lambda s, d: issues.dq_by_pod(issues.dq_issues(qinput(s, d))),
-    "dq_by_area": lambda s, d: issues.dq_by_area(issues.dq_issues(qinput(s, d))),
-    "dq_monthly": lambda s, d: issues.dq_monthly(issues.dq_issues(qinput(s, d))),
-    "dq_sample": lambda s, d: issues.dq_sample(issues.dq_issues(qinput(s, d))),
-    "dq_terms": lambda s, d: issues.dq_terms(issues.dq_issues(qinput(s, d))),
+    "dq_by_pod": lambda s, d: issues.dq_by_pod(issues.dq_issues(qinput(s, d), columns=issues.COLUMNS_FOR["dq_by_pod"])),
+    "dq_by_area": lambda s, d: issues.dq_by_area(issues.dq_issues(qinput(s, d), columns=issues.COLUMNS_FOR["dq_by_area"])),
+    "dq_monthly": lambda s, d: issues.dq_monthly(issues.dq_issues(qinput(s, d), columns=issues.COLUMNS_FOR["dq_monthly"])),
+    "dq_sample": lambda s, d: issues.dq_sample(issues.dq_issues(qinput(s, d), columns=issues.COLUMNS_FOR["dq_sample"])),
+    "dq_terms": lambda s, d: issues.dq_terms(issues.dq_issues(qinput(s, d), columns=issues.COLUMNS_FOR["dq_terms"])),
 }
