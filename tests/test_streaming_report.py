@@ -72,3 +72,19 @@ def test_field_consistency_bundle(spark):
     assert out["case_variations"].count() > 0 and out["value_counts"].count() > 0
     for r in out["similar_values"].collect():
         assert r.value < r.similar_value and 0.8 < r.ratio < 1.0
+
+
+def test_cli_report_end_to_end(spark, tmp_path):
+    from ticketlab.__main__ import parse_args, run_report
+
+    src = str(tmp_path / "tickets")
+    _source_named(catalog.raw(spark, SF)).write.option("header", True).option("escape", '"').csv(src)
+    out = str(tmp_path / "out")
+    paths = run_report(parse_args(["report", "--input", src, "--out", out, "--exclude-account", "Acme",
+                                   "--all-accounts", "--start", "1995-01-01", "--end", "1999-12-31"]))
+    names = {os.path.basename(p) for p in paths}
+    assert {"overview_kpis", "dq_terms", "dq_issues", "cleaning_funnel", "filtered_tickets"} <= names
+    back = spark.read.parquet(os.path.join(out, "filtered_tickets"))
+    assert back.count() > 0 and "month" in back.columns
+    kpi = spark.read.option("header", True).csv(os.path.join(out, "tables", "overview_kpis")).first()
+    assert int(kpi.total_tickets) == back.count()
