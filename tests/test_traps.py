@@ -241,3 +241,11 @@ def test_long_lists_use_semi_join(make_raw, monkeypatch):
     f = filters.filter_tickets(t, filters.TicketFilter(accounts=("A1", "A3", "A4", "zz")))
     assert sorted(r.account_name for r in f.collect()) == ["A1", "A3", "A4"]
     assert "LeftSemi" in f._jdf.queryExecution().executedPlan().toString()
+
+
+def test_missing_columns(make_raw):
+    from ticketlab.sources.tickets import missing_columns
+
+    raw = make_raw([{}])
+    assert missing_columns(raw) == []
+    assert missing_columns(raw.drop("csat", "rca")) == ["csat"]

@@ -23,7 +23,7 @@ from .operators.filters import TicketFilter, filter_tickets
 from .plans.report import quality_report_tables, report_tables, write_report
 from .session import get_spark
 from .sources.sinks import write_table
-from .sources.tickets import read_tickets
+from .sources.tickets import missing_columns, read_tickets
 
 
 def _date(s: str | None) -> dt.date | None:
@@ -59,6 +59,9 @@ def parse_args(argv=None) -> argparse.Namespace:
 def run_report(args: argparse.Namespace) -> list[str]:
     spark = get_spark(args.master)
     raw = read_tickets(spark, args.input, args.format)
+    missing = missing_columns(raw)
+    if missing:
+        raise SystemExit(f"ticket file lacks columns: {', '.join(missing)}")
     cfg_kw = {"excluded_accounts": tuple(args.exclude_account)}
     if args.missing_label is not None:
         cfg_kw["missing_label"] = args.missing_label

@@ -47,7 +47,6 @@ REQUIRED_COLUMNS = (
     "product_area", "product_feature", "pod_name", "created_at", "closed_at",
     "case_type", "age_days", "is_escalated", "csat", "priority",
 )
-OPTIONAL_COLUMNS = ("first_response_at", "case_owner", "rca", "status")
 
 # ---------------------------------------------------------------------------
 # Cleaning rules.

@@ -59,6 +59,12 @@ def ingest_tickets(spark: SparkSession, src: str, dst: str, fmt: str = "csv") ->
     return spark.read.parquet(dst)
 
 
+def missing_columns(df: DataFrame) -> list[str]:
+    """Expected ticket columns the frame lacks (library names). The optional
+    ones (first response, owner, cause, status) are not reported."""
+    return [c for c in K.REQUIRED_COLUMNS if c not in df.columns]
+
+
 def peek(df: DataFrame, n: int = 5) -> DataFrame:
     """The first ``n`` tickets in (created, case number) order."""
     order = [c for c in ("created_at", "case_number") if c in df.columns]
