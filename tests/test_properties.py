@@ -121,3 +121,26 @@ def test_bracket_miss_falls_back_exactly(spark, monkeypatch):
     a = {r.k: r.median for r in durations.exact_median(df, ["k"], "v").collect()}
     b = {r.k: r.m for r in df.groupBy("k").agg(F.median("v").alias("m")).collect()}
     assert a == pytest.approx(b)
+
+
+def test_dedup_with_a_hot_missing_id(spark):
+    from ticketlab.operators import issues
+
+    rows = []
+    for i in range(3000):
+        hot = i % 3 == 0  # a third of all rows share the missing id
+        rows.append((None if hot else f"id{i % 500}", f"{i:08d}", f"2020-01-{1 + i % 28:02d} 00:00:00",
+                     "data quality" if i % 2 else "nothing", "DP-x"))
+    df = spark.createDataFrame(rows, "id string, case_number string, created_at string, subject string, pod_name string")
+    q = clean.quality_input(df)
+    got = {r.id: r.case_number for r in issues.dq_issues(q).collect()}
+    # brute force: first matching row per id by (created, case number)
+    best = {}
+    for rid, cn, ca, subj, _ in rows:
+        if subj != "data quality":
+            continue
+        key = (ca, cn)
+        if rid not in best or key < best[rid][0]:
+            best[rid] = (key, cn)
+    assert got == {k: v[1] for k, v in best.items()}
+    assert None in got
