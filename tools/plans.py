@@ -56,7 +56,7 @@ def main() -> None:
         "resolution_by_priority (A13)": durations.resolution_by_priority(f),
         "words_description (A21)": words.word_frequencies(f, "description"),
         "dq_issues (D10)": issues.dq_issues(q),
-        "dq_terms (D16)": issues.dq_terms(issues.dq_issues(q)),
+        "dq_terms (D16)": issues.dq_terms(issues.dq_issues(q, columns=issues.COLUMNS_FOR["dq_terms"])),
         "similar_values (D7)": similar.similar_values(q, "rca"),
     }
     print("# PLANS — final adaptive plans of the headline queries\n")
