@@ -249,3 +249,15 @@ def test_missing_columns(make_raw):
     raw = make_raw([{}])
     assert missing_columns(raw) == []
     assert missing_columns(raw.drop("csat", "rca")) == ["csat"]
+
+
+def test_month_first_dates_ignore_session_zone(spark, make_raw):
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        raw = make_raw([{"created_at": "03/09/2025 02:30:00"}, {"created_at": "13/45/2025"},
+                        {"created_at": "3/9/2025"}])
+        got = _one(clean.parse_dates(raw), "created_at")
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+    assert got == [dt.datetime(2025, 3, 9, 2, 30), None, dt.datetime(2025, 3, 9)]

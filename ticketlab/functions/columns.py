@@ -37,14 +37,36 @@ def clean_number(c: str | Column) -> Column:
     )
 
 
+# Patterns the ISO cast already reads (zone-free), and month-first patterns
+# rewritten to ISO text, so that no built-in format depends on the session
+# time zone (a parse in a zone with daylight saving would move wall times that
+# fall in the spring-forward gap).
+_ISO_FORMATS = {"yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd"}
+_MONTH_FIRST = {
+    "M/d/yyyy": (r"^(\d{1,2})/(\d{1,2})/(\d{4})$", "$3-$1-$2"),
+    "M/d/yyyy HH:mm:ss": (r"^(\d{1,2})/(\d{1,2})/(\d{4}) (\d{1,2}:\d{1,2}:\d{1,2})$", "$3-$1-$2 $4"),
+}
+
+
 def parse_timestamp(c: str | Column, formats: Iterable[str] = K.DATE_FORMATS) -> Column:
     """Text to ``timestamp_ntz`` per row: ISO-8601 first (an offset is dropped and
-    the wall time kept), then each format in turn; null when nothing fits."""
+    the wall time kept), then each format in turn; null when nothing fits.
+
+    The built-in formats never depend on the session time zone: ISO-like ones
+    are read by the cast, month-first ones are rewritten to ISO text and cast.
+    Other formats a caller adds are parsed with ``try_to_timestamp`` in the
+    session zone (keep it UTC, as :func:`ticketlab.session.get_spark` does).
+    """
     c = col(c).cast("string")
     tries = [c.try_cast("timestamp_ntz")]
-    # try_to_timestamp reads the wall time in the session zone and the cast
-    # back to NTZ uses the same zone, so the wall time is kept.
-    tries += [F.try_to_timestamp(c, F.lit(fmt)).cast("timestamp_ntz") for fmt in formats]
+    for fmt in formats:
+        if fmt in _ISO_FORMATS:
+            continue
+        if fmt in _MONTH_FIRST:
+            pat, iso = _MONTH_FIRST[fmt]
+            tries.append(F.when(c.rlike(pat), F.regexp_replace(c, pat, iso)).try_cast("timestamp_ntz"))
+        else:
+            tries.append(F.try_to_timestamp(c, F.lit(fmt)).cast("timestamp_ntz"))
     return F.coalesce(*tries)
 
 
