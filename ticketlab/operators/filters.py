@@ -104,6 +104,12 @@ def _member(df: DataFrame, column: str, values) -> DataFrame:
     return df.join(keys, column, "left_semi")
 
 
+def _ntz(ts: dt.datetime):
+    """A wall-time literal: from ISO text, so no time zone is involved (a
+    Python datetime literal would be read in the driver's local zone)."""
+    return F.lit(ts.isoformat(sep=" ")).cast("timestamp_ntz")
+
+
 def filter_tickets(t: DataFrame, f: TicketFilter = TicketFilter()) -> DataFrame:
     """the compound filter as one predicate plus at most two semi joins."""
     out = t
@@ -116,12 +122,12 @@ def filter_tickets(t: DataFrame, f: TicketFilter = TicketFilter()) -> DataFrame:
     else:
         out = _member(out, "priority", f.priorities)
     if f.start is not None:
-        out = out.filter(F.col("created_at") >= F.lit(dt.datetime.combine(f.start, dt.time())))
+        out = out.filter(F.col("created_at") >= _ntz(dt.datetime.combine(f.start, dt.time())))
         if "month" in t.columns:  # lets a month-partitioned table prune files
             out = out.filter(F.col("month") >= F.lit(f.start.strftime("%Y-%m")))
     if f.end is not None:
         end = dt.datetime.combine(f.end, dt.time(23, 59, 59))
-        out = out.filter(F.col("created_at") <= F.lit(end))
+        out = out.filter(F.col("created_at") <= _ntz(end))
         if "month" in t.columns:
             out = out.filter(F.col("month") <= F.lit(f.end.strftime("%Y-%m")))
     if f.accounts is None:
