@@ -83,7 +83,8 @@ def test_cli_report_end_to_end(spark, tmp_path):
     paths = run_report(parse_args(["report", "--input", src, "--out", out, "--exclude-account", "Acme",
                                    "--all-accounts", "--start", "1995-01-01", "--end", "1999-12-31"]))
     names = {os.path.basename(p) for p in paths}
-    assert {"overview_kpis", "dq_terms", "dq_issues", "cleaning_funnel", "filtered_tickets"} <= names
+    assert {"overview_kpis", "dq_terms", "dq_issues", "cleaning_funnel", "filtered_tickets",
+            "owner_groups", "date_bounds", "rca_options"} <= names
     back = spark.read.parquet(os.path.join(out, "filtered_tickets"))
     assert back.count() > 0 and "month" in back.columns
     kpi = spark.read.option("header", True).csv(os.path.join(out, "tables", "overview_kpis")).first()

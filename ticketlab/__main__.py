@@ -7,7 +7,7 @@
         [--owner-groups "TSE and PSE"] [--rcas ...] [--missing-label nan]
 
 Writes the dashboard tables (overview, trends, durations, distributions,
-words), the data-quality tables (totals, PODs, areas, months, sample, terms;
+words, filter choices), the data-quality tables (totals, PODs, areas, months, sample, terms;
 issue rows as Parquet), the cleaning funnel, and the filtered tickets
 (Parquet by month) under ``--out``.
 """
@@ -19,6 +19,7 @@ import datetime as dt
 import os
 
 from .operators.clean import CleanConfig, cleaning_funnel, clean_tickets, quality_input
+from .operators import filters as opt
 from .operators.filters import TicketFilter, filter_tickets
 from .plans.report import quality_report_tables, report_tables, write_report
 from .session import get_spark
@@ -75,6 +76,17 @@ def run_report(args: argparse.Namespace) -> list[str]:
     f = filter_tickets(t, flt)
     tables = report_tables(f)
     tables["cleaning_funnel"] = cleaning_funnel(raw, cfg)
+    # the choices the dashboard offers, from the cleaned (unfiltered) tickets
+    tables.update({
+        "top_accounts_default": opt.top_accounts(t),
+        "account_options": opt.account_options(t),
+        "priority_options": opt.priority_options(t),
+        "area_options": opt.area_options(t),
+        "owner_groups": opt.owner_groups(t, cfg.excluded_owners),
+        "date_bounds": opt.date_bounds(t),
+    })
+    if "rca" in t.columns:
+        tables["rca_options"] = opt.rca_options(t)
     tables.update(quality_report_tables(quality_input(raw, cfg.date_formats)))
     paths = write_report(tables, os.path.join(args.out, "tables"))
     tickets_path = os.path.join(args.out, "filtered_tickets")
