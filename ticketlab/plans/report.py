@@ -68,16 +68,25 @@ def quality_report_tables(q: DataFrame, cfg: IssueConfig = IssueConfig(),
 
 # tables that grow with the tickets: written as Parquet, never as one file
 TICKET_SIZED = {"dq_issues"}
+# tables that grow with accounts, owners, causes or months x accounts: CSV in
+# as many files as the plan has partitions (no single-task write)
+GROWS_WITH_DATA = {
+    "monthly_volume", "monthly_csat", "monthly_csat_labeled", "csat_vs_overall",
+    "area_feature_rollup", "rca_distribution", "account_options", "owner_groups", "rca_options",
+}
 
 
 def write_report(tables: dict[str, DataFrame], out_dir: str) -> list[str]:
-    """Write each result table under ``out_dir``: one CSV file per small
-    table, Parquet for ticket-sized ones."""
+    """Write each result table under ``out_dir``: Parquet for ticket-sized
+    tables, multi-file CSV for tables that grow with the data, and one CSV
+    file for the small ones (bounded by fixed categories or a top-k)."""
     paths = []
     for name, df in tables.items():
         p = os.path.join(out_dir, name)
         if name in TICKET_SIZED:
             write_table(df, p, partition_by=())
+        elif name in GROWS_WITH_DATA:
+            write_table(df, p, fmt="csv", partition_by=())
         else:
             write_result_csv(df, p)
         paths.append(p)
