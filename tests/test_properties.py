@@ -88,6 +88,21 @@ def test_similarity_join_equals_brute_force(spark):
     assert got == expected and len(expected) > 50
 
 
+def test_similarity_join_across_length_bands(spark):
+    # runs of one letter: ratio = 2*min/(i+j), so accepted pairs sit at every
+    # length ratio up to the band limit, including ones in adjacent bands
+    vals = ["a" * i for i in range(3, 81)] + ["ab" * i for i in range(2, 30)]
+    expected = set()
+    for i, a in enumerate(vals):
+        for b in vals[i + 1:]:
+            x, y = sorted((a, b))
+            if 0.8 < difflib.SequenceMatcher(None, x, y).ratio() < 1.0:
+                expected.add((x, y))
+    df = spark.createDataFrame([(v,) for v in vals], "rca string")
+    got = {(r.value, r.similar_value) for r in similar.similar_values(df, "rca").collect()}
+    assert got == expected and len(expected) > 100
+
+
 def test_default_filter_keeps_top_accounts(spark):
     t = catalog.cleaned(spark, SF)
     top = {r.account_name for r in filters.top_accounts(t).collect()}

@@ -19,6 +19,7 @@ exact function the original uses); everything else is Spark expressions.
 from __future__ import annotations
 
 import difflib
+import math
 from fractions import Fraction
 
 import pandas as pd
@@ -112,9 +113,19 @@ def similar_pairs(values: DataFrame, threshold: float = K.SIMILARITY_THRESHOLD,
     ranked = ranked.withColumn("r", F.row_number().over(w)).withColumn("l", F.length("s"))
     need = F.greatest(F.lit(1), F.floor(F.col("l") * a_num / a_den).cast("long"))
     prefix = ranked.filter(F.col("r") <= F.col("l") - need)
+    # Length band: an accepted pair has hi/lo < (2q - p)/p, so with bands
+    # k = floor(log_base(l)) its two bands differ by at most one. The blocking
+    # key is (token, band) and one side is also filed under the band below its
+    # own: a hot bigram is split by length and only pairs whose lengths can
+    # still match are compared (no pair is lost, each orientation is met once).
+    band = F.floor(F.log(F.col("l").cast("double")) / math.log((2 * q - p) / p)).cast("int")
+    prefix = prefix.withColumn("k", band)
     # rem = this token and the ones after it in the string's order
-    a = prefix.select(F.col("tok"), F.col("s").alias("x"), F.col("l").alias("lx"), (F.col("l") - F.col("r")).alias("rx"))
-    b = prefix.select(F.col("tok"), F.col("s").alias("y"), F.col("l").alias("ly"), (F.col("l") - F.col("r")).alias("ry"))
+    a = prefix.select(F.col("tok"), F.col("k"), F.col("s").alias("x"), F.col("l").alias("lx"),
+                      (F.col("l") - F.col("r")).alias("rx"))
+    b = prefix.select(F.col("tok"), F.explode(F.array(F.col("k"), F.col("k") - 1)).alias("k"),
+                      F.col("k").alias("ky"), F.col("s").alias("y"), F.col("l").alias("ly"),
+                      (F.col("l") - F.col("r")).alias("ry"))
     n = num_partitions or int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     lo, hi = F.least("lx", "ly"), F.greatest("lx", "ly")
     total = F.col("lx") + F.col("ly")
@@ -122,10 +133,13 @@ def similar_pairs(values: DataFrame, threshold: float = K.SIMILARITY_THRESHOLD,
     # overlap is at most min(rx, ry); a valid pair passes there, so a join row
     # that fails it is dropped without losing the pair.
     ub = F.least("rx", "ry")
-    cand = (a.join(b, "tok")
-            .filter((F.col("x") < F.col("y")) & (2 * q * lo > p * (lo + hi))
+    # same band: both orientations meet, keep x < y; adjacent bands: only the
+    # one with x in the lower band meets
+    one_way = (F.col("k") < F.col("ky")) | (F.col("x") < F.col("y"))
+    cand = (a.join(b, ["tok", "k"])
+            .filter(one_way & (2 * q * lo > p * (lo + hi))
                     & (2 * q * (ub + 1) > a_num * total))
-            .select("x", "y", total.alias("T"))
+            .select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), total.alias("T"))
             .repartition(n, "x", "y").distinct())
     # each string's own tokens (bigrams and characters, with occurrence
     # numbers): bounded by its length, not by the data size
