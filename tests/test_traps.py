@@ -241,6 +241,16 @@ def test_long_lists_use_semi_join(make_raw, monkeypatch):
     f = filters.filter_tickets(t, filters.TicketFilter(accounts=("A1", "A3", "A4", "zz")))
     assert sorted(r.account_name for r in f.collect()) == ["A1", "A3", "A4"]
     assert "LeftSemi" in f._jdf.queryExecution().executedPlan().toString()
+    assert "broadcast" in f._jdf.queryExecution().logical().toString().lower()
+
+
+def test_lists_over_the_broadcast_budget_are_shuffled(make_raw, monkeypatch):
+    t = clean.clean_tickets(make_raw([{"account_name": f"A{i}"} for i in range(5)]))
+    monkeypatch.setattr(filters, "INLINE_LIST_LIMIT", 2)
+    monkeypatch.setattr(filters, "BROADCAST_LIST_BYTES", 10)
+    f = filters.filter_tickets(t, filters.TicketFilter(accounts=("A1", "A3", "A4", "zz")))
+    assert sorted(r.account_name for r in f.collect()) == ["A1", "A3", "A4"]
+    assert "broadcast" not in f._jdf.queryExecution().logical().toString().lower()
 
 
 def test_missing_columns(make_raw):

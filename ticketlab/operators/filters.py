@@ -12,9 +12,9 @@ from .. import constants as K
 
 # Lists longer than this are joined (semi join) instead of inlined as IN (...).
 INLINE_LIST_LIMIT = 1000
-# Caller lists up to this many entries are broadcast (their size is known on
-# the driver); longer ones are shuffled and left to AQE.
-BROADCAST_LIST_LIMIT = 1_000_000
+# Caller lists whose text totals up to this many bytes are broadcast (their
+# size is measured on the driver); larger ones are shuffled and left to AQE.
+BROADCAST_LIST_BYTES = 32 * 1024 * 1024
 
 
 def top_accounts(t: DataFrame, n: int = K.TOP_ACCOUNTS) -> DataFrame:
@@ -98,8 +98,9 @@ def _member(df: DataFrame, column: str, values) -> DataFrame:
     if len(values) <= INLINE_LIST_LIMIT:
         return df.filter(F.col(column).isin(values))
     keys = df.sparkSession.createDataFrame([(v,) for v in values], [column]).distinct()
-    if len(values) <= BROADCAST_LIST_LIMIT:
-        # the list came from the caller, so its size is known and bounded here
+    size = sum(len(str(v).encode("utf-8")) + 16 for v in values)  # text + row overhead
+    if size <= BROADCAST_LIST_BYTES:
+        # the list came from the caller, so its size is measured and bounded here
         keys = F.broadcast(keys)
     return df.join(keys, column, "left_semi")
 
