@@ -7,10 +7,6 @@ by them. Operators take them as default parameters, so callers can override.
 
 from __future__ import annotations
 
-import functools
-import glob
-import os
-import zipfile
 
 # ---------------------------------------------------------------------------
 # Ticket source columns and the names used in this library.
@@ -204,18 +200,23 @@ def portable_regex(pattern: str) -> str:
     return pattern.replace(r"\s", PY_WHITESPACE_CLASS)
 
 
-@functools.lru_cache(maxsize=1)
-def spark_english_stop_words() -> tuple[str, ...]:
-    """Spark ML's default English stop words, read from the Spark jar itself."""
-    import pyspark
-
-    jar_dir = os.path.join(os.path.dirname(pyspark.__file__), "jars")
-    for jar in glob.glob(os.path.join(jar_dir, "spark-mllib_*.jar")):
-        with zipfile.ZipFile(jar) as z:
-            text = z.read("org/apache/spark/ml/feature/stopwords/english.txt").decode("utf-8")
-            return tuple(w for w in text.split() if w)
-    raise FileNotFoundError("spark-mllib jar with English stop words not found")
+# ---------------------------------------------------------------------------
+# The default English stop words of Spark ML's StopWordsRemover.
+# ---------------------------------------------------------------------------
+ENGLISH_STOP_WORDS = tuple("""
+    i me my myself we our ours ourselves you your yours yourself yourselves he him his himself she
+    her hers herself it its itself they them their theirs themselves what which who whom this that
+    these those am is are was were be been being have has had having do does did doing a an the and
+    but if or because as until while of at by for with about against between into through during
+    before after above below to from up down in out on off over under again further then once here
+    there when where why how all any both each few more most other some such no nor not only own
+    same so than too very s t can will just don should now i'll you'll he'll she'll we'll they'll
+    i'd you'd he'd she'd we'd they'd i'm you're he's she's it's we're they're i've we've you've
+    they've isn't aren't wasn't weren't haven't hasn't hadn't don't doesn't didn't won't wouldn't
+    shan't shouldn't mustn't can't couldn't cannot could here's how's let's ought that's there's
+    what's when's where's who's why's would
+""".split())
 
 
 def all_stop_words() -> tuple[str, ...]:
-    return tuple(sorted(set(spark_english_stop_words()) | set(TICKET_STOP_WORDS)))
+    return tuple(sorted(set(ENGLISH_STOP_WORDS) | set(TICKET_STOP_WORDS)))
