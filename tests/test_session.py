@@ -1,0 +1,58 @@
+"""Scratch folder rules."""
+
+import os
+from types import SimpleNamespace
+
+import pytest
+
+from ticketlab import session
+
+
+class _Conf:
+    def __init__(self):
+        self.kv = {}
+
+    def get(self, k, default=None):
+        return self.kv.get(k, default)
+
+    def set(self, k, v):
+        self.kv[k] = v
+
+
+def _fake(master):
+    return SimpleNamespace(conf=_Conf(), sparkContext=SimpleNamespace(master=master, setCheckpointDir=lambda d: None))
+
+
+@pytest.mark.parametrize("master", ["yarn", "spark://host:7077", "local-cluster[2,1,1024]"])
+def test_cluster_without_shared_folder_is_an_error(master):
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.ensure_checkpoint_dir(_fake(master))
+
+
+@pytest.mark.parametrize("master", ["local", "local[4]", "local[*]"])
+def test_local_master_gets_a_scratch_folder(master):
+    assert os.path.isdir(session.ensure_checkpoint_dir(_fake(master)))
+
+
+def test_named_folder_is_used():
+    s = _fake("yarn")
+    s.conf.set("spark.checkpoint.dir", "hdfs:///shared")
+    assert session.ensure_checkpoint_dir(s) == "hdfs:///shared"
+
+
+def test_materialize_round_trip_keeps_schema_of_an_empty_table(spark):
+    df = spark.createDataFrame([], "a long, b array<string>")
+    out = session.materialize(df, "t")
+    assert out.schema.simpleString() == df.schema.simpleString() and out.count() == 0
+
+
+def test_queries_load_without_the_ml_jar(monkeypatch):
+    import zipfile
+
+    import __spark_entry__ as entry
+
+    def no_jar(*a, **k):
+        raise FileNotFoundError("no jar here")
+
+    monkeypatch.setattr(zipfile, "ZipFile", no_jar)
+    assert set(entry.oracle_sql()) <= set(entry.queries())

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -45,17 +44,28 @@ def get_spark(master: str | None = None, app_name: str = "ticketlab",
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    A cluster names it; only where it is unset (local runs, tests) a scratch
-    folder is created here.
+    A cluster names it. Only a local master, where driver and executors are
+    one process, gets a scratch folder of its own when it is unset.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError(f"spark.checkpoint.dir must name a shared folder on {master}")
         d = tempfile.mkdtemp(prefix="ticketlab-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     spark.sparkContext.setCheckpointDir(d)
     return d
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A fresh path under the shared folder, deleted when the application ends."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)
+    return path
+
+
 def materialize(df: DataFrame, name: str, num_files: int | None = None) -> DataFrame:
     """Write ``df`` as Parquet under the shared checkpoint folder and read it back.
 
@@ -65,9 +75,9 @@ def materialize(df: DataFrame, name: str, num_files: int | None = None) -> DataF
     then splits into at least that many tasks).
     """
     spark = df.sparkSession
-    root = ensure_checkpoint_dir(spark)
-    path = os.path.join(root, f"{name}-{uuid.uuid4().hex}")
+    path = scratch_path(spark, name)
     if num_files:
         df = df.repartition(num_files)
+    schema = df.schema
     df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    return spark.read.schema(schema).parquet(path)
