@@ -25,43 +25,51 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
-def labelled(docs: DataFrame, labels: DataFrame, label: str) -> DataFrame:
-    """Rows of ``docs`` that have a label, with it as ``_label`` (0 or 1).
-
-    A document with several labels gets the largest one; null labels and null
-    ids are no labels.
-    """
-    one = (labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull())
-           .groupBy("doc_id").agg(F.max(label).alias("_label")))
-    return docs.join(one, "doc_id")
-
-
-def bounded_sample(df: DataFrame, rows: int) -> DataFrame:
-    """At most ``rows`` rows, those of the smallest hash of the id: the same
-    ones at any partitioning, and a top-k that collects no more than that."""
-    return df.orderBy(F.xxhash64(F.lit(17), "doc_id"), "doc_id").limit(rows)
+def label_table(labels: DataFrame, label: str) -> DataFrame:
+    """doc_id, label: the largest label of each id; null ids and labels are none."""
+    return (labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull())
+            .groupBy("doc_id").agg(F.max(label).alias("label")))
+
+
+def training_sample(docs: DataFrame, ids: DataFrame, rows: int, max_bytes: int, per_label: bool = False) -> DataFrame:
+    """doc_id, text, label of a bounded part of the labelled documents ``ids``
+    (doc_id, label): at most ``rows`` ids, those of the smallest hash of the id
+    (``per_label``: of each label), and of them as many as hold ``max_bytes`` of
+    text. It is the same at any partitioning. An id with several texts gives the
+    smallest text."""
+    order = F.xxhash64(F.lit(17), "doc_id")
+    if per_label:
+        nth = F.row_number().over(Window.partitionBy("label").orderBy(order, "doc_id"))
+        ids = ids.withColumn("_nth", nth).where(F.col("_nth") <= rows).drop("_nth")
+    else:
+        ids = ids.orderBy(order, "doc_id").limit(rows)
+    ids = materialize(ids, "sample-ids")  # at most `rows` (of each label), so it may be broadcast
+    texts = (docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").where("text is not null")
+             .groupBy("doc_id").agg(F.min("text").alias("text"), F.max("label").alias("label")))
+    texts = materialize(texts, "sample-texts")
+    sizes = texts.select("doc_id", F.sum(F.octet_length("text")).over(Window.orderBy(order, "doc_id")).alias("_upto"))
+    return texts.join(sizes.where(F.col("_upto") <= max_bytes).select("doc_id"), "doc_id")
 
 
 def ranked(df: DataFrame, group: list[str], order: list[str], out: str) -> DataFrame:
     """Number the rows of each group from 0, in ``order``, without a task ever
     holding a whole group.
 
-    Rows are range-partitioned by group and order, and written with their
-    partition's number. A row's rank is its rank among the rows of its group
-    in its partition, plus the counts of earlier partitions, which are at most
-    one row for each partition and group boundary.
+    Rows are range-partitioned and sorted by group and order, and written with
+    their partition and place in it. A row's rank is its place less the first
+    place of its group there, plus the group's rows in earlier partitions:
+    one row for each partition and each group boundary has to be added up.
     """
-    part = fresh(df, "_part")
-    dealt = materialize(df.repartitionByRange(*[F.col(c) for c in group + order])
-                        .withColumn(part, F.spark_partition_id()), "ranked")
-    counts = dealt.groupBy(*group, part).agg(F.count(F.lit(1)).alias("_rows"))
+    keys = [F.col(c) for c in [*group, *order]]
+    at, part = fresh(df, "_at"), fresh(df, "_part")
+    rows = materialize(df.repartitionByRange(*keys).sortWithinPartitions(*keys)
+                       .withColumn(at, F.monotonically_increasing_id())
+                       .withColumn(part, F.shiftright(at, 33)), "ranked")
+    spans = materialize(rows.groupBy(*group, part).agg(F.min(at).alias("_first"), F.count(F.lit(1)).alias("_rows")), "ranked-spans")
     before = Window.partitionBy(*group).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select(*group, part, F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start"))
-    here = Window.partitionBy(*group, part).orderBy(*order)
-    same = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in [*group, part]]
-    cond = same[0]
-    for c in same[1:]:
-        cond = cond & c
-    return (dealt.withColumn(out, F.row_number().over(here) - 1).alias("l").join(starts.alias("r"), cond)
-            .select(*[F.col(f"l.{c}") for c in df.columns],
-                    (F.col(f"l.{out}") + F.col("r._start")).cast("long").alias(out)))
+    spans = spans.select(*group, part, (F.coalesce(F.sum("_rows").over(before), F.lit(0)) - F.col("_first")).alias("_shift"))
+    cond = F.lit(True)
+    for c in [*group, part]:
+        cond = cond & F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}"))
+    return (rows.alias("l").join(spans.alias("r"), cond)
+            .select(*[F.col(f"l.{c}") for c in df.columns], (F.col(f"l.{at}") + F.col("r._shift")).alias(out)))

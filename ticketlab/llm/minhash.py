@@ -5,18 +5,20 @@
 2. A class has ``hashes`` minima. The first ``bands * rows`` of them make band
    keys; of every minimum the low ``bits`` bits are kept, packed into longs.
 3. In each bucket (classes of one band key) members are compared with the
-   bucket's smallest class first. Components of those links are formed; then
-   members of one bucket that are still in different components are compared
+   bucket's hub first: its member that meets most classes over all bands, such
+   as the text that others were made from. Components of those links are formed;
+   then members of one bucket that are still in different components are compared
    with each other. So each candidate pair is either compared or known to be
-   connected, and a group of near copies costs a few pairs a member.
-4. A pair is compared by the share of equal b-bit minima, corrected for chance
-   collisions; if that estimate is not far below the threshold (``slack``),
-   the full shingle sets decide.
-5. Buckets of over ``hot_bucket`` classes are split by a second band key
-   before members are compared with each other, so their squares stay small.
+   connected, and a group of near copies costs about a pair a member.
+4. A pair is compared by set sizes, then by the share of equal b-bit minima,
+   corrected for chance collisions; if that estimate is not below the threshold
+   by ``slack`` or more, the full shingle sets decide.
+5. Buckets of over ``hot_bucket`` classes are split by a second band key before
+   members are compared with each other, and dealt in blocks, two to a task.
 
 Chance of losing a pair at a similarity of 0.85: (1 - 0.85^5)^24 < 1e-6 by the
-bands, < 1e-6 by the estimate. Nothing is capped, dropped or sampled.
+bands, < 1e-6 by the estimate (its standard error is 0.0135 there). Nothing is
+capped, dropped or sampled.
 
 Edge cases: a text with fewer words than k has its whole word sequence as one
 shingle; a null, empty or all-space text has an empty set and is linked with
@@ -26,6 +28,8 @@ never is a component's id unless all of its ids are null.
 
 from __future__ import annotations
 
+import itertools
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -46,9 +50,9 @@ class MinHashConfig:
     den: int = 100
     bands: int = 24
     rows: int = 5
-    bits: int = 2          # kept of each minimum (1, 2 or 4)
-    hashes: int = 128
-    slack: float = 0.2     # estimates within this below the threshold are confirmed on full sets
+    bits: int = 1          # kept of each minimum (1, 2 or 4)
+    hashes: int = 1536
+    slack: float = 0.065    # estimates within this below the threshold are confirmed on full sets
     hot_bucket: int = 2000
 
     def __post_init__(self):
@@ -113,21 +117,22 @@ def signature_udf(cfg: MinHashConfig) -> Column:
             u, first = shingle_sets(s, cfg.shingle)
             size = np.diff(first)
             full = np.flatnonzero(size)
-            minima = np.zeros((len(size), cfg.hashes), U64)
+            banded = np.zeros((len(size), cfg.bands * cfg.rows), U64)
+            sig = np.zeros((len(size), cfg.longs), U64)
             if len(full):
                 x, at = (u >> U64(32)).astype(U32), first[:-1][full]
                 y = np.empty_like(x)
                 for i in range(cfg.hashes):
                     np.bitwise_xor(x, xor[i], out=y)
                     np.multiply(y, mul[i], out=y)
-                    minima[full, i] = np.minimum.reduceat(y, at)
+                    least = np.minimum.reduceat(y, at).astype(U64)
+                    if i < cfg.bands * cfg.rows:
+                        banded[full, i] = least
+                    long, bit = divmod(i * cfg.bits, 64)
+                    sig[full, long] |= (B.finish(least + U64(7)) & U64((1 << cfg.bits) - 1)) << U64(bit)
             with np.errstate(over="ignore"):
-                banded = minima[:, : cfg.bands * cfg.rows].reshape(-1, cfg.bands, cfg.rows)
+                banded = banded.reshape(-1, cfg.bands, cfg.rows)
                 bands = B.finish((B.finish(banded + U64(1)) * row_odd).sum(2) + B.splitmix(6, cfg.bands))
-                low = B.finish(minima + U64(7)) & U64((1 << cfg.bits) - 1)
-                per = 64 // cfg.bits
-                shift = np.arange(per, dtype=U64) * U64(cfg.bits)
-                sig = np.bitwise_or.reduce(low.reshape(-1, cfg.longs, per) << shift, axis=2)
             present = size > 0
             parts.append(pa.StructArray.from_arrays(
                 [pa.array(_digests(u, first), pa.binary()), pa.array(size.astype(np.int64)),
@@ -172,12 +177,16 @@ def signatures(docs: DataFrame, cfg: MinHashConfig) -> DataFrame:
     return materialize(signed.select("doc_id", "text_hash", "s.*"), "minhash-signatures")
 
 
-def _confirmed(docs: DataFrame, pairs: DataFrame, classes: DataFrame, cfg: MinHashConfig, name: str) -> DataFrame:
-    """The pairs (a, b) whose estimate, then full sets, reach the threshold."""
-    sig = classes.select("node", "sig")
-    near = (pairs.join(sig.toDF("a", "sa"), "a").join(sig.toDF("b", "sb"), "b")
-            .where(estimate(cfg, "sa", "sb") >= cfg.num / cfg.den - cfg.slack).select("a", "b"))
-    near = materialize(near, f"{name}-near")
+def _may_link(cfg: MinHashConfig, a: str, b: str) -> Column:
+    """Whether sizes and estimates of two classes (columns n_, sig_ with the
+    suffixes) leave room for the threshold."""
+    na, nb = F.col(f"n_{a}"), F.col(f"n_{b}")
+    sizes = cfg.den * F.least(na, nb) >= cfg.num * F.greatest(na, nb)
+    return sizes & (estimate(cfg, f"sig_{a}", f"sig_{b}") >= cfg.num / cfg.den - cfg.slack)
+
+
+def _confirmed(docs: DataFrame, near: DataFrame, classes: DataFrame, cfg: MinHashConfig, name: str) -> DataFrame:
+    """The pairs (a, b) of ``near`` whose full sets reach the threshold."""
     needed = (near.select(F.col("a").alias("node")).union(near.select("b")).distinct()
               .join(classes.select("node", "rep_doc"), "node"))
     needed = materialize(needed, f"{name}-needed")
@@ -214,7 +223,7 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
 
 
 def _split_hot(buckets: DataFrame, classes: DataFrame, cfg: MinHashConfig) -> DataFrame:
-    """Buckets (key, node, comp) of over ``hot_bucket`` classes, dealt anew by a
+    """Buckets (key, node, comp, split) of over ``hot_bucket`` classes, dealt anew by a
     further band key: two classes stay together if they share another band."""
     for _ in range(2):
         sizes = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > cfg.hot_bucket)
@@ -224,37 +233,100 @@ def _split_hot(buckets: DataFrame, classes: DataFrame, cfg: MinHashConfig) -> Da
         cold = buckets.join(sizes, "key", "left_anti")
         hot = (buckets.join(sizes, "key", "left_semi").join(classes.select("node", "bands"), "node")
                .select("key", "node", "comp", F.explode("bands").alias("band")).where("band != key")
-               .select(F.xxhash64("key", "band").alias("key"), "node", "comp"))
+               .select(F.xxhash64("key", "band").alias("key"), "node", "comp", F.lit(True).alias("split")))
         buckets = materialize(cold.unionByName(hot), "minhash-buckets")
     return buckets
 
 
+def _close_pairs(buckets: DataFrame, classes: DataFrame, cfg: MinHashConfig) -> DataFrame:
+    """Pairs (a, b) of classes of one bucket and different components that may
+    reach the threshold, by sizes and estimates.
+
+    A bucket is dealt in blocks of about ``hot_bucket`` classes at most, and a
+    group holds two blocks; a sorted partition is read group by group.
+    """
+    sizes = buckets.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / cfg.hot_bucket).cast("int").alias("blocks"))
+    rows = buckets.join(sizes, "key").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("key", "split", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "node", "comp")
+    rows = rows.join(classes.select("node", "n", "sig", "bands"), "node").repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
+    rows = rows.select("key", "lo", "hi", "own", "split", "node", "comp", "n", "sig", "bands")
+    chance, least = 2.0 ** -cfg.bits, cfg.num / cfg.den - cfg.slack
+    kept = U64({1: 2 ** 64 - 1, 2: 0x5555555555555555, 4: 0x1111111111111111}[cfg.bits])
+
+    def compare(t: pa.Table) -> tuple[list, list]:
+        key, lo, hi, own, split, _, comp, n, sig, bands = (t.column(c).combine_chunks() for c in range(10))
+        key, lo, hi, own, n = (c.to_numpy() for c in (key, lo, hi, own, n))
+        split = split.to_numpy(zero_copy_only=False)
+        _, comp = np.unique(np.array(comp.to_pylist(), object), return_inverse=True)
+        sig, bands = (c.flatten().to_numpy().reshape(len(n), -1) for c in (sig, bands))
+        sig = sig.view(U64)
+        left, right = [], []
+        for i in range(len(n) - 1):
+            j = np.arange(i + 1, len(n))
+            across = own[j] != own[i] if lo[i] != hi[i] else np.ones(len(j), bool)   # pairs in one block meet in its own group
+            j = j[across & (comp[j] != comp[i]) & (cfg.den * np.minimum(n[j], n[i]) >= cfg.num * np.maximum(n[j], n[i]))]
+            x = sig[j] ^ sig[i]
+            for shift in range(cfg.bits.bit_length() - 1):
+                x |= x >> U64(1 << shift)
+            differ = np.bitwise_count(x & kept).sum(1)
+            j = j[((1 - differ / cfg.hashes) - chance) / (1 - chance) >= least]
+            same = bands[j] == bands[i]
+            j = j[split[i] | (bands[i][same.argmax(1)] == key[i])]   # once, not in each bucket that they share
+            left += [i] * len(j)
+            right += j.tolist()
+        return left, right
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+        for b in itertools.chain(batches, [None]):
+            t = None if b is None else pa.Table.from_batches([b])
+            t = t if held is None else held if t is None else pa.concat_tables([held, t])
+            if t is None or not t.num_rows:
+                continue
+            code = np.stack([t.column(c).to_numpy() for c in range(3)])
+            ends = np.append(np.flatnonzero((code[:, 1:] != code[:, :-1]).any(0)) + 1, t.num_rows)
+            begins = np.concatenate(([0], ends[:-1]))
+            if b is not None:   # the last group may go on in the next batch
+                held = t.slice(int(begins[-1]))
+                begins, ends = begins[:-1], ends[:-1]
+            for a, z in zip(begins.tolist(), ends.tolist()):
+                group = t.slice(a, z - a)
+                left, right = compare(group)
+                node = group.column("node").combine_chunks()
+                one, two = node.take(pa.array(left, pa.int64())), node.take(pa.array(right, pa.int64()))
+                yield pa.record_batch([one, two], ["a", "b"])
+
+    return rows.mapInArrow(pairs, "a binary, b binary").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
 def near_duplicates(docs: DataFrame, cfg: MinHashConfig = MinHashConfig()) -> DataFrame:
     """One row a document: doc_id, text_hash, n_shingles, component_id, kept."""
     signed = signatures(docs, cfg)
     classes = materialize(
         signed.where("node is not null").groupBy("node")
-        .agg(F.min("doc_id").alias("rep_doc"), F.first("sig").alias("sig"), F.first("bands").alias("bands")),
+        .agg(F.min("doc_id").alias("rep_doc"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"), F.first("bands").alias("bands")),
         "minhash-classes")
-    buckets = classes.select(F.explode("bands").alias("key"), "node").distinct()
-    shared = materialize(buckets.groupBy("key").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("n"))
-                         .where("n > 1"), "minhash-shared")
-    buckets = materialize(buckets.join(shared, "key").select("key", "hub", "n", "node"), "minhash-members")
-    first = buckets.where("hub != node").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-    links = _confirmed(docs, first, classes, cfg, "minhash-hub")
+    keys = classes.select(F.explode(F.array_distinct("bands")).alias("key"), "node")
+    shared = materialize(keys.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "minhash-shared")
+    buckets = materialize(keys.join(shared, "key").select("key", "size", "node"), "minhash-members")
+    meets = materialize(buckets.groupBy("node").agg(F.sum("size").alias("meets")), "minhash-meets")
+    hubs = (buckets.join(meets, "node").groupBy("key").agg(F.max(F.struct("meets", "node")).alias("hub"))
+            .select("key", F.col("hub.node").alias("hub")))
+    first = materialize(buckets.join(hubs, "key").where("hub != node").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "minhash-hubs")
+    sides = [classes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("sig").alias(f"sig_{x}")) for x in "ab"]
+    near = materialize(first.join(sides[0], "a").join(sides[1], "b").where(_may_link(cfg, "a", "b")).select("a", "b"), "minhash-near")
+    links = _confirmed(docs, near, classes, cfg, "minhash-hub")
     label = components(links)
 
     # what is left: members of one bucket that are in different components
-    members = (buckets.where("n > 2").join(label, "node", "left")
-               .select("key", "hub", "node", F.coalesce("comp", "node").alias("comp")))
+    members = (buckets.where("size > 2").join(label, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp")))
     mixed = members.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi")
-    rest = materialize(members.join(mixed.select("key"), "key").where("hub != node").select("key", "node", "comp"), "minhash-rest")
+    rest = materialize(members.join(mixed.select("key"), "key").withColumn("split", F.lit(False)), "minhash-rest")
     if not rest.isEmpty():
-        rest = _split_hot(rest, classes, cfg).join(classes.select("node", "sig"), "node")
-        l, r = (rest.select(F.col("key"), *[F.col(c).alias(f"{c}_{x}") for c in ("node", "comp", "sig")]) for x in "lr")
-        close = (F.col("node_l") < F.col("node_r")) & (F.col("comp_l") != F.col("comp_r"))
-        close = close & (estimate(cfg, "sig_l", "sig_r") >= cfg.num / cfg.den - cfg.slack)
-        second = l.join(r, "key").where(close).select(F.col("node_l").alias("a"), F.col("node_r").alias("b")).distinct()
+        second = _close_pairs(_split_hot(rest, classes, cfg), classes, cfg).distinct()
+        second = second.join(first, (second["a"] == first["a"]) & (second["b"] == first["b"]), "left_anti")
+        second = second.join(first, (second["a"] == first["b"]) & (second["b"] == first["a"]), "left_anti")
         second = materialize(second, "minhash-second")
         if not second.isEmpty():
             links = links.union(_confirmed(docs, second, classes, cfg, "minhash-cross"))
