@@ -2,10 +2,21 @@
 
 from __future__ import annotations
 
-from . import minhash
+from . import ann, decontam, langid, lm, minhash, packing, quality, sharding, toxicity, warc
 
 QUERIES = {
     "op1_minhash": minhash.op1_minhash,
+    "op2_mil": toxicity.op2_mil,
+    "op3_attention": lm.op3_attention,
+    "op4_warc": warc.op4_warc,
+    "op5_gam": quality.op5_gam,
+    "op6_cutting_stock": packing.op6_cutting_stock,
+    "op7_codes": ann.op7_codes,
+    "op8_rendezvous": sharding.op8_rendezvous,
+    "op9_viterbi": langid.op9_viterbi,
+    "op10_templates": decontam.op10_templates,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    "op4_warc": warc.ORACLE_SQL,
+}
