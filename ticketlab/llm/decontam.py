@@ -69,8 +69,10 @@ def _is_number(x: Column) -> Column:
     return (x >= "0") & (x < ":")
 
 
-def canonical(raw: Column) -> Column:
-    """Canonical form of each raw token; null for breaks."""
+def canonical(tokens: str) -> Column:
+    """Canonical form of each token of a column of raw tokens; null for breaks."""
+    raw = F.col(tokens)
+
     def one(x: Column, i: Column) -> Column:
         # the token before; at the start of the text as if after a break
         before = F.when(i > 0, F.get(raw, i - 1)).otherwise(F.lit("."))
@@ -85,8 +87,17 @@ def canonical(raw: Column) -> Column:
     return F.transform(raw, one)
 
 
-def _tokens(text: str) -> Column:
-    return F.regexp_extract_all(F.col(text), F.lit(TOKEN), 0)
+def _raw(df: DataFrame, keys: list) -> DataFrame:
+    """keys and ``raw``: the tokens of ``text``, as a column of its own, since the
+    lambdas below look at neighbours and would else tokenise again each time."""
+    return df.select(*keys, F.regexp_extract_all(F.col("text"), F.lit(TOKEN), 0).alias("raw"))
+
+
+def _canonical_words(df: DataFrame, keys: list) -> DataFrame:
+    """keys and ``t``: the canonical tokens of ``text``."""
+    raw = _raw(df, keys)
+    names = [c for c in raw.columns if c != "raw"]
+    return raw.select(*names, F.filter(canonical("raw"), lambda t: t.isNotNull()).alias("t"))
 
 
 def _solid(tokens: Column) -> Column:
@@ -102,18 +113,17 @@ def _windows(tokens: str, width: Column) -> Column:
         F.sequence(F.lit(1), F.size(t) - width + 1), lambda i: F.xxhash64(F.slice(t, i, width), width)))
 
 
-def _slots(df: DataFrame, keys: list[str], text: str) -> DataFrame:
+def _slots(df: DataFrame, keys: list[str]) -> DataFrame:
     """Placeholders of each text: keys, place among the canonical tokens, kind, value."""
-    raw = _tokens(text)
-    both = F.filter(F.arrays_zip(canonical(raw).alias("c"), raw.alias("v")), lambda p: p["c"].isNotNull())
-    return (df.select(*keys, F.posexplode(both).alias("place", "t"))
+    both = F.filter(F.arrays_zip(canonical("raw").alias("c"), F.col("raw").alias("v")), lambda p: p["c"].isNotNull())
+    return (_raw(df, keys).select(*keys, F.posexplode(both).alias("place", "t"))
             .where(F.col("t.c").isin("#", "@unit", "@name"))
             .select(*keys, "place", F.col("t.c").alias("kind"), F.lower("t.v").alias("value")))
 
 
 def benchmark_windows(benchmark: DataFrame, cfg: DecontamConfig) -> DataFrame:
     """item_id, place, h, width, n_windows; written, so its size is known."""
-    items = (benchmark.where("text is not null").select("item_id", F.filter(canonical(_tokens("text")), lambda t: t.isNotNull()).alias("t"))
+    items = (_canonical_words(benchmark.where("text is not null"), ["item_id"])
              .where(F.size("t") >= cfg.min_tokens).withColumn("width", F.least(F.lit(cfg.window), F.size("t"))))
     runs = items.select("item_id", "width", F.posexplode(F.transform(
         F.sequence(F.lit(1), F.size("t") - F.col("width") + 1), lambda i: F.slice("t", i, F.col("width")))).alias("place", "run"))
@@ -132,8 +142,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, cfg: DecontamConfig = Deconta
     bench = benchmark_windows(benchmark, cfg)
     totals = bench.groupBy("item_id").agg(F.countDistinct("place").alias("item_windows"))
     widths = [r[0] for r in bench.select("width").distinct().collect()]  # at most cfg.window - min_tokens + 1 numbers
-    texts = docs.select("doc_id", F.xxhash64("text").alias("text_hash"),
-                        F.filter(canonical(_tokens("text")), lambda t: t.isNotNull()).alias("t"))
+    texts = _canonical_words(docs, ["doc_id", F.xxhash64("text").alias("text_hash")])
     hits = None
     for width in sorted(widths):
         w = (texts.select("doc_id", "text_hash", F.posexplode(_windows("t", F.lit(width))).alias("at", "h"))
@@ -156,7 +165,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, cfg: DecontamConfig = Deconta
     on = [F.col(f"h.{c}").eqNullSafe(F.col(f"b.{c}")) for c in ("doc_id", "text_hash", "item_id", "shift")]
     stretch = (covered.alias("h").join(best.alias("b"), on[0] & on[1] & on[2] & on[3], "left_semi")
                .select("doc_id", "text_hash", "item_id", "shift", F.explode(F.sequence(F.col("place"), F.col("place") + F.col("width") - 1)).alias("place")).distinct())
-    item_slots = materialize(_slots(benchmark, ["item_id"], "text"), "decontam-item-slots")
+    item_slots = materialize(_slots(benchmark, ["item_id"]), "decontam-item-slots")
     wanted = stretch.alias("s").join(item_slots.alias("i"), F.col("s.item_id").eqNullSafe(F.col("i.item_id")) & (F.col("s.place") == F.col("i.place"))) \
         .select("s.doc_id", "s.text_hash", "s.item_id", (F.col("s.place") + F.col("s.shift")).alias("at"), F.col("i.kind").alias("kind"), F.col("i.value").alias("item_value"))
     wanted = materialize(wanted, "decontam-wanted")
@@ -164,7 +173,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, cfg: DecontamConfig = Deconta
     d = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).alias("d")
     same_doc = lambda l, r: F.col(f"{l}.doc_id").eqNullSafe(F.col(f"{r}.doc_id")) & (F.col(f"{l}.text_hash") == F.col(f"{r}.text_hash"))
     own_texts = d.join(owners.alias("o"), same_doc("d", "o"), "left_semi")
-    doc_slots = _slots(own_texts, ["doc_id", "text_hash"], "text").distinct()
+    doc_slots = _slots(own_texts, ["doc_id", "text_hash"]).distinct()
     values = (wanted.alias("w").join(doc_slots.alias("v"), same_doc("w", "v") & (F.col("w.at") == F.col("v.place")))
               .select("w.doc_id", "w.text_hash", "w.item_id", "w.kind", "w.item_value", F.col("v.value").alias("doc_value")).distinct())
     key = ["doc_id", "text_hash", "item_id"]
