@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
+
 from . import ann, decontam, langid, lm, minhash, packing, quality, sharding, toxicity, warc
 
 QUERIES = {
@@ -15,6 +17,7 @@ QUERIES = {
     "op8_rendezvous": sharding.op8_rendezvous,
     "op9_viterbi": langid.op9_viterbi,
     "op10_templates": decontam.op10_templates,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLE_SQL = {

@@ -240,11 +240,11 @@ ORACLE_SQL = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
 d AS (SELECT page_id, octet_length(encode(body))::BIGINT AS payload_bytes, body, sha1(body) AS hex FROM p),
 g AS (SELECT body, min(page_id) AS first_id FROM d GROUP BY body),
-bits AS (SELECT d.*, first_id, array_to_string(list_transform(string_split(hex, ''), c -> lpad(bin(('0x' || c)::INT), 4, '0')), '') AS b
+bits AS (SELECT d.*, first_id, array_to_string(list_transform(string_split(hex, ''), lambda c: lpad(bin(('0x' || c)::INT), 4, '0')), '') AS b
          FROM d JOIN g USING (body))
 SELECT page_id, payload_bytes,
-  array_to_string(list_transform(range(0, 32), i -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
-    1 + list_sum(list_transform(range(0, 5), j -> CASE WHEN substr(b, 5 * i + j + 1, 1) = '1' THEN (1 << (4 - j)) ELSE 0 END))::INT, 1)), '') AS payload_digest,
+  array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    1 + list_sum(list_transform(range(0, 5), lambda j: CASE WHEN substr(b, 5 * i + j + 1, 1) = '1' THEN (1 << (4 - j)) ELSE 0 END))::INT, 1)), '') AS payload_digest,
   CASE WHEN first_id IS NULL OR page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
   CASE WHEN first_id IS NULL OR page_id = first_id THEN NULL ELSE first_id END AS refers_to
 FROM bits
