@@ -87,7 +87,7 @@ def test_knapsack_is_exact():
 def test_linear_program_reaches_the_bound():
     """Sizes 60, 40 and 50 fill a capacity of 100 without waste."""
     sizes, counts = np.array([40, 50, 60]), np.array([300.0, 200.0, 300.0])
-    basis = P.solve(sizes, counts, 100, 1000)
+    basis = P.solve(sizes, counts, 100, P.PackConfig(gap=0))
     assert sum(x for x, _ in basis) == pytest.approx(400)
     held = np.zeros(3)
     for x, pattern in basis:

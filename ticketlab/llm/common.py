@@ -8,7 +8,16 @@ from pyspark.sql import functions as F
 from ..session import ensure_checkpoint_dir, materialize, scratch_path  # noqa: F401
 
 
+#: Bytes of a batch sent to Python at most (or one row), whatever the texts' lengths.
+BATCH_BYTES = 16 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import bytetext as B
-from .common import materialize, ranked
+from .common import bounded_batches, materialize, ranked, read
 from .tokens import END_ID, SLICE_BYTES, default_path, piece_ids
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
@@ -45,7 +45,9 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 class PackConfig:
     length: int = 2048
     unit: int = 4
-    max_columns: int = 20_000   # a stop for the linear program; any basis is a valid packing
+    gap: float = 0.002          # the linear program ends this near its lower bound
+    smoothing: float = 0.8
+    max_columns: int = 1500     # a stop for the linear program; any basis is a valid packing
     tokenizer: str | None = None
 
 
@@ -97,23 +99,58 @@ def best_pattern(value: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[f
     return float(best[capacity]), dict(items)
 
 
-def solve(sizes: np.ndarray, counts: np.ndarray, capacity: int, max_columns: int) -> list[tuple[float, dict[int, int]]]:
+def first_basis(sizes: np.ndarray, counts: np.ndarray, capacity: int) -> tuple[list[dict[int, int]], np.ndarray]:
+    """A basis to begin with: the fullest pattern of the sizes left, larger ones
+    first, as often as they last, again and again. Each pattern uses a size up, and
+    later ones do not hold it, so the patterns' matrix is triangular."""
+    left, alive = counts.astype(float), np.ones(len(sizes), bool)
+    basis: list[dict[int, int]] = [{} for _ in sizes]
+    x = np.zeros(len(sizes))
+    value = sizes * (1 + 0.05 * sizes / capacity)
+    while alive.any():
+        at = np.flatnonzero(alive)
+        _, found = best_pattern(value[at], sizes[at], capacity)
+        pattern = {int(at[i]): a for i, a in found.items()}
+        end = min(pattern, key=lambda i: left[i] / pattern[i])
+        times = left[end] / pattern[end]
+        for i, a in pattern.items():
+            left[i] = max(left[i] - times * a, 0.0)
+        basis[end], x[end], alive[end] = pattern, times, False
+        for i in np.flatnonzero(alive & (left <= 1e-9)):   # used up by the same pattern
+            basis[i], alive[i] = {int(i): int(capacity // sizes[i])}, False
+    return basis, x
+
+
+def solve(sizes: np.ndarray, counts: np.ndarray, capacity: int, cfg: PackConfig) -> list[tuple[float, dict[int, int]]]:
     """Basis of the linear program: minimise the sum of x over patterns, subject
     to holding each size ``counts`` times. Revised simplex with an explicit
-    inverse; sizes are at most ``capacity``."""
-    m = len(sizes)
-    fits = capacity // sizes
-    basis = [{i: int(fits[i])} for i in range(m)]
-    inverse = np.diag(1.0 / fits)
-    x = counts / fits
-    for _ in range(max_columns):
-        price = inverse.sum(0)
-        worth, pattern = best_pattern(price, sizes, capacity)
-        if worth <= 1 + 1e-9:
+    inverse; sizes are at most ``capacity``.
+
+    Dual prices swing widely from column to column, so columns are priced
+    between the current prices and the best ones so far, those of the largest
+    lower bound; at first a size's share of the capacity. The program ends when its
+    value is within ``gap`` of that bound, or no pattern is worth more than 1.
+    """
+    basis, x = first_basis(sizes, counts, capacity)
+    inverse = np.linalg.inv(np.array([[p.get(i, 0) for p in basis] for i in range(len(sizes))], float))
+    centre, bound, weight = sizes / capacity, float((counts * sizes).sum() / capacity), cfg.smoothing
+    for _ in range(cfg.max_columns):
+        if x.sum() <= bound * (1 + cfg.gap):
             break
+        price = inverse.sum(0)
+        between = weight * centre + (1 - weight) * price
+        worth, pattern = best_pattern(between, sizes, capacity)
         at, times = np.array(list(pattern)), np.array(list(pattern.values()), float)
+        if worth > 0 and (counts * between).sum() / worth > bound:
+            bound, centre = float((counts * between).sum() / worth), between / worth
+        if not len(at) or (price[at] * times).sum() <= 1 + 1e-9:
+            if weight == 0:
+                break
+            weight = weight / 2 if weight > 0.01 else 0.0
+            continue
+        weight = cfg.smoothing
         direction = inverse[:, at] @ times
-        up = direction > 1e-12
+        up = direction > 1e-9
         ratio = np.where(up, x / np.where(up, direction, 1), np.inf)
         leave = int(ratio.argmin())
         step = ratio[leave]
@@ -135,7 +172,7 @@ def plan(histogram: dict[int, int], cfg: PackConfig) -> list[tuple[int, Counter]
     counts = np.array([histogram[s] for s in sizes])
     left = counts.copy()
     out: list[tuple[int, Counter]] = []
-    for x, pattern in solve(sizes, counts.astype(float), capacity, cfg.max_columns):
+    for x, pattern in solve(sizes, counts.astype(float), capacity, cfg):
         times = int(x + 1e-6)
         for i, a in pattern.items():
             times = min(times, int(left[i]) // a)
@@ -157,6 +194,7 @@ def plan(histogram: dict[int, int], cfg: PackConfig) -> list[tuple[int, Counter]
 def pack(docs: DataFrame, cfg: PackConfig = PackConfig()) -> DataFrame:
     """Columns of ``PIECES``, sequence_id and offset."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     cut = pieces(docs, cfg).withColumn("bar", F.ceil(F.col("length") / cfg.unit).cast("int"))
     cut = cut.withColumn("bar", F.when(F.col("length") < cfg.length, F.col("bar")).otherwise(-1))  # -1: full
     dealt = materialize(ranked(cut, ["bar"], ["doc_id", "start", "ids_crc32"], "rank"), "pack-pieces")
@@ -182,4 +220,4 @@ def pack(docs: DataFrame, cfg: PackConfig = PackConfig()) -> DataFrame:
 
 
 def op6_cutting_stock(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return pack(read(spark, sf_dir, "documents"))

@@ -16,8 +16,8 @@ of entries; beyond, pieces are encoded again.
 
 from __future__ import annotations
 
-import itertools
 import os
+from array import array
 
 import numpy as np
 
@@ -25,8 +25,8 @@ from . import bytetext as B
 
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
-KEPT = 800_000
-SLICE_BYTES = 8 << 20
+KEPT = 400_000
+SLICE_BYTES = 2 << 20
 
 LETTER = np.zeros(256, bool)
 for _a, _z in ("AZ", "az"):
@@ -86,13 +86,15 @@ class PieceIds:
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.chars = _byte_chars()
-        self.kept: dict[int, tuple[int, ...]] = {}
+        self.kept: dict[int, bytes] = {}   # ids as 16-bit numbers; the vocabulary is smaller than that
 
-    def _encode(self, piece: bytes, plain: bool) -> tuple[int, ...]:
+    def _encode(self, piece: bytes, plain: bool) -> bytes:
         if plain:
             mapped = piece.decode() if piece.isascii() else "".join([self.chars[b] for b in piece])
-            return tuple([t.id for t in self.model.tokenize(mapped)])
-        return tuple(self.tokenizer.encode(piece.decode("utf-8", "replace"), add_special_tokens=False).ids)
+            ids = [t.id for t in self.model.tokenize(mapped)]
+        else:
+            ids = self.tokenizer.encode(piece.decode("utf-8", "replace"), add_special_tokens=False).ids
+        return array("H", ids).tobytes()
 
     def slice(self, s: B.Slice) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another (uint32), and where each text's
@@ -105,13 +107,13 @@ class PieceIds:
             got[i] = ids = self._encode(raw[a[i]: z[i]], p[i])
             if len(kept) < KEPT:
                 kept[int(distinct[i])] = ids
-        sizes = np.fromiter(map(len, got), np.int64, len(got))
-        flat = np.fromiter(itertools.chain.from_iterable(got), np.uint32, int(sizes.sum()))
+        sizes = np.fromiter(map(len, got), np.int64, len(got)) // 2
+        flat = np.frombuffer(b"".join(got), np.uint16)
         begin = np.concatenate(([0], np.cumsum(sizes)))
         each = sizes[place]
         upto = np.concatenate(([0], np.cumsum(each)))
         ids = flat[np.arange(upto[-1]) - np.repeat(upto[:-1] - begin[place], each)]
-        return ids, upto[first]
+        return ids.astype(np.uint32), upto[first]
 
 
 _LOADED: dict[str, PieceIds] = {}
