@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, read
 
 
 @dataclass(frozen=True)
@@ -148,5 +148,5 @@ def search(rows: DataFrame, queries: DataFrame, cfg: CodeConfig = CodeConfig())
 
 
 def op7_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = materialize(index(spark.read.parquet(f"{sf_dir}/embeddings.parquet")), "ann-index")
+    rows = materialize(index(read(spark, sf_dir, "embeddings")), "ann-index")
     return search(rows, rows.where("vec_id % 20 = 0"))

@@ -36,7 +36,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh, materialize
+from .common import fresh, materialize, read
 
 # ---------------------------------------------------------------------------
 # Units of measure, money and time that may follow a number.
@@ -202,5 +202,44 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, cfg: DecontamConfig = D
 
 
 def op10_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = matches(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    found = matches(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
     return found.where("contaminated").select("doc_id", "item_id", "kind", "n_windows", "share", "place", "slots")
+
+
+_CANON = """CASE WHEN x IN ('.', '!', '?', chr(10)) THEN NULL
+  WHEN x >= '0' AND x < ':' THEN '#'
+  WHEN r[i - 1] >= '0' AND r[i - 1] < ':' AND (x = '%' OR lower(x) IN ({units})) THEN '@unit'
+  WHEN x = lower(x) THEN x
+  WHEN i > 1 AND r[i - 1] NOT IN ('.', '!', '?', chr(10)) AND substr(x, 2) = substr(lower(x), 2) AND length(x) > 1 THEN '@name'
+  ELSE lower(x) END""".format(units=", ".join(f"'{u}'" for u in UNITS))
+
+#: The same rows by window texts instead of hashes, for items of eight tokens or more.
+ORACLE_SQL = f"""
+WITH texts AS (SELECT 0 AS side, doc_id AS id, text FROM documents WHERE text IS NOT NULL
+               UNION ALL SELECT 1, item_id, text FROM benchmark WHERE text IS NOT NULL),
+raw AS (SELECT side, id, regexp_extract_all(text, '{TOKEN}') AS r FROM texts),
+canon AS (SELECT side, id, list_filter(list_transform(r, lambda x, i: {{'c': {_CANON}, 'v': lower(x)}}), lambda p: p.c IS NOT NULL) AS t FROM raw),
+places AS (SELECT side, id, t, unnest(range(0, len(t) - 7)) AS place FROM canon WHERE len(t) >= 8),
+runs AS (SELECT side, id, place, list_transform(t[place + 1 : place + 8], lambda p: p.c) AS w FROM places),
+solid AS (SELECT *, len(list_filter(w, lambda c: c IN ('#', '@unit', '@name'))) <= 4 AS ok FROM runs WHERE side = 1),
+bench AS (SELECT DISTINCT id, place, w FROM (SELECT *, bool_or(ok) OVER (PARTITION BY id) AS any_ok FROM solid) WHERE ok OR NOT any_ok),
+totals AS (SELECT id, count(DISTINCT place) AS item_windows FROM bench GROUP BY id),
+hits AS (SELECT d.id AS doc_id, b.id AS item_id, d.place AS pos, b.place AS place FROM runs d JOIN bench b ON d.side = 0 AND d.w = b.w),
+lines AS (SELECT doc_id, item_id, pos - place AS shift, count(DISTINCT place) AS n_windows, min(pos) AS first FROM hits GROUP BY ALL),
+best AS (SELECT * FROM lines QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY n_windows DESC, first, shift DESC) = 1),
+stretch AS (SELECT DISTINCT h.doc_id, h.item_id, b.shift, h.place + o.k AS place FROM hits h JOIN best b ON h.doc_id = b.doc_id AND h.item_id = b.item_id
+            AND h.pos - h.place = b.shift, (SELECT unnest(range(0, 8)) AS k) o),
+slot AS (SELECT DISTINCT s.doc_id, s.item_id, i.t[s.place + 1].c AS kind, i.t[s.place + 1].v AS item_value, d.t[s.place + s.shift + 1].v AS doc_value
+         FROM stretch s JOIN canon i ON i.side = 1 AND i.id = s.item_id JOIN canon d ON d.side = 0 AND d.id = s.doc_id
+         WHERE i.t[s.place + 1].c IN ('#', '@unit', '@name')),
+forward AS (SELECT doc_id, item_id, kind, item_value, count(*) AS n, min(doc_value) AS v FROM slot GROUP BY ALL),
+backward AS (SELECT doc_id, item_id, kind, doc_value, count(*) AS n FROM slot GROUP BY ALL),
+f AS (SELECT doc_id, item_id, count(*) AS slots, max(n) AS most, bool_and(n = 1 AND v = item_value) AS same FROM forward GROUP BY ALL),
+b AS (SELECT doc_id, item_id, max(n) AS most FROM backward GROUP BY ALL),
+kinds AS (SELECT doc_id, item_id, slots, CASE WHEN same THEN 'exact' WHEN greatest(f.most, b.most) = 1 THEN 'reparameterised' ELSE 'template' END AS kind
+          FROM f JOIN b USING (doc_id, item_id))
+SELECT t.doc_id, t.item_id, coalesce(k.kind, 'exact') AS kind, t.n_windows::BIGINT AS n_windows, t.n_windows / item_windows AS share, t.first::INT AS place,
+       coalesce(k.slots, 0)::BIGINT AS slots
+FROM best t JOIN totals ON totals.id = t.item_id LEFT JOIN kinds k USING (doc_id, item_id)
+WHERE coalesce(k.kind, 'exact') <> 'template' AND t.n_windows / item_windows >= 0.3
+"""

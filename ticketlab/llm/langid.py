@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bytetext as B
-from .common import fold, read, training_sample
+from .common import bounded_batches, fold, read, training_sample
 
 
 @dataclass(frozen=True)
@@ -207,6 +207,7 @@ RESULT = "struct<lang:string,score:double,spans:array<struct<start:bigint,end:bi
 
 def identifier(spark: SparkSession, model: LangModel, cfg: LangConfig = LangConfig()):
     """UDF of a text: language, score, and spans (byte places) of languages."""
+    bounded_batches(spark)
     held = spark.sparkContext.broadcast(model)   # cfg.table floats a language
 
     def identify(texts: pa.Array) -> pa.Array:

@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bytetext as B
-from .common import fresh, materialize
+from .common import bounded_batches, fresh, materialize, read
 
 U32, U64 = np.uint32, np.uint64
 
@@ -173,6 +173,7 @@ def estimate(cfg: MinHashConfig, a: str, b: str) -> Column:
 
 def signatures(docs: DataFrame, cfg: MinHashConfig) -> DataFrame:
     """One row a document: doc_id, text_hash, node, n_shingles, sig, bands."""
+    bounded_batches(docs.sparkSession)
     signed = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), signature_udf(cfg)("text").alias("s"))
     return materialize(signed.select("doc_id", "text_hash", "s.*"), "minhash-signatures")
 
@@ -361,5 +362,21 @@ def keep_one(docs: DataFrame, cfg: MinHashConfig = MinHashConfig()) -> DataFrame
 
 
 def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = read(spark, sf_dir, "documents")
     return near_duplicates(docs).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+#: The same rows by full sets alone: every pair that shares a shingle is counted.
+ORACLE_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                   '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents),
+g AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(words) >= 3 THEN list_transform(range(1, len(words) - 1), lambda i: array_to_string(words[i : i + 2], ' '))
+                                          WHEN len(words) > 0 THEN [array_to_string(words, ' ')] ELSE [] END) AS shingle FROM w),
+n AS (SELECT doc_id, count(*) AS size FROM g GROUP BY doc_id),
+links AS (SELECT a.doc_id AS x, b.doc_id AS y FROM g a JOIN g b USING (shingle) JOIN n p ON p.doc_id = a.doc_id JOIN n q ON q.doc_id = b.doc_id
+          WHERE a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id, p.size, q.size HAVING 100 * count(*) >= 85 * (p.size + q.size - count(*))),
+reach AS (SELECT doc_id AS x, doc_id AS y FROM w UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x),
+c AS (SELECT x AS doc_id, min(y) AS component_id FROM reach GROUP BY x)
+SELECT doc_id, coalesce(size, 0)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept FROM c LEFT JOIN n USING (doc_id)
+"""

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bytetext as B
-from .common import fold, fresh, label_table, read, training_sample
+from .common import bounded_batches, fold, fresh, label_table, read, training_sample
 
 
 @dataclass(frozen=True)
@@ -213,6 +213,7 @@ def train(docs: DataFrame, ids: DataFrame, cfg: GamConfig = GamConfig()) -> Gam:
 
 def scorer(spark: SparkSession, model: Gam):
     """UDF of a text: its score."""
+    bounded_batches(spark)
     held = spark.sparkContext.broadcast(model)   # some tables of at most 48 numbers
 
     def score(texts: pa.Array) -> pa.Array:

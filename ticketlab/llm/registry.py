@@ -21,5 +21,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op1_minhash": minhash.ORACLE_SQL,
     "op4_warc": warc.ORACLE_SQL,
+    "op10_templates": decontam.ORACLE_SQL,
 }

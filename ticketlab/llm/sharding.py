@@ -18,7 +18,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ranked
+from .common import ranked, read
 
 #: The law of this placement: key and shards alone decide.
 LAW = "key"
@@ -51,7 +51,7 @@ def write_shards(df: DataFrame, keys: Sequence[str], weights: Sequence[float], p
 
 
 def op8_rendezvous(spark: SparkSession, sf_dir: str, shards: int = 8) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = read(spark, sf_dir, "documents")
     text = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
     rows = docs.select(
         "doc_id",

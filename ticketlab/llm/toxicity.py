@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bytetext as B
-from .common import fold, fresh, label_table, read, training_sample
+from .common import bounded_batches, fold, fresh, label_table, read, training_sample
 
 
 @dataclass(frozen=True)
@@ -150,6 +150,7 @@ RESULT = "struct<score:double,n_sentences:bigint,offending:array<struct<start:bi
 def scorer(spark: SparkSession, model: tuple[np.ndarray, float], cfg: MilConfig = MilConfig(), at_least: float = 0.5):
     """UDF of a text: its score, number of sentences, and the sentences (byte
     places) that score ``at_least`` this much by themselves."""
+    bounded_batches(spark)
     held = spark.sparkContext.broadcast(model)   # cfg.buckets floats
 
     def score(texts: pa.Array) -> pa.Array:

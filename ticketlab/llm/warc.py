@@ -39,7 +39,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, scratch_path
+from .common import materialize, read, scratch_path
 
 MARK = "WARC/1.1"
 CRLF = "\r\n"
@@ -232,7 +232,7 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "warc")
-    write_archive(spark.read.parquet(f"{sf_dir}/pages.parquet"), path)
+    write_archive(read(spark, sf_dir, "pages"), path)
     return read_records(spark, path)
 
 
