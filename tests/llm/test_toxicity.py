@@ -47,15 +47,19 @@ def test_held_out_accuracy_and_located_sentences(spark, model):
 
 
 def test_score_is_the_noisy_or_of_the_sentences(spark, model):
-    weights, b = model
+    weights, b, leak = model
     cfg = X.MilConfig()
     text = "word1 blorg word2! word3 word4? Snarf word5\nword6. ... word7"
     g = X.bags(next(iter(B.slices(pa.array([text])))), cfg)
     assert len(g.doc) == 5
-    z = [b + weights[g.words[a:e]].sum() for a, e in zip(g.first[:-1], g.first[1:])]
-    p = 1 / (1 + np.exp(-np.array(z)))
+    p = []
+    for a, e in zip(g.first[:-1], g.first[1:]):
+        w = weights[g.words[a:e]].astype(float)
+        p.append(1 / (1 + np.exp(-b - w.sum())) if (w != 0).any() else 0.0)
+    assert p[0] > 0.5 and p[2] > 0.5 and p[1] == 0
+    p = np.array(p)
     got = spark.createDataFrame([(text,)], "text string").select(X.scorer(spark, model, at_least=0.0)("text").alias("t")).first().t
-    assert got.score == pytest.approx(1 - np.prod(1 - p), rel=1e-6) and [o.score for o in got.offending] == pytest.approx(list(p), rel=1e-6)
+    assert got.score == pytest.approx(1 - np.prod(1 - p) / (1 + np.exp(leak)), rel=1e-6) and [o.score for o in got.offending] == pytest.approx(list(p), rel=1e-6)
     assert text.encode()[got.offending[2].start:got.offending[2].end] == b"Snarf word5"
 
 
@@ -63,8 +67,8 @@ def test_edge_cases(spark, model):
     long = "word1 word2. " * 30_000 + "blorg"
     rows = [(1, None), (2, ""), (3, "...!?\n"), (None, "word1"), (5, long), (5, long), (6, "word1 word2. " * 30_000)]
     got = spark.createDataFrame(rows, "doc_id long, text string").select("doc_id", X.scorer(spark, model)("text").alias("t")).collect()
-    assert [r.t.score for r in got[:3]] == [0, 0, 0] and [r.t.n_sentences for r in got[:3]] == [0, 0, 0]
-    assert got[4].t.score == got[5].t.score > got[6].t.score
+    assert [r.t.score for r in got[:3]] == pytest.approx([1 / (1 + np.exp(-model[2]))] * 3) and [r.t.n_sentences for r in got[:3]] == [0, 0, 0]
+    assert got[4].t.score == got[5].t.score > 0.9 and got[6].t.score < 0.1
 
 
 @pytest.mark.parametrize("labels", [[], [(1, 0), (2, 0)], [(None, 1), (3, None)]])

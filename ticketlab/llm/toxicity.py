@@ -2,7 +2,9 @@
 
 A document is a bag of sentences; only documents are labelled. A sentence's
 score is p = sigmoid(b + sum of the weights of its words and word beginnings);
-the document's is the noisy-or 1 - prod(1 - p): one bad sentence makes it bad.
+the document's is the noisy-or 1 - (1 - leak) prod(1 - p): one bad sentence
+makes it bad. The leak stands for all that words do not tell, however long the
+text; a sentence without any word of weight scores 0.
 The weights (a hashed table) are fitted on document labels alone, by full-batch
 Adam on the likelihood of the noisy-or, over a bounded sample; the sentences
 that carry a document's score can then be named. Words that are not clearly
@@ -13,12 +15,13 @@ Sentences end at ``. ! ?`` and line ends; words are runs of ASCII letters, digit
 and non-ASCII bytes, A-Z lowered.
 
 Edge cases: a null or empty text, or one without words, has no sentence and
-scores 0; equal texts score alike; without a labelled document of both kinds
-the model is its prior, and scores say nothing (all weights 0).
+scores the leak; equal texts score alike; without a labelled document of both
+kinds the leak is the prior, and scores say nothing (all weights 0).
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bytetext as B
-from .common import bounded_batches, fold, fresh, label_table, read, training_sample
+from .common import bounded_batches, fold, fresh, label_table, materialize, read, training_sample
 
 
 @dataclass(frozen=True)
@@ -41,7 +44,7 @@ class MilConfig:
     rate: float = 0.1
     z: float = 3.0                 # standard errors above the sample's toxic share
     l1: float = 1.0                # documents of evidence that a weight has to outweigh
-    prior: float = -7.0            # b at the start: a sentence is rarely toxic
+    prior: float = -4.0            # b, and the leak's log odds, at the start
 
 
 WORD = np.zeros(256, bool)
@@ -88,79 +91,104 @@ def softplus(z: np.ndarray) -> np.ndarray:
     return np.logaddexp(0, z)
 
 
-def fit(first: np.ndarray, words: np.ndarray, sentence_doc: np.ndarray, y: np.ndarray, cfg: MilConfig) -> tuple[np.ndarray, float]:
-    """Weights and b. ``first``: sentences' entries; ``sentence_doc``: ascending."""
-    weights, b, n = np.zeros(cfg.buckets), cfg.prior, len(y)
-    if len(words) == 0 or y.min() == y.max():
-        return weights.astype(np.float32), b
+Weights = tuple[np.ndarray, float, float]   # of table entries, b, log odds of the leak
+
+
+def fit(sentence_doc: np.ndarray, first: np.ndarray, words: np.ndarray, y: np.ndarray, cfg: MilConfig) -> Weights:
+    """Sentences with evidence: their document (ascending) and where their
+    entries of ``words`` begin; y: each document's label."""
+    weights, b, leak, n = np.zeros(cfg.buckets), cfg.prior, cfg.prior, len(y)
+    if n == 0 or y.min() == y.max():
+        return weights.astype(np.float32), b, leak
     of_sentence = np.repeat(np.arange(len(first) - 1), np.diff(first))
-    pairs = np.unique(sentence_doc[of_sentence] * cfg.buckets + words)
-    seen = np.bincount(pairs % cfg.buckets, minlength=cfg.buckets)
-    toxic = np.bincount(pairs % cfg.buckets, y[pairs // cfg.buckets], cfg.buckets)
-    share = y.mean()
-    evidence = (seen >= cfg.min_documents) & (toxic - seen * share >= cfg.z * np.sqrt(seen * share * (1 - share)))
-    keep = evidence[words]
-    used, words = np.unique(words[keep], return_inverse=True)
-    telling, of_sentence = np.unique(of_sentence[keep], return_inverse=True)   # sentences with evidence
-    doc = sentence_doc[telling]
-    plain = np.bincount(sentence_doc, minlength=n) - np.bincount(doc, minlength=n)   # sentences without
-    w, m, v = np.zeros(len(used)), np.zeros(len(used) + 1), np.zeros(len(used) + 1)
+    used, words = np.unique(words, return_inverse=True)
+    w, m, v = np.zeros(len(used)), np.zeros(len(used) + 2), np.zeros(len(used) + 2)
     for t in range(1, cfg.rounds + 1):
-        z = b + np.bincount(of_sentence, w[words], len(telling))
-        p, p0 = 1 / (1 + np.exp(-z)), 1 / (1 + np.exp(-b))
-        total = np.maximum(np.bincount(doc, softplus(z), n) + plain * softplus(b), 1e-12)
+        z = b + np.bincount(of_sentence, w[words], len(sentence_doc))
+        p = 1 / (1 + np.exp(-z))
+        total = np.maximum(np.bincount(sentence_doc, softplus(z), n) + softplus(leak), 1e-12)
         slope = np.where(y > 0, -1 / np.expm1(np.minimum(total, 500)), 1.0) / n
-        each = slope[doc] * p
+        each = slope[sentence_doc] * p
         grad = np.append(np.bincount(words, each[of_sentence], len(used)) + cfg.l1 / n * w / np.sqrt(w ** 2 + 1e-4),
-                         each.sum() + (slope * plain).sum() * p0)
+                         [each.sum(), slope.sum() / (1 + np.exp(-leak))])
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad ** 2
         step = cfg.rate * (m / (1 - 0.9 ** t)) / (np.sqrt(v / (1 - 0.999 ** t)) + 1e-9)
-        w, b = w - step[:-1], b - step[-1]
+        w, b, leak = w - step[:-2], b - step[-2], leak - step[-1]
     weights[used] = w
-    return weights.astype(np.float32), float(b)
-
-
-def train(docs: DataFrame, ids: DataFrame, cfg: MilConfig = MilConfig()) -> tuple[np.ndarray, float]:
+    return weights.astype(np.float32), float(b), float(leak)
+
+
+def evidence(sample: DataFrame, cfg: MilConfig) -> np.ndarray:
+    """Table entries that are clearly more frequent in toxic documents of the
+    sample (text, label). Tasks count documents by entry, a shuffle adds up."""
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, toxic = np.zeros(cfg.buckets), np.zeros(cfg.buckets)
+        for batch in batches:
+            y = batch.column(1).to_numpy(zero_copy_only=False).astype(float)
+            for s in B.slices(batch.column(0)):
+                g = bags(s, cfg)
+                pairs = np.unique(np.repeat(g.doc, np.diff(g.first)) * cfg.buckets + g.words)
+                seen += np.bincount(pairs % cfg.buckets, minlength=cfg.buckets)
+                toxic += np.bincount(pairs % cfg.buckets, y[s.first + pairs // cfg.buckets], cfg.buckets)
+        at = np.flatnonzero(seen)
+        yield pa.record_batch([pa.array(at), pa.array(seen[at]), pa.array(toxic[at])], ["entry", "seen", "toxic"])
+    share = sample.agg(F.avg("label")).first()[0] or 0.0
+    counts = sample.select("text", "label").mapInArrow(count, "entry long, seen double, toxic double").groupBy("entry").agg(
+        F.sum("seen").alias("seen"), F.sum("toxic").alias("toxic"))
+    clear = F.col("toxic") - F.col("seen") * share >= cfg.z * F.sqrt(F.col("seen") * (share * (1 - share)))
+    found = counts.where((F.col("seen") >= cfg.min_documents) & clear).select("entry").toArrow()   # at most cfg.buckets numbers
+    return np.sort(found["entry"].to_numpy())
+
+
+def train(docs: DataFrame, ids: DataFrame, cfg: MilConfig = MilConfig()) -> Weights:
     """Fit on a bounded sample of the labelled documents ``ids`` (doc_id, label
-    0 or 1). Executors turn texts into word indices; the driver gets those."""
+    0 or 1). Executors find the entries with evidence and the sentences that
+    hold any; the driver gets those."""
+    sample = materialize(training_sample(docs, ids, cfg.sample_rows, cfg.sample_bytes), "toxicity-sample")
+    telling = np.zeros(cfg.buckets, bool)
+    telling[evidence(sample, cfg)] = True
+    held = docs.sparkSession.sparkContext.broadcast(telling)
+
     def index(texts: pa.Array) -> pa.Array:
         out = []
         for s in B.slices(texts):
             g = bags(s, cfg)
-            per_doc = np.searchsorted(g.doc, np.arange(len(s.offsets)))
-            for a, z in zip(per_doc[:-1], per_doc[1:]):
-                lo, hi = g.first[a], g.first[z]
-                out.append({"sizes": np.diff(g.first[a: z + 1]), "words": g.words[lo:hi]})
+            keep = held.value[g.words]
+            size = B.per_text(keep.astype(np.int64), g.first)
+            words, first = g.words[keep], np.concatenate(([0], np.cumsum(size)))
+            for a, z in zip(*(lambda x: (x[:-1], x[1:]))(np.searchsorted(g.doc, np.arange(len(s.offsets))))):
+                own = size[a:z]
+                out.append({"sizes": own[own > 0], "words": words[first[a]: first[z]]})
         return pa.array(out, pa.struct([("sizes", pa.list_(pa.int32())), ("words", pa.list_(pa.int32()))]))
-    sample = training_sample(docs, ids, cfg.sample_rows, cfg.sample_bytes)
     got = sample.select("doc_id", F.arrow_udf(index, "struct<sizes:array<int>,words:array<int>>")("text").alias("g"), "label") \
         .select("doc_id", "g.*", "label").toArrow().sort_by("doc_id")
     if got.num_rows == 0:
-        return np.zeros(cfg.buckets, np.float32), cfg.prior
+        return np.zeros(cfg.buckets, np.float32), cfg.prior, cfg.prior
     sizes = got["sizes"].combine_chunks()
-    counts = np.diff(sizes.offsets.to_numpy())
     each = sizes.flatten().to_numpy().astype(np.int64)
-    return fit(np.concatenate(([0], np.cumsum(each))), got["words"].combine_chunks().flatten().to_numpy().astype(np.int64),
-               np.repeat(np.arange(got.num_rows), counts), got["label"].to_numpy().astype(float), cfg)
+    return fit(np.repeat(np.arange(got.num_rows), np.diff(sizes.offsets.to_numpy())), np.concatenate(([0], np.cumsum(each))),
+               got["words"].combine_chunks().flatten().to_numpy().astype(np.int64), got["label"].to_numpy().astype(float), cfg)
 
 
 RESULT = "struct<score:double,n_sentences:bigint,offending:array<struct<start:bigint,end:bigint,score:double>>>"
 
 
-def scorer(spark: SparkSession, model: tuple[np.ndarray, float], cfg: MilConfig = MilConfig(), at_least: float = 0.5):
+def scorer(spark: SparkSession, model: Weights, cfg: MilConfig = MilConfig(), at_least: float = 0.5):
     """UDF of a text: its score, number of sentences, and the sentences (byte
     places) that score ``at_least`` this much by themselves."""
     bounded_batches(spark)
     held = spark.sparkContext.broadcast(model)   # cfg.buckets floats
 
     def score(texts: pa.Array) -> pa.Array:
-        weights, b = held.value
+        weights, b, leak = held.value
         scores, counts, many, spans = [], [], [], []
         for s in B.slices(texts):
             g = bags(s, cfg)
             n = len(s.offsets) - 1
-            z = b + B.per_text(weights[g.words].astype(np.float64), g.first)
-            scores.append(-np.expm1(-np.bincount(g.doc, softplus(z), n)))
+            w = weights[g.words]
+            tells = B.per_text((w != 0).astype(np.int64), g.first) > 0
+            z = np.where(tells, b + B.per_text(w.astype(np.float64), g.first), -np.inf)
+            scores.append(-np.expm1(-np.bincount(g.doc, softplus(z), n) - softplus(leak)))
             counts.append(np.bincount(g.doc, minlength=n))
             p = 1 / (1 + np.exp(-z))
             bad = np.flatnonzero(p >= at_least)
