@@ -1,0 +1,110 @@
+"""The pipeline's stages, each against a brute-force version of its decisions."""
+
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline as C
+from test_minhash import brute as near_brute
+from ticketlab.llm import decontam, packing, quality, toxicity
+
+SF = "/root/testdata/sf0.01"
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+@pytest.fixture(scope="module")
+def stages(spark):
+    """Input and output of every stage over the small tables."""
+    docs, out = spark.read.parquet(f"{SF}/documents.parquet"), {}
+    for name, stage in C.STAGES:
+        kept = C.materialize(stage(spark, docs, SF), name)
+        out[name] = (docs, kept)
+        docs = kept
+    return out
+
+
+def ids(df):
+    return sorted(r[0] for r in df.select("doc_id").collect())
+
+
+def test_order_and_columns(spark, stages):
+    assert [n for n, _ in C.STAGES] == ["toxicity", "quality", "near_duplicates", "decontamination", "packing"]
+    columns = spark.read.parquet(f"{SF}/documents.parquet").dtypes
+    for name in list(stages)[:-1]:
+        assert stages[name][1].dtypes == columns
+    for name in list(stages)[:-1]:
+        before = {tuple(r) for r in stages[name][0].collect()}
+        after = [tuple(r) for r in stages[name][1].collect()]
+        assert len(after) == len(set(after)) and set(after) <= before
+
+
+@pytest.mark.parametrize("name, label, bad", [("toxicity", "toxic", 1), ("quality", "quality", 0)])
+def test_classifiers_reject_the_labelled(spark, stages, name, label, bad):
+    labels = {r.doc_id: r[label] for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
+    before, after = ids(stages[name][0]), set(ids(stages[name][1]))
+    wrong = [d for d in before if d in labels and (d in after) == (labels[d] == bad)]
+    clean_lost = [d for d in wrong if labels[d] != bad]
+    assert len(wrong) <= 0.06 * sum(d in labels for d in before) and len(clean_lost) <= 2
+
+
+def test_near_duplicates(stages):
+    before, after = stages["near_duplicates"]
+    rows = [(r.doc_id, r.text) for r in before.collect()]
+    want = sorted(d for d, _, _, kept in near_brute(rows, 5, 80, 100) if kept)
+    assert ids(after) == want
+
+
+def test_decontamination(spark, stages):
+    before, after = stages["decontamination"]
+    words = lambda t: re.findall(r"\w+", t.lower())
+    items = [words(r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    leaks, clean = set(), set()
+    for r in before.collect():
+        own = f" {' '.join(words(r.text))} "
+        if any(f" {' '.join(i)} " in own for i in items):
+            leaks.add(r.doc_id)
+        elif not any(f" {' '.join(i[k: k + 8])} " in own for i in items for k in range(len(i) - 7)):
+            clean.add(r.doc_id)
+    got = set(ids(after))
+    assert leaks and not (leaks & got) and clean <= got
+
+
+def test_packing(stages):
+    before, after = stages["packing"]
+    assert sorted(set(ids(after))) == ids(before)
+    per_doc = after.groupBy("doc_id").agg(F.sum("length").alias("n"), F.max("doc_tokens").alias("all")).collect()
+    assert all(r.n == r["all"] for r in per_doc)
+    assert after.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 2048").isEmpty()
+
+
+EDGES = [(1, None, None, None, None), (2, "", "en", "s", 0), (None, "a b c d e f g h", None, "s", 1), (3, "a b c d e f g h", "en", None, 2),
+         (3, "a b c d e f g h", "en", None, 2), (4, "word " * 50_000, "en", "s", 3)]
+
+
+@pytest.mark.parametrize("rows", [[], EDGES])
+def test_edges_through_every_stage(spark, rows):
+    """Labels of the small tables do not name these ids' classes; nothing crashes, and
+    null and empty texts pass as documented."""
+    docs = spark.createDataFrame(rows, DOCS).withColumn("_k", F.lit("mine")).withColumn("score", F.lit(1))
+    for name, stage in C.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns
+        got = out.select("doc_id", "text").collect()
+        if name == "near_duplicates" and rows:
+            assert sorted(map(str, (r.doc_id for r in got))) == ["1", "2", "3", "4"]
+        if name == "decontamination" and rows:
+            assert len(got) == len(rows)
+    packed = C.STAGES[-1][1](spark, docs, SF)
+    assert packed.groupBy().agg(F.countDistinct("doc_id")).first()[0] == len({r[0] for r in rows} - {None})
+
+
+def test_run_is_the_chain_of_stages(spark, stages):
+    got = C.run(spark, SF)
+    want = stages["packing"][1]
+    assert got.columns == want.columns and sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_stages_use_the_operators():
+    for module, name in ((toxicity, "drop_toxic"), (quality, "drop_low"), (decontam, "decontaminate"), (packing, "pack")):
+        assert callable(getattr(module, name))

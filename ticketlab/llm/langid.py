@@ -37,7 +37,7 @@ class LangConfig:
     table: int = 1 << 16
     alpha: float = 0.1
     sample_rows: int = 3000        # of each language
-    sample_bytes: int = 48 << 20
+    sample_bytes: int = 24 << 20
     script_share: float = 0.01
     outside: float = -30.0         # of a word in a language that does not use its script
     switch: float = 12.0
