@@ -168,7 +168,7 @@ def test_group_id_alias_column(spark, tmp_path):
     p = os.path.join(tmp_path, "g.csv")
     with open(p, "w") as fh:
         fh.write("Id,Group_Id__c,Parent__r.Group_Id__c\n1,old,new\n")
-    r = read_tickets(spark, p, "csv").first()
+    r = read_tickets(spark, p, "csv", group_alias="Parent__r.Group_Id__c").first()
     assert r.group_id == "new" and "Parent__r.Group_Id__c" not in r.asDict()
 
 
@@ -235,22 +235,71 @@ def test_optional_columns_missing(make_raw):
     assert issues.dp_tickets(q).count() == 0
 
 
-def test_long_lists_use_semi_join(make_raw, monkeypatch):
+def test_lists_are_semi_joins(make_raw):
     t = clean.clean_tickets(make_raw([{"account_name": f"A{i}"} for i in range(5)]))
-    monkeypatch.setattr(filters, "INLINE_LIST_LIMIT", 2)
     f = filters.filter_tickets(t, filters.TicketFilter(accounts=("A1", "A3", "A4", "zz")))
     assert sorted(r.account_name for r in f.collect()) == ["A1", "A3", "A4"]
     assert "LeftSemi" in f._jdf.queryExecution().executedPlan().toString()
-    assert "broadcast" in f._jdf.queryExecution().logical().toString().lower()
+    assert filters.filter_tickets(t, filters.TicketFilter(accounts=("A1",), areas=())).count() == 0
 
 
-def test_lists_over_the_broadcast_budget_are_shuffled(make_raw, monkeypatch):
-    t = clean.clean_tickets(make_raw([{"account_name": f"A{i}"} for i in range(5)]))
-    monkeypatch.setattr(filters, "INLINE_LIST_LIMIT", 2)
-    monkeypatch.setattr(filters, "BROADCAST_LIST_BYTES", 10)
-    f = filters.filter_tickets(t, filters.TicketFilter(accounts=("A1", "A3", "A4", "zz")))
-    assert sorted(r.account_name for r in f.collect()) == ["A1", "A3", "A4"]
-    assert "broadcast" not in f._jdf.queryExecution().logical().toString().lower()
+def test_empty_account_choice_excludes_unspecified(make_raw):
+    t = clean.clean_tickets(make_raw([{"account_name": "A"}, {"account_name": "Unspecified"}]))
+    got = filters.filter_tickets(t, filters.TicketFilter.all_accounts())
+    assert [r.account_name for r in got.collect()] == ["A"] == [r.account_name for r in filters.account_options(t).collect()]
+
+
+def test_owner_group_without_owners_is_no_filter(make_raw):
+    t = clean.clean_tickets(make_raw([{"case_type": "Bug"}, {"case_type": "Bug", "case_owner": "B"}]))
+    assert filters.filter_by_owner_group(t, t, ["Support"]).count() == 2
+    assert filters.filter_by_owner_group(t, t, []).count() == 2
+
+
+def test_own_terms_are_found(make_raw):
+    q = clean.quality_input(make_raw([{"id": "x", "subject": "a broken  report", "pod_name": "DP-1"}]))
+    assert issues.dq_issues(q, issues.IssueConfig(terms=(r"broken\s*report",))).count() == 1
+    assert issues.dq_issues(q).count() == 0
+
+
+def test_totals_from_materialised_issues(make_raw):
+    q = clean.quality_input(make_raw([{"id": i, "subject": "data quality", "pod_name": "DP-1"} for i in ("x", "x", "y", None)] + [{"pod_name": "DP-1"}]))
+    assert issues.dq_totals(q).collect() == issues.dq_totals(q, issues=issues.dq_issues(q)).collect()
+
+
+def test_threshold_that_rounds_up_keeps_the_pair(spark):
+    from ticketlab.operators import similar
+
+    v = spark.createDataFrame([("abcdef",), ("abcdeg",)], "s string")
+    assert similar.similar_pairs(v, 0.8333333).count() == 1
+    assert similar.similar_pairs(v, 0.8333334).count() == 0
+
+
+def test_numeric_csat_and_age(spark, make_raw, tmp_path):
+    from ticketlab.sources.tickets import read_tickets
+
+    nan, inf = float("nan"), float("inf")
+    values = [1e7, 0.0005, -4.5, nan, inf, -inf, None, 12345678.0]
+    want = [1e7, 0.0005, 4.5, 0.0, 0.0, 0.0, 0.0, 12345678.0]
+    df = spark.createDataFrame([(i, v, i) for i, v in enumerate(values)], "n int, CSAT__c double, Age_days__c int").coalesce(1)
+    df.write.parquet(f"{tmp_path}/p")
+    got = clean.clean_numbers(read_tickets(spark, f"{tmp_path}/p", "parquet")).orderBy(F.col("n").cast("int")).collect()
+    assert [r.csat for r in got] == want and [r.age_days for r in got] == [float(i) for i in range(8)]
+
+
+def test_report_without_first_response(make_raw):
+    from ticketlab.plans.report import report_tables
+
+    t = clean.clean_tickets(make_raw([{"closed_at": "2025-02-01"}, {"priority": "P2"}]).drop("first_response_at"))
+    tables = report_tables(t)
+    assert "first_response_by_priority" not in tables and tables["resolution_by_priority"].count() == 1
+
+
+def test_group_alias_is_the_named_column_only(spark):
+    from ticketlab.sources.tickets import rename_source_columns
+
+    df = spark.createDataFrame([("g", "a", "b")], "Group_Id__c string, `X__r.Group_Id__c` string, `Y__r.Group_Id__c` string")
+    assert rename_source_columns(df).first()["group_id"] == "g"
+    assert rename_source_columns(df, "Y__r.Group_Id__c").first()["group_id"] == "b"
 
 
 def test_missing_columns(make_raw):

@@ -33,10 +33,6 @@ SOURCE_COLUMNS = {
     "RCA__c": "rca",
     "Status": "status",
 }
-# A relationship-path spelling of the group id (``<Object>__r.Group_Id__c``)
-# replaces ``Group_Id__c`` when a file carries it.
-GROUP_ID_ALIAS_SUFFIX = "__r.Group_Id__c"
-
 # Columns every ticket file is expected to have (the rest are optional).
 REQUIRED_COLUMNS = (
     "id", "case_number", "account_name", "group_id", "subject", "description",

@@ -25,8 +25,15 @@ def labelled(c: str | Column, missing_label: str = K.MISSING_LABEL) -> Column:
     return F.coalesce(col(c).cast("string"), F.lit(missing_label))
 
 
+def clean_numeric(c: str | Column) -> Column:
+    """A column that already is numeric: its absolute value as a double;
+    missing, NaN and infinite values are 0."""
+    x = F.abs(col(c).cast("double"))
+    return F.when(x < float("inf"), x).otherwise(0.0)
+
+
 def clean_number(c: str | Column) -> Column:
-    """Every character that is not a digit or a dot becomes ``0``; then to
+    """Text to a number: every character that is not a digit or a dot becomes ``0``; then to
     double, with anything unparseable or missing as 0.
 
     ``-4`` -> 4, ``5 stars`` -> 5000000, ``1.2.3`` -> 0, ``N/A`` -> 0.

@@ -6,6 +6,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from .. import constants as K
 from ..functions import columns as X
@@ -57,12 +58,12 @@ def parse_dates(df: DataFrame, formats=K.DATE_FORMATS) -> DataFrame:
 
 
 def clean_numbers(df: DataFrame) -> DataFrame:
-    """CSAT and age to numbers, escalated to boolean."""
+    """CSAT and age to numbers (by the column's type), escalated to boolean."""
     cols = {}
-    if "csat" in df.columns:
-        cols["csat"] = X.clean_number("csat")
-    if "age_days" in df.columns:
-        cols["age_days"] = X.clean_number("age_days")
+    for c in ("csat", "age_days"):
+        if c in df.columns:
+            numeric = isinstance(df.schema[c].dataType, NumericType)
+            cols[c] = X.clean_numeric(c) if numeric else X.clean_number(c)
     if "is_escalated" in df.columns:
         cols["is_escalated"] = X.is_true_text("is_escalated")
     return df.withColumns(cols)

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as K
+from ..session import materialize
 from ..functions.columns import days_between, hours_between, round_half_even
 
 # Sketch accuracy of the bracket: the rank error of percentile_approx is at
@@ -48,8 +49,10 @@ def exact_median(df: DataFrame, keys: list[str], value: str,
         F.floor((F.col("_n") - 1) / 2).alias("_k1"),
         F.ceil((F.col("_n") - 1) / 2).alias("_k2"),
     ).drop("_q")
+    # one row per group, written: the planner knows it is small, so both passes
+    # below read the rows where they are and never shuffle them by group
+    stats = materialize(stats, "median-stats")
     bounds = stats.select(*keys, "_lo", "_hi", "_k1", "_k2")
-    # one row per group: small; AQE broadcasts it when its size allows
     j = base.join(bounds, keys)
     counts = j.groupBy(*keys).agg(
         F.count_if(x < F.col("_lo")).alias("_below"),
@@ -62,6 +65,7 @@ def exact_median(df: DataFrame, keys: list[str], value: str,
     plan = counts.select(*keys, "_lo", "_hi", "_ok",
                          F.when(F.col("_ok"), F.col("_below")).otherwise(F.lit(0)).alias("_offset"),
                          "_k1", "_k2")
+    plan = materialize(plan, "median-plan")
     inside = base.join(plan, keys).filter(
         ~F.col("_ok") | ((x >= F.col("_lo")) & (x <= F.col("_hi"))))
     vals = inside.groupBy(*keys, value).agg(

@@ -9,12 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as K
-
-# Lists longer than this are joined (semi join) instead of inlined as IN (...).
-INLINE_LIST_LIMIT = 1000
-# Caller lists whose text totals up to this many bytes are broadcast (their
-# size is measured on the driver); larger ones are shuffled and left to AQE.
-BROADCAST_LIST_BYTES = 32 * 1024 * 1024
+from ..session import materialize
 
 
 def top_accounts(t: DataFrame, n: int = K.TOP_ACCOUNTS) -> DataFrame:
@@ -72,8 +67,9 @@ def date_bounds(t: DataFrame) -> DataFrame:
 @dataclass(frozen=True)
 class TicketFilter:
     """User choices. ``None`` = the default choice; an empty list follows the
-    original per field: "all" for accounts, owners, owner groups and causes,
-    "none" for priorities and areas.
+    original per field: "all but ``Unspecified``" for accounts, "all" for owners,
+    owner groups and causes, "none" for priorities and areas. Owner groups
+    that hold no owner do not filter either.
 
     Default accounts are the top 10 by volume; default priorities and areas
     are all values except ``Unspecified``; default range is all dates.
@@ -94,14 +90,9 @@ class TicketFilter:
 
 
 def _member(df: DataFrame, column: str, values) -> DataFrame:
-    values = list(values)
-    if len(values) <= INLINE_LIST_LIMIT:
-        return df.filter(F.col(column).isin(values))
-    keys = df.sparkSession.createDataFrame([(v,) for v in values], [column]).distinct()
-    size = sum(len(str(v).encode("utf-8")) + 16 for v in values)  # text + row overhead
-    if size <= BROADCAST_LIST_BYTES:
-        # the list came from the caller, so its size is measured and bounded here
-        keys = F.broadcast(keys)
+    """Rows whose value is in the caller's list: a semi join with a local table,
+    whose size the optimizer knows."""
+    keys = df.sparkSession.createDataFrame([(v,) for v in values], f"`{column}` string")
     return df.join(keys, column, "left_semi")
 
 
@@ -134,9 +125,11 @@ def filter_tickets(t: DataFrame, f: TicketFilter = TicketFilter()) -> DataFrame:
     if f.accounts is None:
         # default: top-N accounts of the unfiltered tickets; at most N rows
         top = top_accounts(t, f.top_n).select("account_name")
-        out = out.join(F.broadcast(top), "account_name", "left_semi")
+        out = out.join(top, "account_name", "left_semi")
     elif len(f.accounts) > 0:
         out = _member(out, "account_name", f.accounts)
+    else:
+        out = out.filter(F.col("account_name") != K.UNSPECIFIED)
     if f.owners:
         out = _member(out, "case_owner", f.owners)
     if f.owner_groups:
@@ -147,10 +140,12 @@ def filter_tickets(t: DataFrame, f: TicketFilter = TicketFilter()) -> DataFrame:
 
 
 def filter_by_owner_group(df: DataFrame, t: DataFrame, groups) -> DataFrame:
-    """keep tickets whose owner is in the chosen groups (derived from ``t``).
+    """keep tickets whose owner is in the chosen groups (derived from ``t``);
+    all tickets if the groups hold no owner.
 
-    The owner list grows with the data, so no broadcast hint: AQE broadcasts
-    it only when its measured size is under the threshold.
+    The owner list is written first, so the planner knows its size: below the
+    broadcast threshold no ticket is shuffled by owner.
     """
-    owners = owner_groups(t).filter(F.col("owner_group").isin(list(groups))).select("case_owner")
-    return df.join(owners.distinct(), "case_owner", "left_semi")
+    owners = owner_groups(t).filter(F.col("owner_group").isin(list(groups))).select("case_owner").distinct()
+    owners = materialize(owners, "chosen-owners")
+    return df if owners.isEmpty() else df.join(owners, "case_owner", "left_semi")

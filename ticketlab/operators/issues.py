@@ -21,7 +21,6 @@ class IssueConfig:
     dp_pod_name: str = K.DP_POD_NAME
     dp_pod_prefix: str = K.DP_POD_PREFIX
     terms: tuple[str, ...] = K.DATA_QUALITY_TERMS
-    anchors: tuple[str, ...] = K.DATA_QUALITY_ANCHORS
     fields: tuple[str, ...] = K.ISSUE_FIELDS
     sample_size: int = K.SAMPLE_ISSUES
 
@@ -52,6 +51,11 @@ def search_regex(terms=K.DATA_QUALITY_TERMS) -> str:
     return "(?iu)" + K.portable_regex("|".join(parts))
 
 
+def anchor_words(cfg: IssueConfig) -> tuple[str, ...]:
+    """Words of which every term contains one; known for the built-in terms only."""
+    return K.DATA_QUALITY_ANCHORS if set(cfg.terms) <= set(K.DATA_QUALITY_TERMS) else ()
+
+
 def _issue_fields(df: DataFrame, cfg: IssueConfig) -> list[str]:
     return [f for f in cfg.fields if f in df.columns]
 
@@ -73,17 +77,19 @@ def dp_mask(df: DataFrame, cfg: IssueConfig = IssueConfig()) -> Column:
 
 
 def has_term(df: DataFrame, cfg: IssueConfig = IssueConfig()) -> Column:
-    """A data-quality term in any issue field. Every term contains an anchor
-    word, so the short anchor pattern runs first and the long one only on
-    fields that pass it (same matches, less regex work). Short fields are
+    """A data-quality term in any issue field. Every built-in term contains an
+    anchor word, so the short anchor pattern runs first and the long one only on
+    fields that pass it (same matches, less regex work); a caller's own terms
+    are searched as they are. Short fields are
     tried before the description (OR stops at the first true term)."""
     full = search_regex(cfg.terms)
-    anchor = "(?iu)" + "|".join(cfg.anchors)
+    anchors = anchor_words(cfg)
+    anchor = "(?iu)" + "|".join(anchors)
     fields = sorted(_issue_fields(df, cfg), key=lambda f: f == "description")
     m = F.lit(False)
     for f in fields:
         c = F.col(f)
-        m = m | F.coalesce(c.rlike(anchor) & c.rlike(full), F.lit(False))
+        m = m | F.coalesce(c.rlike(anchor) & c.rlike(full) if anchors else c.rlike(full), F.lit(False))
     return m
 
 
@@ -112,9 +118,13 @@ def dq_issues(df: DataFrame, cfg: IssueConfig = IssueConfig(), columns=None) ->
             .select("id", "_r.*"))
 
 
-def dq_totals(df: DataFrame, cfg: IssueConfig = IssueConfig()) -> DataFrame:
+def dq_totals(df: DataFrame, cfg: IssueConfig = IssueConfig(), issues: DataFrame | None = None) -> DataFrame:
     """Number of DP tickets and of unique issues, in one aggregation
-    per id followed by a tiny global one."""
+    per id followed by a tiny global one. Pass ``issues`` already materialised
+    to count those instead of searching the texts again."""
+    if issues is not None:
+        total = dp_tickets(df, cfg).agg(F.count(F.lit(1)).alias("total_dp_analytics_tickets"))
+        return total.withColumn("unique_data_quality_issues", issues.agg(F.count(F.lit(1))).scalar())
     per_id = (dp_tickets(df, cfg).groupBy("id")
               .agg(F.count(F.lit(1)).alias("_rows"), F.bool_or(has_term(df, cfg)).alias("_hit")))
     return per_id.agg(F.coalesce(F.sum("_rows"), F.lit(0)).cast("long").alias("total_dp_analytics_tickets"),
@@ -189,7 +199,7 @@ def data_quality_issues(df: DataFrame, cfg: IssueConfig = IssueConfig(),
     (see :func:`ticketlab.session.materialize`) to compute them once."""
     iss = issues if issues is not None else dq_issues(df, cfg)
     return {
-        "dq_totals": dq_totals(df, cfg),
+        "dq_totals": dq_totals(df, cfg, issues),
         "dq_issues": iss,
         "dq_by_pod": dq_by_pod(iss),
         "dq_by_area": dq_by_area(iss),

@@ -8,7 +8,7 @@ always sum / count, never a mean of means.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as K
@@ -89,8 +89,7 @@ def top_accounts_labeled(t: DataFrame, n: int = K.TOP_ACCOUNTS,
 
 
 def _with_share(df: DataFrame) -> DataFrame:
-    # the input is one row per category (few rows), so a global window is cheap
-    return df.withColumn("share", F.col("ticket_count") / F.sum("ticket_count").over(Window.partitionBy()))
+    return df.withColumn("share", F.col("ticket_count") / df.agg(F.sum("ticket_count")).scalar())
 
 
 def priority_distribution(t: DataFrame) -> DataFrame:
@@ -146,7 +145,6 @@ def rca_by_priority_top(t: DataFrame, n: int = K.TOP_CAUSES) -> DataFrame:
     m = measures(t)
     g = (m.filter((F.col("rca") != K.UNSPECIFIED) & (F.col("priority") != K.UNSPECIFIED))
          .groupBy("priority", "rca").agg(_sum_n(), F.min("priority_rank").alias("priority_rank")))
-    # ``top`` has at most n rows: a proven bound, so broadcast it
-    return (g.join(F.broadcast(top), "rca", "left_semi")
+    return (g.join(top, "rca", "left_semi")
             .orderBy("priority_rank", "priority", "rca").drop("priority_rank")
             .select("priority", "rca", "ticket_count"))

@@ -76,7 +76,7 @@ def _fraction(threshold: float) -> tuple[int, int]:
     if not (0.8 <= threshold < 1.0):
         # below 0.8 a pair may share no bigram, so bigram blocking is not lossless
         raise ValueError("similarity threshold must be in [0.8, 1)")
-    f = Fraction(threshold).limit_denominator(10**6)
+    f = Fraction(int(Fraction(threshold) * 10**6), 10**6)  # rounded down: pruning keeps more, the ratio decides
     return f.numerator, f.denominator
 
 

@@ -8,8 +8,6 @@ Computed doubles are rounded to 6 places (the twins do the same).
 
 from __future__ import annotations
 
-import os
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,8 +16,9 @@ from pyspark.sql.types import DoubleType
 
 from .. import constants as K
 from ..operators import clean, durations, filters, issues, metrics, profile, similar, trends, words
-from ..session import ensure_checkpoint_dir
+from ..session import scratch_path
 from ..sources import sinks, tickets
+from . import report
 from .oracle import INTERNAL_ACCOUNTS
 
 CFG = clean.CleanConfig(excluded_accounts=INTERNAL_ACCOUNTS)
@@ -49,13 +48,9 @@ def qinput(spark: SparkSession, d: str) -> DataFrame:
     return clean.quality_input(raw(spark, d))
 
 
-def _scratch(spark: SparkSession, name: str) -> str:
-    return os.path.join(ensure_checkpoint_dir(spark), f"{name}-{uuid.uuid4().hex}")
-
-
 def scan_tickets(spark: SparkSession, d: str) -> DataFrame:
     """The raw tickets written as a multi-line CSV by Spark, read back."""
-    path = _scratch(spark, "tickets-csv")
+    path = scratch_path(spark, "tickets-csv")
     src = raw(spark, d)
     src.write.option("header", True).option("escape", '"').csv(path)
     return tickets.read_tickets(spark, path, "csv")
@@ -63,11 +58,55 @@ def scan_tickets(spark: SparkSession, d: str) -> DataFrame:
 
 def export_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     """Filtered tickets written as month-partitioned Parquet, read back."""
-    path = _scratch(spark, "export")
+    path = scratch_path(spark, "export")
     sinks.write_table(filtered(spark, d), path)
     return spark.read.parquet(path)
 
 
+def export_zone_dropped(spark: SparkSession, d: str) -> DataFrame:
+    """Tickets whose created time has a zone, exported and read back: wall time."""
+    path = scratch_path(spark, "export-zone")
+    t = cleaned(spark, d).select("id", "case_number", F.col("created_at").cast("timestamp").alias("created_at"))
+    sinks.write_table(t, path, partition_by=())
+    return spark.read.parquet(path)
+
+
+def result_csv(spark: SparkSession, d: str) -> DataFrame:
+    """A small result table written as one CSV file, read back."""
+    path = scratch_path(spark, "result-csv")
+    sinks.write_result_csv(metrics.priority_distribution(filtered(spark, d)), path)
+    return spark.read.option("header", True).schema("priority string, ticket_count long, share double").csv(path)
+
+
+# tables of the report sets in long form: key columns and value of each
+REPORT_KEYS = {
+    "top_accounts": (("account_name",), "ticket_count"), "monthly_volume": (("month", "account_name"), "ticket_count"),
+    "monthly_csat": (("month", "account_name"), "avg_csat"), "priority_distribution": (("priority",), "ticket_count"),
+    "escalation_by_priority": (("priority",), "escalation_rate"), "resolution_summary": (("priority",), "median_days"),
+    "first_response_summary": (("priority",), "median_hours"), "area_distribution": (("product_area",), "ticket_count"),
+    "rca_distribution": (("rca",), "ticket_count"), "rca_by_priority_top5": (("priority", "rca"), "ticket_count"),
+    "words_subject": (("word",), "word_count"), "words_pod": (("word",), "word_count"),
+}
+QUALITY_KEYS = {
+    "dq_totals": ((), "unique_data_quality_issues"), "dq_by_pod": (("pod_name",), "issue_count"), "dq_by_area": (("product_area",), "issue_count"),
+    "dq_monthly": (("month",), "issue_count"), "dq_terms": (("term",), "term_count"),
+}
+FIELD_KEYS = {
+    "case_variations": (("value_lower", "variation"), None), "value_counts": (("value",), "value_count"),
+    "similar_values": (("value", "similar_value"), "ratio"),
+}
+
+
+def long_form(tables: dict[str, DataFrame], keys: dict) -> DataFrame:
+    """(table_name, key, value) rows of several result tables."""
+    out = None
+    for name, (cols, value) in keys.items():
+        v = F.round(F.col(value).cast("double"), 6) if value else F.lit(1.0)
+        rows = tables[name].select(F.lit(name).alias("table_name"), F.concat_ws("|", *cols).alias("key"), v.alias("value"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 def _cols(df: DataFrame, *cols: str) -> DataFrame:
     return df.select(*cols)
 
@@ -78,6 +117,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "peek": lambda s, d: r6(tickets.peek(cleaned(s, d), 5)),
     "filtered_tickets": lambda s, d: r6(filtered(s, d)),
     "export_roundtrip": lambda s, d: r6(export_roundtrip(s, d)),
+    "export_zone_dropped": export_zone_dropped,
+    "result_csv": lambda s, d: r6(result_csv(s, d)),
+    "report_set": lambda s, d: long_form(report.report_tables(filtered(s, d)), REPORT_KEYS),
+    "quality_report_set": lambda s, d: long_form(report.quality_report_tables(qinput(s, d)), QUALITY_KEYS),
+    "field_consistency": lambda s, d: long_form(similar.field_consistency(qinput(s, d), "product_feature"), FIELD_KEYS),
     # cleaning
     "clean_group_alias": lambda s, d: _cols(tickets.apply_group_alias(
         raw(s, d).withColumn("group_alias", F.concat(F.lit("GRP-"), F.col("case_number"))), "group_alias"),

@@ -74,7 +74,8 @@ t AS (
     strftime(created_at, '%Y-%m') AS month
   FROM t2
 ),
-f AS (SELECT * FROM t WHERE product_area <> {q(K.UNSPECIFIED)} AND priority <> {q(K.UNSPECIFIED)}),
+f AS (SELECT * FROM t WHERE product_area <> {q(K.UNSPECIFIED)} AND priority <> {q(K.UNSPECIFIED)}
+      AND account_name <> {q(K.UNSPECIFIED)}),
 qi AS (
   SELECT * REPLACE ({parse_ts('created_at')} AS created_at, {parse_ts('closed_at')} AS closed_at,
                     {parse_ts('first_response_at')} AS first_response_at),
@@ -128,6 +129,27 @@ def _words(col: str, n: int = K.TOP_WORDS) -> str:
 SELECT word, word_count, {r6('word_count / max(word_count) OVER ()')} AS weight FROM top""")
 
 
+# result tables in long form: key columns and value of each
+REPORT_KEYS = {
+    "top_accounts": ("account_name", "ticket_count"), "monthly_volume": ("month || '|' || account_name", "ticket_count"),
+    "monthly_csat": ("month || '|' || account_name", "avg_csat"), "priority_distribution": ("priority", "ticket_count"),
+    "escalation_by_priority": ("priority", "escalation_rate"), "resolution_summary": ("priority", "median_days"),
+    "first_response_summary": ("priority", "median_hours"), "area_distribution": ("product_area", "ticket_count"),
+    "rca_distribution": ("rca", "ticket_count"), "rca_by_priority_top5": ("priority || '|' || rca", "ticket_count"),
+    "words_subject": ("word", "word_count"), "words_pod": ("word", "word_count"),
+}
+QUALITY_KEYS = {
+    "dq_totals": ("''", "unique_data_quality_issues"), "dq_by_pod": ("pod_name", "issue_count"), "dq_by_area": ("product_area", "issue_count"),
+    "dq_monthly": ("month", "issue_count"), "dq_terms": ("term", "term_count"),
+}
+
+
+def _long_form(sql: dict[str, str], keys: dict) -> str:
+    return " UNION ALL ".join(
+        f"SELECT '{name}' AS table_name, {key} AS key, round(CAST({value} AS DOUBLE), 6) AS value FROM ({sql[name]})"
+        for name, (key, value) in keys.items())
+
+
 def _durations(end_col: str, unit: float, prefix: str, rounded: bool) -> str:
     v = f"date_diff('microsecond', created_at, {end_col}) / {unit}"
     body = f"""
@@ -202,7 +224,7 @@ WHERE has_support OR case_owner NOT IN {sql_list((K.UNSPECIFIED, *K.EXCLUDED_OWN
 SELECT month, account_name, {r6('avg(csat)')} AS avg_csat, count(*) AS csat_count
 FROM f WHERE csat <> 0 GROUP BY month, account_name"""
     top5 = f"SELECT rca FROM f WHERE rca <> {u} GROUP BY rca ORDER BY count(*) DESC, rca LIMIT {K.TOP_CAUSES}"
-    return {
+    sql = {
         # sources and sinks
         "scan_tickets": _scan(),
         "peek": w("SELECT * FROM t ORDER BY created_at, case_number LIMIT 5"),
@@ -340,3 +362,8 @@ FROM qi WHERE {_dp_mask()}"""),
                         f"LIMIT {K.SAMPLE_ISSUES}"),
         "dq_terms": _terms(),
     }
+    sql["export_zone_dropped"] = w("SELECT id, case_number, created_at FROM t")
+    sql["result_csv"] = sql["priority_distribution"]
+    sql["report_set"] = _long_form(sql, REPORT_KEYS)
+    sql["quality_report_set"] = _long_form(sql, QUALITY_KEYS)
+    return sql

@@ -33,7 +33,7 @@ def report_tables(t: DataFrame, persist: bool = True) -> dict[str, DataFrame]:
         cube = materialize(cube, "ticket-cube")
     # one row per priority: small and bounded, kept in memory for its summary
     res = durations.resolution_by_priority(narrow).cache()
-    first = durations.first_response_by_priority(narrow).cache()
+    first = durations.first_response_by_priority(narrow).cache() if "first_response_at" in t.columns else None
     out = {
         "overview_kpis": metrics.overview_kpis(cube),
         "top_accounts": metrics.top_accounts_labeled(cube),
@@ -45,15 +45,15 @@ def report_tables(t: DataFrame, persist: bool = True) -> dict[str, DataFrame]:
         "escalation_by_priority": metrics.escalation_by_priority(cube),
         "resolution_by_priority": res,
         "resolution_summary": durations.summarize(res),
-        "first_response_by_priority": first,
-        "first_response_summary": durations.summarize(first),
         "area_distribution": metrics.area_distribution(cube),
         "area_feature_rollup": metrics.area_feature_rollup(cube),
         "rca_distribution": metrics.rca_distribution(cube),
         "rca_by_priority_top5": metrics.rca_by_priority_top(cube),
     }
+    if first is not None:
+        out |= {"first_response_by_priority": first, "first_response_summary": durations.summarize(first)}
     for c in WORD_COLUMNS:
-        out[f"words_{c}"] = words.word_frequencies(t, c)
+        out[f"words_{c}"] = words.word_frequencies(t if c in LONG_TEXT else narrow, c)
     return out
 
 
@@ -72,7 +72,7 @@ TICKET_SIZED = {"dq_issues"}
 # as many files as the plan has partitions (no single-task write)
 GROWS_WITH_DATA = {
     "monthly_volume", "monthly_csat", "monthly_csat_labeled", "csat_vs_overall",
-    "area_feature_rollup", "rca_distribution", "account_options", "owner_groups", "rca_options",
+    "area_feature_rollup", "area_distribution", "rca_distribution", "area_options", "dq_by_area", "dq_by_pod", "account_options", "owner_groups", "rca_options",
 }
 
 

@@ -4,17 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from .. import constants as K
 from ..functions.columns import na_to_null
 
 
-def rename_source_columns(df: DataFrame) -> DataFrame:
-    """Source column names -> library names; a ``*__r.Group_Id__c`` column
-    replaces ``Group_Id__c`` (C1). Unknown columns are kept as they are."""
-    alias = [c for c in df.columns if c.endswith(K.GROUP_ID_ALIAS_SUFFIX)]
-    if alias:
-        df = df.drop("Group_Id__c").withColumnRenamed(alias[0], "Group_Id__c")
+def rename_source_columns(df: DataFrame, group_alias: str | None = None) -> DataFrame:
+    """Source column names -> library names; the column named ``group_alias``, where
+    a file has it, replaces ``Group_Id__c`` (C1). Others are kept as they are."""
+    if group_alias is not None and group_alias in df.columns:
+        df = df.drop("Group_Id__c").withColumnRenamed(group_alias, "Group_Id__c")
     mapping = {c: K.SOURCE_COLUMNS[c] for c in df.columns if c in K.SOURCE_COLUMNS}
     return df.withColumnsRenamed(mapping)
 
@@ -28,13 +28,14 @@ def apply_group_alias(raw: DataFrame, alias_col: str) -> DataFrame:
 
 
 def read_tickets(spark: SparkSession, path: str, fmt: str = "csv",
-                 na_tokens=K.NA_TOKENS) -> DataFrame:
-    """Read a ticket file set as all-string columns with library names.
+                 na_tokens=K.NA_TOKENS, group_alias: str | None = None) -> DataFrame:
+    """Read a ticket file set as string columns with library names (CSAT and
+    age stay numeric where the file has them so).
 
     CSV: header row, quoted fields may hold newlines and doubled quotes, so the
     reader runs in multi-line mode (such files cannot be split; convert them
     once with :func:`ingest_tickets`). Text a CSV reader treats as missing
-    becomes null. Parquet/JSON: read as they are, columns cast to string.
+    becomes null. Parquet/JSON: read as they are, other columns cast to string.
     """
     if fmt == "csv":
         df = (spark.read.option("header", True).option("multiLine", True)
@@ -43,10 +44,12 @@ def read_tickets(spark: SparkSession, path: str, fmt: str = "csv",
         df = spark.read.format(fmt).load(path)
     else:
         raise ValueError(f"unknown ticket format {fmt!r}")
-    df = rename_source_columns(df)
+    df = rename_source_columns(df, group_alias)
     cols = []
     for c in df.columns:
-        x = F.col(f"`{c}`").cast("string")
+        x = F.col(f"`{c}`")
+        if c not in ("csat", "age_days") or not isinstance(df.schema[c].dataType, NumericType):
+            x = x.cast("string")
         if fmt == "csv":
             x = na_to_null(x, na_tokens)
         cols.append(x.alias(c))
@@ -84,7 +87,8 @@ RAW_TICKETS_SQL = """
 select
   cast(case when o.o_orderkey % 20 = 1 then o.o_orderkey - 1 else o.o_orderkey end as string) as id,
   lpad(cast(o.o_orderkey as string), 8, '0') as case_number,
-  case when o.o_orderkey % 17 = 0 then null when c.c_custkey % 25 = 0 then 'Acme' else c.c_name end as account_name,
+  case when o.o_orderkey % 17 = 0 then null when c.c_custkey % 25 = 0 then 'Acme'
+    when c.c_custkey % 25 = 1 then 'Unspecified' else c.c_name end as account_name,
   'G' || cast(c.c_nationkey as string) as group_id,
   case o.o_orderkey % 9 when 0 then 'Error in sync' when 1 then 'Help  needed'
     when 2 then 'Data Quality check' when 3 then null when 4 then 'endpoint question'
