@@ -85,7 +85,7 @@ REPORT_KEYS = {
     "escalation_by_priority": (("priority",), "escalation_rate"), "resolution_summary": (("priority",), "median_days"),
     "first_response_summary": (("priority",), "median_hours"), "area_distribution": (("product_area",), "ticket_count"),
     "rca_distribution": (("rca",), "ticket_count"), "rca_by_priority_top5": (("priority", "rca"), "ticket_count"),
-    "words_subject": (("word",), "word_count"), "words_pod": (("word",), "word_count"),
+    "words_subject": (("word",), "word_count"),
 }
 QUALITY_KEYS = {
     "dq_totals": ((), "unique_data_quality_issues"), "dq_by_pod": (("pod_name",), "issue_count"), "dq_by_area": (("product_area",), "issue_count"),
