@@ -54,3 +54,11 @@ def test_ids_equal_the_tokenizers():
         for i in range(len(s.offsets) - 1):
             want = ids_of.tokenizer.encode(texts[s.first + i] or "", add_special_tokens=False).ids
             assert ids[first[i]:first[i + 1]].tolist() == want, texts[s.first + i]
+
+
+def test_distinct_is_unique_in_order_of_appearance():
+    x = np.random.default_rng(2).integers(0, 50, 400).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for v in (x, x[:1], x[:0]):
+        values, first, place = B.distinct(v)
+        assert np.array_equal(values[place], v) and np.array_equal(v[first], values) and sorted(first.tolist()) == first.tolist()
+        assert np.array_equal(np.sort(values), np.unique(v))

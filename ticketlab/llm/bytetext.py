@@ -11,6 +11,7 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 
@@ -98,12 +99,22 @@ def run_hashes(data: np.ndarray, inside: np.ndarray, starts: np.ndarray, ends: n
         return np.zeros(0, U64)
     lengths = ends - starts
     first = np.concatenate(([0], np.cumsum(lengths)))
-    position = np.arange(first[-1]) - np.repeat(first[:-1], lengths)
+    kind = np.int32 if first[-1] < 1 << 31 else np.int64
+    position = np.arange(first[-1], dtype=kind) - np.repeat(first[:-1].astype(kind), lengths)
     with np.errstate(over="ignore"):
         terms = _BYTE[data[inside]] * _powers(int(lengths.max()))[position]
         return finish(np.add.reduceat(terms, first[:-1]) + lengths.astype(U64))
 
 
+def distinct(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct hashes in order of appearance, where each is first, and for each
+    hash its place among them (a hash table, not a sort)."""
+    place, values = pd.factorize(hashes)
+    first = np.empty(len(values), np.int64)
+    first[place[::-1]] = np.arange(len(hashes) - 1, -1, -1)
+    return values, first, place
+
+
 class Words(NamedTuple):
     hashes: np.ndarray   # of every word of the slice, in order
     starts: np.ndarray   # byte positions in the slice

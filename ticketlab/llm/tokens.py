@@ -63,8 +63,9 @@ def pieces(s: B.Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray,
     trail = np.concatenate((np.zeros(1, bool), latin[:-1]))
     odd = inside & ~PLAIN[d] & ~latin & ~trail
     plain_word = ~np.logical_or.reduceat(odd, starts)          # spaces up to the next word are not odd
-    word = np.cumsum(np.bincount(starts, minlength=len(d))) - 1
-    plain = inside & plain_word[np.maximum(word, 0)]
+    plain = np.zeros(len(d), bool)
+    plain[starts[0]:] = np.repeat(plain_word, np.diff(np.append(starts, len(d))))
+    plain &= inside
     low = np.where(plain, B.LOWER[d], d)
     low = np.where(plain & trail & (before == 0xC3) & (d < 0x9F), low + 0x20, low).astype(np.uint8)
     letter = LETTER[d] | latin | trail
@@ -72,8 +73,10 @@ def pieces(s: B.Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray,
     begin[starts] = True
     begin[1:] |= plain[1:] & plain[:-1] & (letter[1:] != letter[:-1])
     at = np.flatnonzero(begin)
-    stop = np.append(at[1:], len(d))
-    stop = np.minimum(stop, ends[word[at]])
+    final = np.zeros(len(d), bool)      # last bytes of pieces: of words, and before a change of kind
+    final[ends - 1] = True
+    final[:-1] |= begin[1:] & inside[:-1]
+    stop = np.flatnonzero(final) + 1
     hashes = B.run_hashes(low, inside, at, stop) ^ np.where(plain[at], np.uint64(0), np.uint64(0x5851F42D4C957F2D))
     return low, at, stop, np.searchsorted(at, s.offsets), hashes, plain[at]
 
@@ -100,7 +103,7 @@ class PieceIds:
         """Ids of all texts one after another (uint32), and where each text's
         start (one entry more than texts)."""
         low, starts, ends, first, hashes, plain = pieces(s)
-        distinct, at, place = np.unique(hashes, return_index=True, return_inverse=True)
+        distinct, at, place = B.distinct(hashes)
         kept, raw, a, z, p = self.kept, low.tobytes(), starts[at].tolist(), ends[at].tolist(), plain[at].tolist()
         got: list = list(map(kept.get, distinct.tolist()))
         for i in [i for i, ids in enumerate(got) if ids is None]:
