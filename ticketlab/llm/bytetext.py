@@ -33,10 +33,16 @@ def finish(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
-SPACE = np.zeros(256, bool)
-SPACE[[0x20, *range(0x09, 0x0E)]] = True
-LOWER = np.arange(256, dtype=np.uint8)
-LOWER[ord("A"): ord("Z") + 1] += 32
+def is_space(data: np.ndarray) -> np.ndarray:
+    return (data == 0x20) | ((data >= 0x09) & (data <= 0x0D))
+
+
+def lower(data: np.ndarray) -> np.ndarray:
+    """Bytes with A-Z lowered."""
+    upper = (data >= ord("A")) & (data <= ord("Z"))
+    return data + (upper.view(np.uint8) << np.uint8(5))
+
+
 _BYTE = splitmix(1, 256)
 _POWER_BASE = U64(0x9E3779B97F4A7C15)
 _POWERS = np.ones(1, U64)
@@ -123,9 +129,9 @@ class Words(NamedTuple):
 
 
 def words(s: Slice) -> Words:
-    inside = ~SPACE[s.data]
+    inside = ~is_space(s.data)
     starts, ends, first = runs(inside, s.offsets)
-    return Words(run_hashes(LOWER[s.data], inside, starts, ends), starts, ends, first)
+    return Words(run_hashes(lower(s.data), inside, starts, ends), starts, ends, first)
 
 
 def per_text(values: np.ndarray, first: np.ndarray, ufunc=np.add, empty=0) -> np.ndarray:

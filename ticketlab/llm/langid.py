@@ -87,7 +87,7 @@ class Text:
 def analyse(s: B.Slice, table: int) -> Text:
     inside = LETTER[s.data]
     starts, ends, first = B.runs(inside, s.offsets)
-    low = np.where(inside, B.LOWER[s.data], 0x20).astype(np.uint32)
+    low = np.where(inside, B.lower(s.data), 0x20).astype(np.uint32)
     before, after = np.concatenate(([0x20], low[:-1])), np.concatenate((low[1:], [0x20]))
     if len(starts):
         before[starts], after[ends - 1] = 0x20, 0x20

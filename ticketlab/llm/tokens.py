@@ -28,13 +28,6 @@ END_ID = 1
 KEPT = 400_000
 SLICE_BYTES = 2 << 20
 
-LETTER = np.zeros(256, bool)
-for _a, _z in ("AZ", "az"):
-    LETTER[ord(_a): ord(_z) + 1] = True
-PLAIN = np.zeros(256, bool)     # ASCII letters and punctuation, without what contractions and special tokens hold
-PLAIN[0x21:0x7F] = True
-PLAIN[0x30:0x3A] = PLAIN[ord("'")] = PLAIN[ord("<")] = False
-
 
 def default_path() -> str:
     import public_tokenizers
@@ -53,7 +46,7 @@ def pieces(s: B.Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray,
     """Pieces of the texts: bytes (lowered in plain words), starts, ends, index
     of each text's first, hashes, and whether they are of plain words."""
     d = s.data
-    inside = ~B.SPACE[d]
+    inside = ~B.is_space(d)
     starts, ends, first = B.runs(inside, s.offsets)
     if len(starts) == 0:
         none = np.zeros(0, np.int64)
@@ -61,14 +54,15 @@ def pieces(s: B.Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray,
     after, before = np.append(d[1:], np.uint8(0)), np.concatenate((np.zeros(1, np.uint8), d[:-1]))
     latin = (d == 0xC3) & (after >= 0x80) & (after < 0xC0) & (after != 0x97) & (after != 0xB7)
     trail = np.concatenate((np.zeros(1, bool), latin[:-1]))
-    odd = inside & ~PLAIN[d] & ~latin & ~trail
+    plain_byte = (d > 0x20) & (d < 0x7F) & ((d < 0x30) | (d > 0x39)) & (d != ord("'")) & (d != ord("<"))
+    odd = inside & ~plain_byte & ~latin & ~trail
     plain_word = ~np.logical_or.reduceat(odd, starts)          # spaces up to the next word are not odd
     plain = np.zeros(len(d), bool)
     plain[starts[0]:] = np.repeat(plain_word, np.diff(np.append(starts, len(d))))
     plain &= inside
-    low = np.where(plain, B.LOWER[d], d)
+    low = np.where(plain, B.lower(d), d)
     low = np.where(plain & trail & (before == 0xC3) & (d < 0x9F), low + 0x20, low).astype(np.uint8)
-    letter = LETTER[d] | latin | trail
+    letter = ((d | 0x20) >= ord("a")) & ((d | 0x20) <= ord("z")) | latin | trail
     begin = np.zeros(len(d), bool)
     begin[starts] = True
     begin[1:] |= plain[1:] & plain[:-1] & (letter[1:] != letter[:-1])

@@ -68,7 +68,7 @@ class Bags:
 def bags(s: B.Slice, cfg: MilConfig) -> Bags:
     inside = WORD[s.data]
     starts, ends, of_text = B.runs(inside, s.offsets)
-    low = B.LOWER[s.data]
+    low = B.lower(s.data)
     columns = [B.run_hashes(low, inside, starts, ends)]
     with np.errstate(over="ignore"):
         for n in cfg.beginnings:
