@@ -25,6 +25,14 @@ def test_kinds(spark):
         (1, 7, "exact", True), (2, 7, "reparameterised", True), (3, 7, "template", False), (5, 7, "exact", True), (6, 7, "exact", True)]
 
 
+def test_thirteen_tokens_of_a_long_item_are_a_leak(spark):
+    rng = random.Random(2)
+    long = " ".join(f"z{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in rng.sample(range(600), 120))
+    words = long.split()
+    docs = [(1, FILL + " " + " ".join(words[40:53])), (2, FILL + " " + " ".join(words[40:52]))]
+    assert run(spark, docs, [(7, long)]) == [(1, 7, "exact", True), (2, 7, "exact", False)]
+
+
 def test_edge_cases(spark):
     docs = [(1, None), (2, ""), (3, "...!!!\n"), (None, f"{FILL} {ITEM}"), (4, ITEM), (4, ITEM), (4, FILL), (5, "one two three four five six seven"),
             (6, "word " * 20_000 + ITEM)]

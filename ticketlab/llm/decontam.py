@@ -17,7 +17,7 @@ Its slots (placeholders) are then compared by value:
   form, reported but no leak.
 
 ``contaminated`` is true for the first two kinds if the windows matched are at
-least ``min_share`` of the item's.
+least ``min_share`` of the item's, or ``min_windows`` (of 8 tokens: 13 in a row).
 
 The benchmark's windows are written first, so the planner knows their size and
 broadcasts them only below its threshold; beyond, windows are shuffled.
@@ -59,6 +59,7 @@ class DecontamConfig:
     window: int = 8
     min_tokens: int = 6
     min_share: float = 0.3
+    min_windows: int = 6
 
 
 def _is_break(x: Column) -> Column:
@@ -190,7 +191,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, cfg: DecontamConfig = Deconta
            .select("b.doc_id", "b.text_hash", "b.item_id", kind.alias("kind"), "b.n_windows",
                    (F.col("b.n_windows") / F.col("t.item_windows")).alias("share"), F.col("b.first").alias("place"),
                    F.coalesce("s.slots", F.lit(0)).alias("slots")))
-    return out.withColumn("contaminated", (F.col("kind") != "template") & (F.col("share") >= cfg.min_share))
+    return out.withColumn("contaminated", (F.col("kind") != "template") & ((F.col("share") >= cfg.min_share) | (F.col("n_windows") >= cfg.min_windows)))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, cfg: DecontamConfig = DecontamConfig()) -> DataFrame:
@@ -241,5 +242,5 @@ kinds AS (SELECT doc_id, item_id, slots, CASE WHEN same THEN 'exact' WHEN greate
 SELECT t.doc_id, t.item_id, coalesce(k.kind, 'exact') AS kind, t.n_windows::BIGINT AS n_windows, t.n_windows / item_windows AS share, t.first::INT AS place,
        coalesce(k.slots, 0)::BIGINT AS slots
 FROM best t JOIN totals ON totals.id = t.item_id LEFT JOIN kinds k USING (doc_id, item_id)
-WHERE coalesce(k.kind, 'exact') <> 'template' AND t.n_windows / item_windows >= 0.3
+WHERE coalesce(k.kind, 'exact') <> 'template' AND (t.n_windows / item_windows >= 0.3 OR t.n_windows >= 6)
 """
