@@ -15,7 +15,7 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 U64 = np.uint64
 
 
@@ -67,7 +67,9 @@ def slices(texts: pa.Array, max_bytes: int = SLICE_BYTES) -> Iterator[Slice]:
     """Cut a string column (null: empty text) into slices of whole texts."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
-    texts = pc.fill_null(texts, "").cast(pa.large_string())
+    if texts.null_count:
+        texts = pc.fill_null(texts, "")
+    texts = texts.cast(pa.large_string())
     n = len(texts)
     if n == 0:
         return
