@@ -7,11 +7,11 @@ multiple of ``SLICE_BYTES`` (or of the longest single text).
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 
@@ -33,6 +33,18 @@ def finish(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
+#: glibc's, where there is one.
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def release() -> None:
+    """Give freed memory back to the system. A reused Python worker would else
+    keep its largest batch's pages beside the executor's heap."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
 def is_space(data: np.ndarray) -> np.ndarray:
     return (data == 0x20) | ((data >= 0x09) & (data <= 0x0D))
 
@@ -82,6 +94,7 @@ def slices(texts: pa.Array, max_bytes: int = SLICE_BYTES) -> Iterator[Slice]:
         hi = min(hi, n)
         yield Slice(lo, data[offsets[lo]: offsets[hi]], offsets[lo: hi + 1] - offsets[lo])
         lo = hi
+    release()
 
 
 def runs(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -117,6 +130,8 @@ def run_hashes(data: np.ndarray, inside: np.ndarray, starts: np.ndarray, ends: n
 def distinct(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct hashes in order of appearance, where each is first, and for each
     hash its place among them (a hash table, not a sort)."""
+    import pandas as pd   # here, so that workers of other operators do not load it
+
     place, values = pd.factorize(hashes)
     first = np.empty(len(values), np.int64)
     first[place[::-1]] = np.arange(len(hashes) - 1, -1, -1)
