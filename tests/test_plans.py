@@ -1,7 +1,8 @@
 """Plan shape: pushdown, pruning, no pair explosions, top-k as
 TakeOrderedAndProject, no row-at-a-time Python."""
 
-from ticketlab.operators import clean, metrics, similar, words
+from ticketlab import constants as K
+from ticketlab.operators import clean, durations, filters, metrics, similar, words
 from ticketlab.plans import catalog
 
 SF = "/root/testdata/sf0.001"
@@ -11,11 +12,13 @@ def plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-def test_clean_pushes_filter_and_prunes(spark):
-    raw = spark.read.parquet(f"{SF}/orders.parquet")  # any parquet: check pruning on a plain scan
-    p = plan(raw.filter("o_orderstatus = 'F'").select("o_orderkey"))
-    assert "PushedFilters: [IsNotNull(o_orderstatus), EqualTo(o_orderstatus,F)]" in p
-    assert "ReadSchema: struct<o_orderkey:bigint,o_orderstatus:string>" in p
+def test_clean_pushes_filter_and_prunes(spark, tmp_path):
+    catalog.raw(spark, SF).write.parquet(f"{tmp_path}/raw")
+    t = clean.clean_tickets(spark.read.parquet(f"{tmp_path}/raw"))
+    p = plan(t.groupBy("priority").count())
+    assert "PushedFilters: [Not(EqualNullSafe(status,Merged))" in p
+    read = p.split("ReadSchema:")[1].split("\n")[0]
+    assert "priority" in read and "description" not in read and "subject" not in read
 
 
 def test_words_read_only_needed_columns(spark, tmp_path):
@@ -55,3 +58,18 @@ def test_no_python_in_ticket_queries(spark):
 def test_overview_single_scan(spark):
     pl = plan(metrics.overview_kpis(catalog.filtered(spark, SF)))
     assert "Expand" in pl  # grouping sets: one scan feeds both groupings
+
+
+def test_written_statistics_keep_tickets_where_they_are(spark):
+    """With a threshold far below the tickets' size, neither the duration passes
+    nor the owner filter shuffle tickets by priority or owner."""
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "64k")
+    try:
+        t = catalog.filtered(spark, SF)
+        pl = plan(durations.resolution_by_priority(t))
+        assert "BroadcastHashJoin [priority" in pl and "SortMergeJoin [priority" not in pl
+        pl = plan(filters.filter_by_owner_group(t, t, [K.OWNER_GROUP_SUPPORT]))
+        assert "BroadcastHashJoin [case_owner" in pl and "hashpartitioning(case_owner" not in pl
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
