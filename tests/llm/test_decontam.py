@@ -33,6 +33,12 @@ def test_thirteen_tokens_of_a_long_item_are_a_leak(spark):
     assert run(spark, docs, [(7, long)]) == [(1, 7, "exact", True), (2, 7, "exact", False)]
 
 
+def test_a_variant_does_not_hide_a_later_copy(spark):
+    """A contradicting variant comes first, with as many windows or more."""
+    docs = [(1, f"{CLASH}\n{FILL}\n{ITEM}"), (2, f"{CLASH}\n{SWAP}"), (3, f"{CLASH}\n{FILL}\n{ITEM[:80]}"), (4, f"{CLASH}\n{CLASH}")]
+    assert run(spark, docs, [(7, ITEM)]) == [(1, 7, "exact", True), (2, 7, "reparameterised", True), (3, 7, "exact", True), (4, 7, "template", False)]
+
+
 def test_edge_cases(spark):
     docs = [(1, None), (2, ""), (3, "...!!!\n"), (None, f"{FILL} {ITEM}"), (4, ITEM), (4, ITEM), (4, FILL), (5, "one two three four five six seven"),
             (6, "word " * 20_000 + ITEM)]

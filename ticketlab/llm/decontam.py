@@ -18,6 +18,8 @@ Its slots (placeholders) are then compared by value:
 
 ``contaminated`` is true for the first two kinds if the windows matched are at
 least ``min_share`` of the item's, or ``min_windows`` (of 8 tokens: 13 in a row).
+Every diagonal that reaches one of them is judged, and the longest, then
+earliest contaminated one is reported; if none is, the longest, then earliest.
 
 The benchmark's windows are written first, so the planner knows their size and
 broadcasts them only below its threshold; beyond, windows are shuffled.
@@ -154,12 +156,16 @@ def matches(docs: DataFrame, benchmark: DataFrame, cfg: DecontamConfig = Deconta
         hits = docs.sparkSession.createDataFrame([], "doc_id bigint, text_hash bigint, item_id bigint, at int, place int, width int")
     hits = materialize(hits, "decontam-hits")
 
-    # a diagonal's windows; the best diagonal of a document and item
-    lines = (hits.groupBy("doc_id", "text_hash", "item_id", (F.col("at") - F.col("place")).alias("shift"))
-             .agg(F.countDistinct("place").alias("n_windows"), F.min("at").alias("first"), F.max("width").alias("width")))
-    best = lines.groupBy("doc_id", "text_hash", "item_id").agg(
-        F.max(F.struct("n_windows", (-F.col("first")).alias("minus_first"), "shift", "width")).alias("b"))
-    best = materialize(best.select("doc_id", "text_hash", "item_id", "b.n_windows", (-F.col("b.minus_first")).alias("first"), "b.shift"), "decontam-best")
+    # a diagonal's windows; judged are those long enough, and the best of each document and item
+    pair = ["doc_id", "text_hash", "item_id"]
+    lines = (hits.groupBy(*pair, (F.col("at") - F.col("place")).alias("shift"))
+             .agg(F.countDistinct("place").alias("n_windows"), F.min("at").alias("first")))
+    lines = materialize(lines.alias("l").join(totals.alias("t"), F.col("l.item_id").eqNullSafe(F.col("t.item_id")))
+                        .select("l.*", (F.col("n_windows") / F.col("item_windows")).alias("share")), "decontam-lines")
+    rank = [F.col("n_windows"), (-F.col("first")).alias("minus_first"), F.col("shift")]
+    long_enough = (F.col("share") >= cfg.min_share) | (F.col("n_windows") >= cfg.min_windows)
+    best = lines.groupBy(*pair).agg(F.max(F.struct(*rank, "share", "first")).alias("b")).select(*pair, "b.shift", "b.n_windows", "b.first", "b.share")
+    best = materialize(best.unionByName(lines.where(long_enough)).distinct(), "decontam-best")
 
     # slots of the matched stretch, on both sides
     covered = hits.withColumn("shift", F.col("at") - F.col("place"))
@@ -168,7 +174,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, cfg: DecontamConfig = Deconta
                .select("doc_id", "text_hash", "item_id", "shift", F.explode(F.sequence(F.col("place"), F.col("place") + F.col("width") - 1)).alias("place")).distinct())
     item_slots = materialize(_slots(benchmark, ["item_id"]), "decontam-item-slots")
     wanted = stretch.alias("s").join(item_slots.alias("i"), F.col("s.item_id").eqNullSafe(F.col("i.item_id")) & (F.col("s.place") == F.col("i.place"))) \
-        .select("s.doc_id", "s.text_hash", "s.item_id", (F.col("s.place") + F.col("s.shift")).alias("at"), F.col("i.kind").alias("kind"), F.col("i.value").alias("item_value"))
+        .select("s.doc_id", "s.text_hash", "s.item_id", "s.shift", (F.col("s.place") + F.col("s.shift")).alias("at"), F.col("i.kind").alias("kind"), F.col("i.value").alias("item_value"))
     wanted = materialize(wanted, "decontam-wanted")
     owners = wanted.select("doc_id", "text_hash").distinct()
     d = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).alias("d")
@@ -176,8 +182,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, cfg: DecontamConfig = Deconta
     own_texts = d.join(owners.alias("o"), same_doc("d", "o"), "left_semi")
     doc_slots = _slots(own_texts, ["doc_id", "text_hash"]).distinct()
     values = (wanted.alias("w").join(doc_slots.alias("v"), same_doc("w", "v") & (F.col("w.at") == F.col("v.place")))
-              .select("w.doc_id", "w.text_hash", "w.item_id", "w.kind", "w.item_value", F.col("v.value").alias("doc_value")).distinct())
-    key = ["doc_id", "text_hash", "item_id"]
+              .select("w.doc_id", "w.text_hash", "w.item_id", "w.shift", "w.kind", "w.item_value", F.col("v.value").alias("doc_value")).distinct())
+    key = [*pair, "shift"]
     forward = values.groupBy(*key, "kind", "item_value").agg(F.count(F.lit(1)).alias("n"), F.min("doc_value").alias("v"))
     backward = values.groupBy(*key, "kind", "doc_value").agg(F.count(F.lit(1)).alias("n"))
     f = forward.groupBy(*key).agg(F.count(F.lit(1)).alias("slots"), F.max("n").alias("most"),
@@ -186,12 +192,11 @@ def matches(docs: DataFrame, benchmark: DataFrame, cfg: DecontamConfig = Deconta
     slots = both.groupBy(*key).agg(F.max("slots").alias("slots"), F.max("most").alias("most"), F.min("same").alias("same"))
     on = [F.col(f"b.{c}").eqNullSafe(F.col(f"s.{c}")) for c in key]
     kind = (F.when(F.coalesce("s.same", F.lit(True)), "exact").when(F.col("s.most") == 1, "reparameterised").otherwise("template"))
-    out = (best.alias("b").join(slots.alias("s"), on[0] & on[1] & on[2], "left")
-           .join(totals.alias("t"), F.col("b.item_id").eqNullSafe(F.col("t.item_id")))
-           .select("b.doc_id", "b.text_hash", "b.item_id", kind.alias("kind"), "b.n_windows",
-                   (F.col("b.n_windows") / F.col("t.item_windows")).alias("share"), F.col("b.first").alias("place"),
-                   F.coalesce("s.slots", F.lit(0)).alias("slots")))
-    return out.withColumn("contaminated", (F.col("kind") != "template") & ((F.col("share") >= cfg.min_share) | (F.col("n_windows") >= cfg.min_windows)))
+    judged = (best.alias("b").join(slots.alias("s"), on[0] & on[1] & on[2] & on[3], "left")
+              .select("b.*", kind.alias("kind"), F.coalesce("s.slots", F.lit(0)).alias("slots")))
+    leak = ((F.col("kind") != "template") & long_enough).alias("contaminated")
+    found = judged.groupBy(*pair).agg(F.max(F.struct(leak, *rank, "share", "first", "kind", "slots")).alias("f"))
+    return found.select(*pair, "f.kind", "f.n_windows", "f.share", F.col("f.first").alias("place"), "f.slots", "f.contaminated")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, cfg: DecontamConfig = DecontamConfig()) -> DataFrame:
