@@ -39,6 +39,16 @@ def test_a_variant_does_not_hide_a_later_copy(spark):
     assert run(spark, docs, [(7, ITEM)]) == [(1, 7, "exact", True), (2, 7, "reparameterised", True), (3, 7, "exact", True), (4, 7, "template", False)]
 
 
+def test_short_items(spark):
+    """One window whose first word stands after a colon; fewer tokens as whole sequences."""
+    docs = [(1, f"{FILL}. Q: What is the capital of France? A: Paris"), (2, f"{FILL} (Who is the capital of France?)"), (3, "Q: Why do cats purr? A: ..."),
+            (4, "I ask why do cats purr?"), (5, "why do cats purr"), (6, "Why do cats purr so?"), (7, "2) What is the capital of Spain?"),
+            (8, f"{FILL}. What is the capital of France?"), (9, "Q: 7 times 8? Q: 7 times 9?")]
+    items = [(1, "What is the capital of France?"), (2, "Why do cats purr?"), (3, "7 times 9?")]
+    assert run(spark, docs, items) == [(1, 1, "exact", True), (3, 2, "exact", True), (5, 2, "exact", True), (7, 1, "reparameterised", True),
+                                       (8, 1, "exact", True), (9, 3, "exact", True)]
+
+
 def test_edge_cases(spark):
     docs = [(1, None), (2, ""), (3, "...!!!\n"), (None, f"{FILL} {ITEM}"), (4, ITEM), (4, ITEM), (4, FILL), (5, "one two three four five six seven"),
             (6, "word " * 20_000 + ITEM)]

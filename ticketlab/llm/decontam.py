@@ -26,9 +26,13 @@ broadcasts them only below its threshold; beyond, windows are shuffled.
 
 Edge cases: null or empty texts have no tokens and match nothing; an item with
 fewer tokens than ``window`` is matched as one window of its own length, if
-it has at least ``min_tokens`` (fewer are no evidence); windows with more
-placeholders than words are not used, unless an item has no other. Rows with
-equal doc_id and text give one match row; null ids are kept.
+it has at least ``min_tokens``. The first word of an item of one window may stand
+after anything in a document ('Q: What'), but has to be the item's own. Items
+of fewer tokens are found only as exact copies (but for case) that stand whole
+between breaks, colons, quotes, brackets or ends of the text: 'Q: Why?' holds
+the item 'Why?', but 'Why not?' does not; such a copy is one window, share 1.
+Windows with more placeholders than words are not used, unless an item has no
+other. Rows with equal doc_id and text give one match row; null ids are kept.
 """
 
 from __future__ import annotations
@@ -55,6 +59,10 @@ UNITS = (
 #: A break, a number, a percent sign, or a word.
 TOKEN = r"[.!?\n]|[0-9]+(?:[.,][0-9]+)*|%|\p{L}[\p{L}\p{M}]*"
 
+#: What ends a short item's copy, besides the ends of the text; then the other tokens.
+EDGE = r"[.!?\n:;()\[\]{}|\"“”„«»]"
+EDGED = EDGE + "|" + TOKEN
+
 
 @dataclass(frozen=True)
 class DecontamConfig:
@@ -96,11 +104,13 @@ def _raw(df: DataFrame, keys: list) -> DataFrame:
     return df.select(*keys, F.regexp_extract_all(F.col("text"), F.lit(TOKEN), 0).alias("raw"))
 
 
-def _canonical_words(df: DataFrame, keys: list) -> DataFrame:
-    """keys and ``t``: the canonical tokens of ``text``."""
+def _canonical_words(df: DataFrame, keys: list, own: bool = False) -> DataFrame:
+    """keys and ``t``: the canonical tokens of ``text`` (``own``: and ``v``, their lower-cased words)."""
     raw = _raw(df, keys)
     names = [c for c in raw.columns if c != "raw"]
-    return raw.select(*names, F.filter(canonical("raw"), lambda t: t.isNotNull()).alias("t"))
+    words = F.filter("raw", lambda x: ~_is_break(x))
+    return raw.select(*names, F.filter(canonical("raw"), lambda t: t.isNotNull()).alias("t"),
+                      *([F.transform(words, lambda x: F.lower(x)).alias("v")] if own else []))
 
 
 def _solid(tokens: Column) -> Column:
@@ -116,6 +126,54 @@ def _windows(tokens: str, width: Column) -> Column:
         F.sequence(F.lit(1), F.size(t) - width + 1), lambda i: F.xxhash64(F.slice(t, i, width), width)))
 
 
+def _opened_windows(tokens: str, words: str, width: Column) -> Column:
+    """The same where the first token is a name or unit, with its own word for it; else null."""
+    t, v = F.col(tokens), F.col(words)
+    return F.when(F.size(t) >= width, F.transform(
+        F.sequence(F.lit(1), F.size(t) - width + 1),
+        lambda i: F.when(F.get(t, i - 1).isin("@name", "@unit"),
+                         F.xxhash64(F.concat(F.array(F.get(v, i - 1)), F.slice(t, i + 1, width - 1)), width))))
+
+
+def _sequences(df: DataFrame, keys: list) -> DataFrame:
+    """keys and ``s``: the words of ``text`` (v), and whether an edge stands
+    right before (begins) and after (ends)."""
+    raw = df.select(*keys, F.regexp_extract_all(F.col("text"), F.lit(EDGED), 0).alias("edged"))
+    names = [c for c in raw.columns if c != "edged"]
+    r, edge = F.col("edged"), lambda x: x.rlike("^" + EDGE + "$")
+    marked = F.transform(r, lambda x, i: F.struct(
+        F.lower(x).alias("v"), edge(x).alias("edge"),
+        F.when(i > 0, edge(F.get(r, i - 1))).otherwise(True).alias("begins"), F.coalesce(edge(F.get(r, i + 1)), F.lit(True)).alias("ends")))
+    return raw.select(*names, F.filter(marked, lambda p: ~p["edge"]).alias("s"))
+
+
+def short_matches(docs: DataFrame, benchmark: DataFrame, cfg: DecontamConfig) -> DataFrame | None:
+    """Rows of ``matches`` for the items of fewer than ``min_tokens`` tokens;
+    None if there are none."""
+    items = (_sequences(benchmark.where("text is not null"), ["item_id", "text"])
+             .where((F.size("s") > 0) & (F.size("s") < cfg.min_tokens))
+             .select("item_id", "text", F.size("s").alias("n"), F.xxhash64(F.transform("s", lambda p: p["v"]), F.size("s")).alias("h")))
+    items = materialize(items.distinct(), "decontam-short")
+    lengths = sorted(r[0] for r in items.select("n").distinct().collect())  # fewer than cfg.min_tokens numbers
+    if not lengths:
+        return None
+    slots = _slots(items, ["item_id", "h"]).groupBy("item_id", "h").agg(F.countDistinct("kind", "value").alias("slots"))
+    items = items.alias("i").join(slots.alias("s"), F.col("i.item_id").eqNullSafe(F.col("s.item_id")) & (F.col("i.h") == F.col("s.h")), "left") \
+        .select("i.item_id", "i.h", F.coalesce("s.slots", F.lit(0)).alias("slots")).distinct()
+    s = F.col("s")
+
+    def runs(n: int) -> Column:
+        return F.when(F.size(s) >= n, F.transform(F.sequence(F.lit(1), F.size(s) - n + 1), lambda i: F.struct(
+            (i - 1).alias("at"), F.when(F.get(s, i - 1)["begins"] & F.get(s, i + (n - 2))["ends"],
+                                        F.xxhash64(F.transform(F.slice(s, i, n), lambda p: p["v"]), F.lit(n))).alias("h")))).otherwise(F.array())
+    whole = (_sequences(docs.where("text is not null"), ["doc_id", F.xxhash64("text").alias("text_hash")])
+             .select("doc_id", "text_hash", F.explode(F.filter(F.concat(*[runs(n) for n in lengths]), lambda p: p["h"].isNotNull())).alias("r"))
+             .select("doc_id", "text_hash", F.col("r.at").alias("at"), F.col("r.h").alias("h")))
+    return (whole.join(items, "h").groupBy("doc_id", "text_hash", "item_id").agg(F.min("at").alias("place"), F.max("slots").alias("slots"))
+            .select("doc_id", "text_hash", "item_id", F.lit("exact").alias("kind"), F.lit(1).cast("long").alias("n_windows"),
+                    F.lit(1.0).alias("share"), "place", "slots", F.lit(True).alias("contaminated")))
+
+
 def _slots(df: DataFrame, keys: list[str]) -> DataFrame:
     """Placeholders of each text: keys, place among the canonical tokens, kind, value."""
     both = F.filter(F.arrays_zip(canonical("raw").alias("c"), F.col("raw").alias("v")), lambda p: p["c"].isNotNull())
@@ -125,15 +183,16 @@ def _slots(df: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def benchmark_windows(benchmark: DataFrame, cfg: DecontamConfig) -> DataFrame:
-    """item_id, place, h, width, n_windows; written, so its size is known."""
+    """item_id, place, h, width, single (the item's only window); written, so its size is known."""
     items = (_canonical_words(benchmark.where("text is not null"), ["item_id"])
-             .where(F.size("t") >= cfg.min_tokens).withColumn("width", F.least(F.lit(cfg.window), F.size("t"))))
-    runs = items.select("item_id", "width", F.posexplode(F.transform(
+             .where(F.size("t") >= cfg.min_tokens).withColumn("width", F.least(F.lit(cfg.window), F.size("t")))
+             .withColumn("single", F.size("t") == F.col("width")))
+    runs = items.select("item_id", "width", "single", F.posexplode(F.transform(
         F.sequence(F.lit(1), F.size("t") - F.col("width") + 1), lambda i: F.slice("t", i, F.col("width")))).alias("place", "run"))
-    runs = runs.select("item_id", "width", "place", F.xxhash64("run", "width").alias("h"), _solid(F.col("run")).alias("solid"))
+    runs = runs.select("item_id", "width", "single", "place", F.xxhash64("run", "width").alias("h"), _solid(F.col("run")).alias("solid"))
     any_solid = runs.groupBy("item_id").agg(F.max("solid").alias("any_solid"))
     used = (runs.alias("r").join(any_solid.alias("a"), F.col("r.item_id").eqNullSafe(F.col("a.item_id")))
-            .where("solid or not any_solid").select("r.item_id", "place", "h", "width"))
+            .where("solid or not any_solid").select("r.item_id", "place", "h", "width", "single"))
     return materialize(used.distinct(), "decontam-windows")
 
 
@@ -144,13 +203,16 @@ def matches(docs: DataFrame, benchmark: DataFrame, cfg: DecontamConfig = Deconta
     slots, contaminated."""
     bench = benchmark_windows(benchmark, cfg)
     totals = bench.groupBy("item_id").agg(F.countDistinct("place").alias("item_windows"))
-    widths = [r[0] for r in bench.select("width").distinct().collect()]  # at most cfg.window - min_tokens + 1 numbers
-    texts = _canonical_words(docs, ["doc_id", F.xxhash64("text").alias("text_hash")])
+    widths = bench.groupBy("width").agg(F.max("single")).collect()  # at most cfg.window - min_tokens + 1 rows
+    texts = _canonical_words(docs, ["doc_id", F.xxhash64("text").alias("text_hash")], any(single for _, single in widths))
     hits = None
-    for width in sorted(widths):
+    for width, single in sorted(widths):
         w = (texts.select("doc_id", "text_hash", F.posexplode(_windows("t", F.lit(width))).alias("at", "h"))
-             .join(bench.where(F.col("width") == width).select("item_id", "place", "h"), "h")
-             .select("doc_id", "text_hash", "item_id", "at", "place", F.lit(width).alias("width")))
+             .join(bench.where(F.col("width") == width).select("item_id", "place", "h"), "h"))
+        if single:
+            w = w.unionByName(texts.select("doc_id", "text_hash", F.posexplode(_opened_windows("t", "v", F.lit(width))).alias("at", "h"))
+                              .join(bench.where((F.col("width") == width) & F.col("single")).select("item_id", "place", "h"), "h"))
+        w = w.select("doc_id", "text_hash", "item_id", "at", "place", F.lit(width).alias("width"))
         hits = w if hits is None else hits.unionByName(w)
     if hits is None:
         hits = docs.sparkSession.createDataFrame([], "doc_id bigint, text_hash bigint, item_id bigint, at int, place int, width int")
@@ -196,7 +258,14 @@ def matches(docs: DataFrame, benchmark: DataFrame, cfg: DecontamConfig = Deconta
               .select("b.*", kind.alias("kind"), F.coalesce("s.slots", F.lit(0)).alias("slots")))
     leak = ((F.col("kind") != "template") & long_enough).alias("contaminated")
     found = judged.groupBy(*pair).agg(F.max(F.struct(leak, *rank, "share", "first", "kind", "slots")).alias("f"))
-    return found.select(*pair, "f.kind", "f.n_windows", "f.share", F.col("f.first").alias("place"), "f.slots", "f.contaminated")
+    found = found.select(*pair, "f.kind", "f.n_windows", "f.share", F.col("f.first").alias("place"), "f.slots", "f.contaminated")
+    short = short_matches(docs, benchmark, cfg)
+    if short is None:
+        return found
+    # an id with items of several lengths keeps one row
+    cols = [c for c in found.columns if c not in pair]
+    first = F.struct("contaminated", "n_windows", "share", (-F.col("place")).alias("minus_place"), "kind", "slots", "place")
+    return found.unionByName(short).groupBy(*pair).agg(F.max(first).alias("f")).select(*pair, *[f"f.{c}" for c in cols])
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, cfg: DecontamConfig = DecontamConfig()) -> DataFrame:
