@@ -5,6 +5,7 @@ import pyarrow as pa
 import pytest
 
 from ticketlab.llm import langid as G
+from ticketlab.llm.common import training_sample
 
 CFG = G.LangConfig()
 EN = "the quick brown fox jumps over the lazy dog while they think about nothing with that thing"
@@ -87,6 +88,15 @@ def test_nothing_to_learn_from(spark, tmp_path, rows):
     assert [r.lang_pred for r in got.values()] == ["und"] * len(rows)
 
 
+def test_the_byte_bound_keeps_a_rare_language(spark):
+    """Rows of two common languages fill the bound many times; one is 1000 times rarer."""
+    docs = spark.range(12_006).selectExpr("id AS doc_id", "repeat('x', 100) AS text",
+                                          "CASE WHEN id < 6 THEN 'rare' WHEN id % 2 = 0 THEN 'a' ELSE 'b' END AS label")
+    got = training_sample(docs.select("doc_id", "text"), docs.select("doc_id", "label"), 3000, 100_000, per_label=True)
+    n = {r["label"]: r["count"] for r in got.groupBy("label").count().collect()}
+    assert n == {"rare": 6, "a": 497, "b": 497}
+
+
 def test_query_on_the_small_tables(spark):
     sf = "/root/testdata/sf0.01"
     got = G.op9_viterbi(spark, sf).collect()

@@ -44,7 +44,9 @@ def training_sample(docs: DataFrame, ids: DataFrame, rows: int, max_bytes: int,
     """doc_id, text, label of a bounded part of the labelled documents ``ids``
     (doc_id, label): at most ``rows`` ids, those of the smallest hash of the id
     (``per_label``: of each label), and of them as many as hold ``max_bytes`` of
-    text. It is the same at any partitioning. An id with several texts gives the
+    text; ``per_label`` takes them in the order of the bytes that their own label
+    has up to them, so labels get equal bytes and one with less keeps all of its
+    texts. It is the same at any partitioning. An id with several texts gives the
     smallest text."""
     order = F.xxhash64(F.lit(17), "doc_id")
     if per_label:
@@ -56,7 +58,13 @@ def training_sample(docs: DataFrame, ids: DataFrame, rows: int, max_bytes: int,
     texts = (docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").where("text is not null")
              .groupBy("doc_id").agg(F.min("text").alias("text"), F.max("label").alias("label")))
     texts = materialize(texts, "sample-texts")
-    sizes = texts.select("doc_id", F.sum(F.octet_length("text")).over(Window.orderBy(order, "doc_id")).alias("_upto"))
+    sizes = texts.select("doc_id", "label", F.octet_length("text").alias("_size"))
+    turn = [order, F.col("doc_id")]
+    if per_label:
+        # at most `rows` of a label in a task
+        sizes = sizes.withColumn("_own", F.sum("_size").over(Window.partitionBy("label").orderBy(*turn).rowsBetween(Window.unboundedPreceding, 0)))
+        turn = [F.col("_own"), *turn]
+    sizes = sizes.select("doc_id", F.sum("_size").over(Window.orderBy(*turn)).alias("_upto"))
     return texts.join(sizes.where(F.col("_upto") <= max_bytes).select("doc_id"), "doc_id")
 
 
