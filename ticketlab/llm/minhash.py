@@ -17,8 +17,9 @@
    members are compared with each other, and dealt in blocks, two to a task.
 
 Chance of losing a pair at a similarity of 0.85: (1 - 0.85^5)^24 < 1e-6 by the
-bands, < 1e-6 by the estimate (its standard error is 0.0135 there). Nothing is
-capped, dropped or sampled.
+bands, < 1e-6 by the estimate (its standard error is 0.0135 there). In a bucket
+of over ``hot_bucket`` classes a pair that is not connected otherwise needs two
+equal bands: with p = 0.85^5 it is lost with (1 - p)^24 + 24 p (1 - p)^23 = 1.6e-5.
 
 Edge cases: a text with fewer words than k has its whole word sequence as one
 shingle; a null, empty or all-space text has an empty set and is linked with
