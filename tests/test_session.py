@@ -1,6 +1,8 @@
 """Scratch folder rules."""
 
 import os
+import subprocess
+import sys
 from types import SimpleNamespace
 
 import pytest
@@ -8,19 +10,10 @@ import pytest
 from ticketlab import session
 
 
-class _Conf:
-    def __init__(self):
-        self.kv = {}
-
-    def get(self, k, default=None):
-        return self.kv.get(k, default)
-
-    def set(self, k, v):
-        self.kv[k] = v
-
-
-def _fake(master):
-    return SimpleNamespace(conf=_Conf(), sparkContext=SimpleNamespace(master=master, setCheckpointDir=lambda d: None))
+def _fake(master, folder=None):
+    conf = {} if folder is None else {"spark.checkpoint.dir": folder}
+    return SimpleNamespace(conf=SimpleNamespace(get=lambda k, default=None: conf.get(k, default)),
+                           sparkContext=SimpleNamespace(master=master, applicationId="app", setCheckpointDir=lambda d: None))
 
 
 @pytest.mark.parametrize("master", ["yarn", "spark://host:7077", "local-cluster[2,1,1024]"])
@@ -29,15 +22,35 @@ def test_cluster_without_shared_folder_is_an_error(master):
         session.ensure_checkpoint_dir(_fake(master))
 
 
-@pytest.mark.parametrize("master", ["local", "local[4]", "local[*]"])
-def test_local_master_gets_a_scratch_folder(master):
-    assert os.path.isdir(session.ensure_checkpoint_dir(_fake(master)))
+def test_named_folder_is_used():
+    assert session.ensure_checkpoint_dir(_fake("yarn", "hdfs:///shared")) == "hdfs:///shared"
 
 
-def test_named_folder_is_used():
-    s = _fake("yarn")
-    s.conf.set("spark.checkpoint.dir", "hdfs:///shared")
-    assert session.ensure_checkpoint_dir(s) == "hdfs:///shared"
+PLAIN = """
+import os, sys
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").getOrCreate()
+assert spark.conf.get("spark.checkpoint.dir", None) is None
+import __spark_entry__ as entry
+assert len(entry.entry(spark).collect()) == 1
+from ticketlab import session
+d = session.ensure_checkpoint_dir(spark)
+assert os.path.isdir(d) and d == session.ensure_checkpoint_dir(spark.newSession())
+out = session.materialize(spark.range(3), "three")
+assert out.count() == 3 and d in out.inputFiles()[0]
+spark.stop()
+spark = session.get_spark("local[1]")      # the next application gets its own
+assert session.ensure_checkpoint_dir(spark) != d
+spark.stop()
+"""
+
+
+def test_plain_local_session_without_a_named_folder(tmp_path):
+    """A real session whose Spark conf folder is empty: nothing names the folder."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = {**os.environ, "SPARK_CONF_DIR": str(tmp_path), "PYTHONPATH": root}
+    done = subprocess.run([sys.executable, "-c", PLAIN], env=env, cwd=tmp_path, capture_output=True, text=True, timeout=300)
+    assert done.returncode == 0, done.stderr[-3000:]
 
 
 def test_materialize_round_trip_keeps_schema_of_an_empty_table(spark):

@@ -20,6 +20,10 @@ SESSION_DEFAULTS = {
 }
 
 
+# scratch folders of local applications that name none, by application id
+_LOCAL_DIRS: dict[str, str] = {}
+
+
 def get_spark(master: str | None = None, app_name: str = "ticketlab",
               shuffle_partitions: int | None = None, extra: dict | None = None) -> SparkSession:
     """Build (or reuse) a session with the library's defaults.
@@ -45,15 +49,19 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
     A cluster names it. Only a local master, where driver and executors are
-    one process, gets a scratch folder of its own when it is unset.
+    one process, gets a scratch folder of its own when it is unset: one for
+    each application, kept here because a running session does not take the
+    setting.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
         master = spark.sparkContext.master
         if master != "local" and not master.startswith("local["):
             raise RuntimeError(f"spark.checkpoint.dir must name a shared folder on {master}")
-        d = tempfile.mkdtemp(prefix="ticketlab-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", d)
+        app = spark.sparkContext.applicationId
+        if app not in _LOCAL_DIRS:
+            _LOCAL_DIRS[app] = tempfile.mkdtemp(prefix="ticketlab-ckpt-")
+        d = _LOCAL_DIRS[app]
     spark.sparkContext.setCheckpointDir(d)
     return d
 
