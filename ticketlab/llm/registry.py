@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import ann, decontam, langid, lm, minhash, packing, quality, sharding, toxicity, warc
+from . import ann, decontam, langid, lm, merkle, minhash, packing, quality, sharding, toxicity, warc
 
 QUERIES = {
     "op1_minhash": minhash.op1_minhash,
@@ -17,6 +17,7 @@ QUERIES = {
     "op8_rendezvous": sharding.op8_rendezvous,
     "op9_viterbi": langid.op9_viterbi,
     "op10_templates": decontam.op10_templates,
+    "op11_merkle": merkle.op11_merkle,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -24,4 +25,5 @@ ORACLE_SQL = {
     "op1_minhash": minhash.ORACLE_SQL,
     "op4_warc": warc.ORACLE_SQL,
     "op10_templates": decontam.ORACLE_SQL,
+    "op11_merkle": merkle.ORACLE_SQL,
 }
