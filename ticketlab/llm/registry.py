@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import ann, decontam, langid, lm, merkle, minhash, packing, quality, sharding, toxicity, warc
+from . import ann, decontam, langid, lm, merkle, minhash, packing, quality, sentencepieces, sharding, toxicity, warc
 
 QUERIES = {
     "op1_minhash": minhash.op1_minhash,
@@ -18,6 +18,7 @@ QUERIES = {
     "op9_viterbi": langid.op9_viterbi,
     "op10_templates": decontam.op10_templates,
     "op11_merkle": merkle.op11_merkle,
+    "op12_sentencepiece": sentencepieces.op12_sentencepiece,
     "pipeline": corpus_pipeline.run,
 }
 
