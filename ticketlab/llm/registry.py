@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import ann, decontam, langid, lm, merkle, minhash, packing, quality, sentencepieces, sharding, toxicity, warc
+from . import ann, decontam, langid, lm, merkle, minhash, packing, phrases, quality, sentencepieces, sharding, toxicity, warc
 
 QUERIES = {
     "op1_minhash": minhash.op1_minhash,
@@ -19,6 +19,7 @@ QUERIES = {
     "op10_templates": decontam.op10_templates,
     "op11_merkle": merkle.op11_merkle,
     "op12_sentencepiece": sentencepieces.op12_sentencepiece,
+    "op13_phrases": phrases.op13_phrases,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -27,4 +28,5 @@ ORACLE_SQL = {
     "op4_warc": warc.ORACLE_SQL,
     "op10_templates": decontam.ORACLE_SQL,
     "op11_merkle": merkle.ORACLE_SQL,
+    "op13_phrases": phrases.ORACLE_SQL,
 }
