@@ -159,3 +159,29 @@ def test_dedup_with_a_hot_missing_id(spark):
             best[rid] = (key, cn)
     assert got == {k: v[1] for k, v in best.items()}
     assert None in got
+
+
+def test_distinct_sketches_roll_up(spark):
+    """Months' sketches merge to the year's and the whole: unlike counts, they add up."""
+    n = 30000
+    t = (spark.range(n).selectExpr(
+        "concat('a', id % 9000) as account_name", "concat('p', id % 7) as product_area",
+        "concat('2025-', lpad(cast(1 + id % 12 as string), 2, '0')) as month", "0.0 as csat", "false as is_escalated"))
+    cube = metrics.ticket_cube(t, ("month", "product_area"), ("account_name",))
+    assert cube.count() == 84 and "account_name" not in cube.columns
+    one = metrics.distinct_rollup(cube).first()
+    assert one.n_tickets == n and abs(one.account_name_estimate - 9000) <= 9000 * 3 * metrics.SKETCH_ERROR
+    # also from a cube of a cube (the order of merging moves an estimate a little)
+    again = metrics.distinct_rollup(metrics.ticket_cube(cube, ("month",), ("account_name",))).first()
+    assert again.n_tickets == n and abs(again.account_name_estimate - 9000) <= 9000 * 3 * metrics.SKETCH_ERROR
+    rows = metrics.distinct_by_month(t).collect()
+    assert len(rows) == 13 and rows[-1].month == "all" and rows[-1].account_name == 9000
+    assert all(r.account_name_within and r.product_area_within and r.product_area == r.product_area_estimate for r in rows)
+
+
+def test_approximate_overview(f):
+    exact, approx = metrics.overview_kpis(f).first(), metrics.overview_kpis(f, approx=True).first()
+    assert approx.product_areas == pytest.approx(exact.product_areas, rel=3 * metrics.SKETCH_ERROR)
+    assert approx.asDict() | {"product_areas": 0} == exact.asDict() | {"product_areas": 0}
+    empty = metrics.overview_kpis(f.limit(0), approx=True).first()
+    assert tuple(empty) == tuple(metrics.overview_kpis(f.limit(0)).first())

@@ -14,6 +14,11 @@ def col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def quoted(name: str) -> str:
+    """A column name that may hold dots, as text that names this column."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def na_to_null(c: str | Column, tokens: Iterable[str] = K.NA_TOKENS) -> Column:
     """Text that a CSV reader would read as missing becomes null."""
     c = col(c)
@@ -77,6 +82,20 @@ def parse_timestamp(c: str | Column, formats: Iterable[str] = K.DATE_FORMATS) ->
     return F.coalesce(*tries)
 
 
+def rejected_timestamp(c: str | Column, formats: Iterable[str] = K.DATE_FORMATS) -> Column:
+    """True for a value that is there (no missing-value text) but is no date."""
+    c = col(c).cast("string")
+    return na_to_null(c).isNotNull() & parse_timestamp(c, formats).isNull()
+
+
+def strict_timestamp(c: str, formats: Iterable[str] = K.DATE_FORMATS) -> Column:
+    """As :func:`parse_timestamp`, but a rejected value ends the job with an error
+    that names the column and the value."""
+    formats = tuple(formats)
+    told = F.concat(F.lit(f"{c} is not a date: "), F.substring(col(c).cast("string"), 1, 100))
+    return F.when(rejected_timestamp(c, formats), F.raise_error(told).cast("timestamp_ntz")).otherwise(parse_timestamp(c, formats))
+
+
 def is_true_text(c: str | Column) -> Column:
     """Only the text ``true`` in any letter case is true; all else false."""
     return F.coalesce(F.lower(col(c).cast("string")) == F.lit("true"), F.lit(False))

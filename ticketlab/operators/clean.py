@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
@@ -50,11 +50,31 @@ def drop_owners(df: DataFrame, owners=K.EXCLUDED_OWNERS) -> DataFrame:
     return df.filter(~F.coalesce(F.lower("case_owner").isin(lowered), F.lit(False)))
 
 
-def parse_dates(df: DataFrame, formats=K.DATE_FORMATS) -> DataFrame:
-    """Created / closed / first-response text -> ``timestamp_ntz``."""
-    cols = {c: X.parse_timestamp(c, formats)
-            for c in ("created_at", "closed_at", "first_response_at") if c in df.columns}
-    return df.withColumns(cols)
+DATE_COLUMNS = ("created_at", "closed_at", "first_response_at")
+
+
+def parse_dates(df: DataFrame, formats=K.DATE_FORMATS, strict: bool = False,
+                rejects: Observation | None = None) -> DataFrame:
+    """Created / closed / first-response text -> ``timestamp_ntz``.
+
+    A value that is no date becomes null. ``rejects`` counts those by column
+    while the rows pass (read them with :func:`date_rejects` after the first
+    action, no scan of their own); ``strict`` ends the job at the first one.
+    """
+    columns = [c for c in DATE_COLUMNS if c in df.columns]
+    if rejects is not None and columns:
+        df = df.observe(rejects, *[F.count_if(X.rejected_timestamp(c, formats)).alias(c) for c in columns])
+    parse = X.strict_timestamp if strict else X.parse_timestamp
+    return df.withColumns({c: parse(c, formats) for c in columns})
+
+
+def date_rejects(spark: SparkSession, rejects: Observation) -> DataFrame:
+    """(``field``, ``rejected``): how many values of each date column were no date,
+    as counted by the first action over the observed frame. Make that action
+    a plain write (no shuffle in its stage): then a task that is run again
+    after a lost executor is counted once."""
+    counts = rejects.get
+    return spark.createDataFrame([(c, int(counts[c])) for c in DATE_COLUMNS if c in counts], "field string, rejected long")
 
 
 def clean_numbers(df: DataFrame) -> DataFrame:
@@ -135,7 +155,9 @@ def cleaning_funnel(raw: DataFrame, cfg: CleanConfig = CleanConfig()) -> DataFra
                       (prev - F.col("rows_left")).cast("long").alias("rows_removed"))
 
 
-def quality_input(raw: DataFrame, formats=K.DATE_FORMATS) -> DataFrame:
+def quality_input(raw: DataFrame, formats=K.DATE_FORMATS, strict: bool = False,
+                  rejects: Observation | None = None) -> DataFrame:
     """Input of the data-quality report: raw tickets with parsed dates and a
-    month; no other cleaning (missing values stay null)."""
-    return with_month(parse_dates(raw, formats))
+    month; no other cleaning (missing values stay null). ``strict`` and
+    ``rejects`` as in :func:`parse_dates`."""
+    return with_month(parse_dates(raw, formats, strict, rejects))

@@ -5,11 +5,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .. import constants as K
-from ..functions.columns import contains_ci
+from ..functions.columns import contains_ci, quoted
+from ..session import materialize
 
 # Sorts after every real time: a missing created date must not come "first".
 FAR_FUTURE = "9999-12-31 23:59:59"
@@ -98,19 +99,48 @@ def dp_tickets(df: DataFrame, cfg: IssueConfig = IssueConfig()) -> DataFrame:
     return df.filter(dp_mask(df, cfg))
 
 
+def candidates(df: DataFrame, cfg: IssueConfig = IssueConfig(), columns=None) -> tuple[DataFrame, int]:
+    """The DP tickets with a data-quality term, and the number of all DP tickets.
+
+    Runs one job: one scan that writes the candidates (``columns``, by default
+    all, and a row number ``_row``) and counts the DP tickets as they pass. It
+    has no shuffle, so a task run again after a lost executor counts once.
+    """
+    wanted = df.columns if columns is None else list(dict.fromkeys([*columns, "id", "created_at", "case_number"]))
+    seen = Observation("dp-tickets")
+    rows = dp_tickets(df, cfg).observe(seen, F.count(F.lit(1)).alias("n")).filter(has_term(df, cfg))
+    rows = materialize(rows.select(*map(quoted, wanted), F.monotonically_increasing_id().alias("_row")), "dq-candidates")
+    return rows, int(seen.get.get("n", 0))
+
+
+def first_of_id(rows: DataFrame) -> DataFrame:
+    """Of :func:`candidates`, the first row of each id in (created, case
+    number) order. Missing ids form one group.
+
+    The winner is found on narrow columns by a partial aggregate, so duplicates
+    collapse on the map side and a hot id never lands in one task whole; the
+    winners' row numbers then pick the whole rows (texts are not aggregated).
+    """
+    order = F.struct(F.coalesce(F.col("created_at"), F.lit(FAR_FUTURE).cast("timestamp_ntz")).alias("t"),
+                     F.col("case_number"), F.col("_row"))
+    first = rows.groupBy("id").agg(F.min(order).alias("_first")).select(F.col("_first._row").alias("_row"))
+    return rows.join(first, "_row", "left_semi").drop("_row")
+
+
 def dq_issues(df: DataFrame, cfg: IssueConfig = IssueConfig(), columns=None) -> DataFrame:
     """DP tickets with a data-quality term, one row per id: the first
     matching row in (created, case number) order. Missing ids form one group.
 
-    ``min_by`` is a partial aggregate: duplicates collapse on the map side,
-    so even one id holding a third of the rows never lands in one task whole.
-    ``columns`` limits what each issue row carries (default: every column);
-    Catalyst cannot prune fields inside the aggregate, so a caller that needs
-    a few fields should name them: the scan then reads only those.
+    ``columns`` limits what each issue row carries (default: every column); the
+    scan then reads only those. With the description among them a job is run
+    here: candidates are written once and picked by row number
+    (:func:`first_of_id`). A few short columns go through a lazy ``min_by``,
+    which also collapses duplicates on the map side.
     """
-    wanted = df.columns if columns is None else list(dict.fromkeys(
-        [*columns, "created_at", "case_number"]))
-    keep = [c for c in wanted if c != "id"]
+    wanted = df.columns if columns is None else list(dict.fromkeys([*columns, "created_at", "case_number"]))
+    if "description" in wanted:
+        return first_of_id(candidates(df, cfg, wanted)[0]).select("id", *[quoted(c) for c in wanted if c != "id"])
+    keep = [quoted(c) for c in wanted if c != "id"]
     order = F.struct(F.coalesce(F.col("created_at"), F.lit(FAR_FUTURE).cast("timestamp_ntz")),
                      F.col("case_number"))
     cand = dp_tickets(df, cfg).filter(has_term(df, cfg))
@@ -118,13 +148,18 @@ def dq_issues(df: DataFrame, cfg: IssueConfig = IssueConfig(), columns=None) ->
             .select("id", "_r.*"))
 
 
-def dq_totals(df: DataFrame, cfg: IssueConfig = IssueConfig(), issues: DataFrame | None = None) -> DataFrame:
+def dq_totals(df: DataFrame, cfg: IssueConfig = IssueConfig(), issues: DataFrame | None = None,
+              total: int | None = None) -> DataFrame:
     """Number of DP tickets and of unique issues, in one aggregation
     per id followed by a tiny global one. Pass ``issues`` already materialised
-    to count those instead of searching the texts again."""
+    to count those instead of searching the texts again, and the ``total`` that
+    :func:`candidates` counted to read no ticket at all."""
     if issues is not None:
-        total = dp_tickets(df, cfg).agg(F.count(F.lit(1)).alias("total_dp_analytics_tickets"))
-        return total.withColumn("unique_data_quality_issues", issues.agg(F.count(F.lit(1))).scalar())
+        found = issues.agg(F.count(F.lit(1)).alias("unique_data_quality_issues"))
+        if total is not None:
+            return found.select(F.lit(total).cast("long").alias("total_dp_analytics_tickets"), "unique_data_quality_issues")
+        count = dp_tickets(df, cfg).agg(F.count(F.lit(1)).alias("total_dp_analytics_tickets"))
+        return count.withColumn("unique_data_quality_issues", found.scalar())
     per_id = (dp_tickets(df, cfg).groupBy("id")
               .agg(F.count(F.lit(1)).alias("_rows"), F.bool_or(has_term(df, cfg)).alias("_hit")))
     return per_id.agg(F.coalesce(F.sum("_rows"), F.lit(0)).cast("long").alias("total_dp_analytics_tickets"),
@@ -194,16 +229,19 @@ def dq_terms(issues: DataFrame, cfg: IssueConfig = IssueConfig()) -> DataFrame:
 
 
 def data_quality_issues(df: DataFrame, cfg: IssueConfig = IssueConfig(),
-                        issues: DataFrame | None = None) -> dict[str, DataFrame]:
+                        issues: DataFrame | None = None, total: int | None = None) -> dict[str, DataFrame]:
     """Every data-quality table. Pass ``issues`` already materialised
-    (see :func:`ticketlab.session.materialize`) to compute them once."""
-    iss = issues if issues is not None else dq_issues(df, cfg)
+    (see :func:`ticketlab.session.materialize`), with the ``total`` of DP tickets if
+    known; otherwise one scan is run here that writes and counts both."""
+    if issues is None:
+        rows, total = candidates(df, cfg)
+        issues = materialize(first_of_id(rows).select(*map(quoted, df.columns)), "dq-issues")
     return {
-        "dq_totals": dq_totals(df, cfg, issues),
-        "dq_issues": iss,
-        "dq_by_pod": dq_by_pod(iss),
-        "dq_by_area": dq_by_area(iss),
-        "dq_monthly": dq_monthly(iss),
-        "dq_sample": dq_sample(iss, cfg.sample_size),
-        "dq_terms": dq_terms(iss, cfg),
+        "dq_totals": dq_totals(df, cfg, issues, total),
+        "dq_issues": issues,
+        "dq_by_pod": dq_by_pod(issues),
+        "dq_by_area": dq_by_area(issues),
+        "dq_monthly": dq_monthly(issues),
+        "dq_sample": dq_sample(issues, cfg.sample_size),
+        "dq_terms": dq_terms(issues, cfg),
     }

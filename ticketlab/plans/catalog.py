@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
@@ -78,6 +78,14 @@ def result_csv(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.option("header", True).schema("priority string, ticket_count long, share double").csv(path)
 
 
+def dq_date_rejects(spark: SparkSession, d: str) -> DataFrame:
+    """D9-D17 input: values that were no date, counted by the scan that writes the
+    issues' candidates."""
+    rejects = Observation("date-rejects")
+    issues.candidates(clean.quality_input(raw(spark, d), rejects=rejects))
+    return clean.date_rejects(spark, rejects)
+
+
 # tables of the report sets in long form: key columns and value of each
 REPORT_KEYS = {
     "top_accounts": (("account_name",), "ticket_count"), "monthly_volume": (("month", "account_name"), "ticket_count"),
@@ -159,6 +167,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         filtered(s, d), cleaned(s, d), [K.OWNER_GROUP_SUPPORT])),
     # aggregates
     "overview_kpis": lambda s, d: r6(metrics.overview_kpis(filtered(s, d))),
+    "distinct_by_month": lambda s, d: metrics.distinct_by_month(filtered(s, d)).select(
+        "month", "n_tickets", "account_name", "product_area", "account_name_within", "product_area_within"),
     "active_accounts": lambda s, d: metrics.active_accounts(filtered(s, d)),
     "top_accounts": lambda s, d: metrics.top_accounts_labeled(filtered(s, d)),
     "monthly_csat_labeled": lambda s, d: r6(trends.monthly_csat_labeled(filtered(s, d))),
@@ -190,6 +200,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "value_counts": lambda s, d: profile.value_counts(qinput(s, d), "product_feature"),
     "similar_values": lambda s, d: r6(similar.similar_values(qinput(s, d), "rca")),
     "similar_features": lambda s, d: r6(similar.similar_values(qinput(s, d), "product_feature")),
+    "dq_date_rejects": dq_date_rejects,
     "dp_tickets": lambda s, d: issues.dp_tickets(qinput(s, d)),
     "dq_issues": lambda s, d: issues.dq_issues(qinput(s, d)),
     "dq_totals": lambda s, d: issues.dq_totals(qinput(s, d)),

@@ -287,6 +287,10 @@ SELECT count(*) AS total_tickets,
   {r6('avg(CASE WHEN csat <> 0 THEN csat END)')} AS avg_csat,
   {r6('avg(CAST(is_escalated AS INTEGER)) * 100')} AS escalation_rate
 FROM f"""),
+        "distinct_by_month": w("""
+SELECT coalesce(month, 'all') AS month, count(*) AS n_tickets, count(DISTINCT account_name) AS account_name,
+  count(DISTINCT product_area) AS product_area, true AS account_name_within, true AS product_area_within
+FROM f GROUP BY GROUPING SETS ((month), ())"""),
         "active_accounts": w(f"""
 SELECT count(*) AS active_accounts FROM (SELECT account_name FROM f GROUP BY account_name
   HAVING count(*) >= {K.ACTIVE_ACCOUNT_MIN_TICKETS} AND account_name <> {u})"""),
@@ -348,6 +352,9 @@ SELECT value_lower, variation FROM v
 WHERE value_lower IN (SELECT value_lower FROM v GROUP BY value_lower HAVING count(*) > 1)"""),
         "value_counts": w("SELECT product_feature AS value, count(*) AS value_count FROM qi "
                           "WHERE product_feature IS NOT NULL GROUP BY product_feature"),
+        "dq_date_rejects": w(" UNION ALL ".join(
+            f"SELECT {q(c)} AS field, count_if({c} IS NOT NULL AND {c} NOT IN {sql_list(K.NA_TOKENS)} "
+            f"AND {parse_ts(c)} IS NULL) AS rejected FROM raw" for c in ("created_at", "closed_at", "first_response_at"))),
         "dp_tickets": w(f"SELECT * FROM qi WHERE {_dp_mask()}"),
         "dq_issues": wi("SELECT * FROM issues"),
         "dq_totals": w(f"""

@@ -12,10 +12,11 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 
 from ..operators import durations, metrics, trends, words
-from ..operators.issues import IssueConfig, data_quality_issues, dq_issues
+from ..operators.clean import date_rejects
+from ..operators.issues import IssueConfig, data_quality_issues
 from ..session import materialize
 from ..sources.sinks import write_result_csv, write_table
 
@@ -58,12 +59,15 @@ def report_tables(t: DataFrame, persist: bool = True) -> dict[str, DataFrame]:
 
 
 def quality_report_tables(q: DataFrame, cfg: IssueConfig = IssueConfig(),
-                          persist: bool = True) -> dict[str, DataFrame]:
-    """Every data-quality table from raw tickets with parsed dates ``q``."""
-    iss = dq_issues(q, cfg)
-    if persist:
-        iss = materialize(iss, "dq-issues")
-    return data_quality_issues(q, cfg, issues=iss)
+                          rejects: Observation | None = None) -> dict[str, DataFrame]:
+    """Every data-quality table from raw tickets with parsed dates ``q``. One
+    scan of ``q`` writes the issues' candidates and counts the DP tickets; with
+    ``rejects`` (given to :func:`ticketlab.operators.clean.quality_input`
+    as well) it also counts the values that were no date: ``date_rejects``."""
+    tables = data_quality_issues(q, cfg)
+    if rejects is not None:
+        tables["date_rejects"] = date_rejects(q.sparkSession, rejects)
+    return tables
 
 
 # tables that grow with the tickets: written as Parquet, never as one file

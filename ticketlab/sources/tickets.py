@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass, replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
@@ -10,13 +12,63 @@ from .. import constants as K
 from ..functions.columns import na_to_null
 
 
+@dataclass(frozen=True)
+class ColumnMapping:
+    """Which source column feeds which library column.
+
+    ``columns`` are the usual source names. ``aliases`` (source name, library name)
+    are further names for a library column, the first ones preferred; any of them
+    is preferred to the usual name. Of the names that a file has, the most preferred
+    one is taken, its nulls included, and the others are dropped (C1). Columns
+    that no name covers are kept as they are.
+    """
+    columns: tuple[tuple[str, str], ...] = tuple(K.SOURCE_COLUMNS.items())
+    aliases: tuple[tuple[str, str], ...] = ()
+
+    @staticmethod
+    def parse(pairs) -> "ColumnMapping":
+        """From texts ``source=library``; a source name may hold ``=``, a library name cannot."""
+        aliases = []
+        for text in pairs:
+            source, sep, name = text.rpartition("=")
+            if not sep or not source or not name:
+                raise ValueError(f"column alias must be SOURCE=NAME, not {text!r}")
+            aliases.append((source, name))
+        return ColumnMapping(aliases=tuple(aliases))
+
+    def chosen(self, present) -> dict[str, str]:
+        """Library name by source name, of the columns taken from a file that has ``present``."""
+        present, taken = list(present), {}
+        # a file already in library names is read too; such a name is the least preferred
+        own = [(name, name) for _, name in (*self.aliases, *self.columns)]
+        for source, name in (*self.aliases, *self.columns, *own):
+            if source in present and source not in taken and name not in taken.values():
+                taken[source] = name
+        return taken
+
+    def known(self) -> set[str]:
+        return {s for pair in (*self.aliases, *self.columns) for s in pair}
+
+    def apply(self, df: DataFrame) -> DataFrame:
+        """``df`` in library names, dropped where less preferred; order kept."""
+        taken, known = self.chosen(df.columns), self.known()
+        return df.select(*[F.col(f"`{c}`").alias(taken.get(c, c)) for c in df.columns if c in taken or c not in known])
+
+    def source_columns(self) -> list[str]:
+        """The preferred source name of each library column, in the usual order."""
+        first: dict[str, str] = {}
+        for source, name in (*self.aliases, *self.columns):
+            first.setdefault(name, source)
+        return [first.pop(name) for name in dict.fromkeys(n for _, n in self.columns)] + list(first.values())
+
+
+DEFAULT_MAPPING = ColumnMapping()
+
+
 def rename_source_columns(df: DataFrame, group_alias: str | None = None) -> DataFrame:
     """Source column names -> library names; the column named ``group_alias``, where
-    a file has it, replaces ``Group_Id__c`` (C1). Others are kept as they are."""
-    if group_alias is not None and group_alias in df.columns:
-        df = df.drop("Group_Id__c").withColumnRenamed(group_alias, "Group_Id__c")
-    mapping = {c: K.SOURCE_COLUMNS[c] for c in df.columns if c in K.SOURCE_COLUMNS}
-    return df.withColumnsRenamed(mapping)
+    a file has it, replaces the usual group column (C1). Others are kept as they are."""
+    return ColumnMapping(aliases=((group_alias, "group_id"),) if group_alias else ()).apply(df)
 
 
 def apply_group_alias(raw: DataFrame, alias_col: str) -> DataFrame:
@@ -28,13 +80,15 @@ def apply_group_alias(raw: DataFrame, alias_col: str) -> DataFrame:
 
 
 def read_tickets(spark: SparkSession, path: str, fmt: str = "csv",
-                 na_tokens=K.NA_TOKENS, group_alias: str | None = None) -> DataFrame:
+                 na_tokens=K.NA_TOKENS, group_alias: str | None = None,
+                 mapping: ColumnMapping = DEFAULT_MAPPING) -> DataFrame:
     """Read a ticket file set as string columns with library names (CSAT and
     age stay numeric where the file has them so).
 
     CSV: header row, quoted fields may hold newlines and doubled quotes, so the
     reader runs in multi-line mode (such files cannot be split; convert them
-    once with :func:`ingest_tickets`). Text a CSV reader treats as missing
+    once with :func:`ingest_tickets`). ``mapping`` names the columns of files with
+    other headers (``group_alias``: one more name for the group column). Text a CSV reader treats as missing
     becomes null. Parquet/JSON: read as they are, other columns cast to string.
     """
     if fmt == "csv":
@@ -44,7 +98,9 @@ def read_tickets(spark: SparkSession, path: str, fmt: str = "csv",
         df = spark.read.format(fmt).load(path)
     else:
         raise ValueError(f"unknown ticket format {fmt!r}")
-    df = rename_source_columns(df, group_alias)
+    if group_alias is not None:
+        mapping = replace(mapping, aliases=((group_alias, "group_id"), *mapping.aliases))
+    df = mapping.apply(df)
     cols = []
     for c in df.columns:
         x = F.col(f"`{c}`")
@@ -56,9 +112,10 @@ def read_tickets(spark: SparkSession, path: str, fmt: str = "csv",
     return df.select(*cols)
 
 
-def ingest_tickets(spark: SparkSession, src: str, dst: str, fmt: str = "csv") -> DataFrame:
-    """Convert a raw ticket file set to Parquet once; later reads split and prune."""
-    read_tickets(spark, src, fmt).write.mode("overwrite").parquet(dst)
+def ingest_tickets(spark: SparkSession, src: str, dst: str, fmt: str = "csv",
+                   mapping: ColumnMapping = DEFAULT_MAPPING) -> DataFrame:
+    """Convert a raw ticket file set to Parquet once (in library names); later reads split and prune."""
+    read_tickets(spark, src, fmt, mapping=mapping).write.mode("overwrite").parquet(dst)
     return spark.read.parquet(dst)
 
 
