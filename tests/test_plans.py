@@ -41,6 +41,23 @@ def test_similarity_join_has_no_cross_product(spark):
     assert pl.count("ArrowEvalPython") == 1
 
 
+def test_similarity_join_moves_little(spark):
+    """Nothing broadcast: at most 12 exchanges (29 were planned before), no window, and no
+    string in the blocking join, which has numbers only."""
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        pl = plan(similar.similar_values(clean.quality_input(catalog.raw(spark, SF)), "rca"))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    lines = pl.split("\n")
+    assert "Window" not in pl and sum(" Exchange " in f" {x.strip(' :+-')}" for x in lines) <= 12
+    block = next(i for i, x in enumerate(lines) if "SortMergeJoin [tok" in x)
+    depth = len(lines[block]) - len(lines[block].lstrip(" :+-"))
+    below = [x for x in lines[block + 1:] if len(x) - len(x.lstrip(" :+-")) > depth]
+    assert not any("Exchange hashpartitioning(tok" in x and " s#" in x for x in below)
+
+
 def test_topk_is_take_ordered(spark):
     t = catalog.filtered(spark, SF)
     assert "TakeOrderedAndProject" in plan(metrics.top_accounts_labeled(t))

@@ -185,3 +185,30 @@ def test_approximate_overview(f):
     assert approx.asDict() | {"product_areas": 0} == exact.asDict() | {"product_areas": 0}
     empty = metrics.overview_kpis(f.limit(0), approx=True).first()
     assert tuple(empty) == tuple(metrics.overview_kpis(f.limit(0)).first())
+
+
+def test_similar_values_of_unusual_texts(spark):
+    """Characters beyond 16 bits, letter cases, repeated characters, short and long values."""
+    rnd = random.Random(11)
+    base = ["😀😀 crash on start", "aaaaaaaaaaaaaaaa", "abab" * 12, "İstanbul office", "x", "xy", "", "ﬁne print of the label", "naïve résumé 𝒳𝒴"]
+    vals = set(base)
+    for v in base * 12:
+        chars = list(v)
+        for _ in range(rnd.randrange(1, 4)):
+            if chars:
+                i = rnd.randrange(len(chars))
+                chars[i: i + rnd.randrange(2)] = rnd.choice(["", "😀", "a", "B", "é"])
+        vals.add("".join(chars))
+        vals.add("".join(chars).upper())
+    df = spark.createDataFrame([(v,) for v in vals] * 2 + [(None,)], "rca string")
+    lowered = {r.v: r.l for r in df.where("rca is not null").selectExpr("rca as v", "lower(rca) as l").collect()}
+    want = set()
+    for a in vals:
+        for b in vals:
+            if a < b:
+                x, y = sorted((lowered[a], lowered[b]))
+                ratio = difflib.SequenceMatcher(None, x, y).ratio()
+                if 0.8 < ratio < 1.0:
+                    want.add((a, b, round(ratio, 9)))
+    got = {(r.value, r.similar_value, round(r.ratio, 9)) for r in similar.similar_values(df, "rca").collect()}
+    assert got == want and len(want) > 300

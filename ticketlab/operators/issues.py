@@ -205,27 +205,98 @@ COLUMNS_FOR = {
 }
 
 
+def _symbols(pattern: str) -> list[str] | None:
+    """A term as letters and digits, one by one, and optional white space between
+    words; None for a pattern that is more than that."""
+    words = pattern.split(r"\s*")
+    if not all(w.isascii() and w.isalnum() for w in words):
+        return None
+    out: list[str] = []
+    for i, w in enumerate(words):
+        out += ([r"\s*"] if i else []) + list(w.lower())
+    return out
+
+
+def trie_pattern(terms=K.DATA_QUALITY_TERMS) -> str | None:
+    """One pattern that finds, at each place where a term starts, the longest of
+    the terms that do, looking ahead so that no hit hides another one.
+
+    The terms are the paths of a trie: a node tries its branches before it
+    ends. The longest hit starts with every other term that matches there, and
+    a term's hits never overlap each other, so counting hits by what they start
+    with equals counting each term by itself. None where that is not certain: a
+    term of more than words with optional space between, two terms that only differ
+    in where that space may be, or one whose end is its own beginning.
+    """
+    paths = [_symbols(t) for t in terms]
+    if not paths or any(p is None for p in paths):
+        return None
+    letters = ["".join(c for c in p if c != r"\s*") for p in paths]
+    for a, word in zip(paths, letters):
+        if any(word.startswith(word[i:]) for i in range(1, len(word))):
+            return None
+        for b, other in zip(paths, letters):
+            if other.startswith(word) and b[: len(a)] != a:
+                return None
+    root: dict = {}
+    for p in paths:
+        node = root
+        for c in p:
+            node = node.setdefault(c, {})
+        node[""] = {}
+
+    def written(node: dict) -> str:
+        branches = [c + written(child) for c, child in node.items() if c]
+        if not branches:
+            return ""
+        ends = "" in node
+        if len(branches) == 1 and not ends:
+            return branches[0]
+        return "(?:" + "|".join(branches) + ")" + ("?" if ends else "")
+    return "(?iu)(?=(" + K.portable_regex(written(root)) + "))"
+
+
+def _distinct_terms(cfg: IssueConfig) -> list[tuple[str, str]]:
+    """(name, pattern) of each term, by name, the first pattern of a name."""
+    seen: dict[str, str] = {}
+    for p in cfg.terms:
+        seen.setdefault(K.term_name(p), p)
+    return list(seen.items())
+
+
+def _issue_text(issues: DataFrame, cfg: IssueConfig) -> Column:
+    return F.concat_ws(" ", *[F.coalesce(F.col(f).cast("string"), F.lit("")) for f in _issue_fields(issues, cfg)])
+
+
+def term_counts_by_pattern(issues: DataFrame, cfg: IssueConfig = IssueConfig()) -> DataFrame:
+    """D16 for any patterns: one aggregation with one regex count per term, then an unpivot."""
+    terms = _distinct_terms(cfg)
+    t = issues.select(_issue_text(issues, cfg).alias("_text"))
+    a = t.agg(*[F.sum(F.regexp_count(F.col("_text"), F.lit("(?iu)" + K.portable_regex(p)))).alias(f"_t{i}")
+                for i, (_, p) in enumerate(terms)])
+    rows = F.array(*[F.struct(F.lit(name).alias("term"), F.col(f"_t{i}").cast("long").alias("term_count")) for i, (name, _) in enumerate(terms)])
+    return a.select(F.inline(rows))
+
+
+def term_counts(issues: DataFrame, pattern: str, cfg: IssueConfig = IssueConfig()) -> DataFrame:
+    """D16 by :func:`trie_pattern`: the text is searched once, equal hits are added up
+    where they are found, and each of the few distinct hits is then told which
+    terms it starts with."""
+    space = K.portable_regex(r"\s") + "+"
+    hits = (issues.select(F.explode(F.regexp_extract_all(_issue_text(issues, cfg), F.lit(pattern), F.lit(1))).alias("hit"))
+            .groupBy(F.regexp_replace("hit", space, " ").alias("hit")).agg(F.count(F.lit(1)).alias("n")))
+    implied = [F.when(F.col("hit").rlike("(?iu)^(?:" + K.portable_regex(p) + ")"), F.lit(name)) for name, p in _distinct_terms(cfg)]
+    return (hits.select(F.explode(F.array_compact(F.array(*implied))).alias("term"), "n")
+            .groupBy("term").agg(F.sum("n").alias("term_count")))
+
+
 def dq_terms(issues: DataFrame, cfg: IssueConfig = IssueConfig()) -> DataFrame:
     """Occurrences of each term in the issue texts (terms may overlap);
-    zero counts left out. One aggregation with one count per term, then an
-    unpivot; the text is never exploded."""
-    fields = _issue_fields(issues, cfg)
-    text = F.concat_ws(" ", *[F.coalesce(F.col(f).cast("string"), F.lit("")) for f in fields])
-    terms = []
-    seen = set()
-    for p in cfg.terms:
-        name = K.term_name(p)
-        if name not in seen:
-            seen.add(name)
-            terms.append((name, p))
-    t = issues.select(text.alias("_text"))
-    aggs = [F.sum(F.regexp_count(F.col("_text"), F.lit("(?iu)" + K.portable_regex(p)))).alias(f"_t{i}")
-            for i, (_, p) in enumerate(terms)]
-    a = t.agg(*aggs)
-    stack = ", ".join(f"'{name}', _t{i}" for i, (name, _) in enumerate(terms))
-    return (a.selectExpr(f"stack({len(terms)}, {stack}) as (term, term_count)")
-            .select("term", F.col("term_count").cast("long").alias("term_count"))
-            .filter(F.col("term_count") > 0).orderBy(F.desc("term_count"), F.asc("term")))
+    zero counts left out. One search of the text for all terms where their form
+    allows it (the built-in ones do), else one count per term."""
+    pattern = trie_pattern(cfg.terms)
+    counts = term_counts_by_pattern(issues, cfg) if pattern is None else term_counts(issues, pattern, cfg)
+    return counts.filter(F.col("term_count") > 0).orderBy(F.desc("term_count"), F.asc("term"))
 
 
 def data_quality_issues(df: DataFrame, cfg: IssueConfig = IssueConfig(),

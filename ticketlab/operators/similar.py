@@ -12,6 +12,12 @@ an equi-join on shared bigrams, which loses no accepted pair:
   bigrams in one global order (rarest first), two such strings share a bigram
   among their first l - max(1, floor(l/3)) ("prefix filter").
 
+Tokens are made inside the row: a string's bigrams (and characters), each with its
+number among equal ones, as sorted arrays of hashes. Rarest-first needs no dictionary
+join: a token's rank comes from the frequency of its hash bucket, a table of a
+fixed size that reaches every task. Two tokens that share a hash or bucket can only
+look more alike, so no pair is lost by that; the ratio decides.
+
 Only candidate pairs reach the Python ratio (Arrow batches, stdlib difflib, the
 exact function the original uses); everything else is Spark expressions.
 """
@@ -23,7 +29,7 @@ import math
 from fractions import Fraction
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import DoubleType
@@ -51,25 +57,29 @@ def sequence_ratio(a: pd.Series, b: pd.Series, t: pd.Series) -> pd.Series:
 _RATIO = sequence_ratio.asNondeterministic()
 
 
-def _bigram_tokens(strings: DataFrame) -> DataFrame:
-    """(s, token) with token = bigram + occurrence number within s."""
-    l = F.length("s")
-    grams = strings.select(
-        "s", F.posexplode(F.transform(F.sequence(F.lit(1), l - 1), lambda i: F.substring("s", i, 2)))
-        .alias("pos", "bg"))
-    w = Window.partitionBy("s", "bg").orderBy("pos")
-    return grams.withColumn("occ", F.row_number().over(w)).select(
-        "s", F.concat(F.col("bg"), F.lit("\u0000"), F.col("occ").cast("string")).alias("tok"))
+# Hash buckets whose frequencies order the tokens (a row of 65,536 numbers).
+BUCKETS = 1 << 16
+
+
+CHARS = "regexp_extract_all(s, '(?s).', 0)"
+BIGRAMS = f"transform(array({CHARS}), c -> transform(slice(c, 1, size(c) - 1), (x, i) -> concat(x, c[i + 1])))[0]"
+
+
+def _tokens(found: str) -> Column:
+    """Hashes of the elements of an array, each with its number among equal ones: the
+    array is sorted, so that number is its place less the first equal one's. Bound
+    once by the outer transform, or each element would sort it anew."""
+    return F.expr(f"transform(array(sort_array({found})), g -> transform(g, (x, i) -> hash(x, i - array_position(g, x))))[0]")
 
 
-def _char_tokens(strings: DataFrame) -> DataFrame:
-    """(s, token) with token = character + occurrence number within s."""
-    chars = strings.select(
-        "s", F.posexplode(F.transform(F.sequence(F.lit(1), F.length("s")), lambda i: F.substring("s", i, 1)))
-        .alias("pos", "ch"))
-    w = Window.partitionBy("s", "ch").orderBy("pos")
-    return chars.withColumn("occ", F.row_number().over(w)).select(
-        "s", F.concat(F.col("ch"), F.lit("\u0000"), F.col("occ").cast("string")).alias("ctok"))
+def _bucket_ranks(strings: DataFrame) -> Column:
+    """One array: the rank of each bucket, the rarest first (ties: bucket number)."""
+    used = strings.select(F.explode("tk").alias("t")).select(F.col("t").bitwiseAND(BUCKETS - 1).alias("b"), F.lit(1).alias("n"))
+    every = strings.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("b"), F.lit(0).alias("n"))
+    counts = used.unionByName(every).groupBy("b").agg(F.sum("n").alias("n"))
+    ranks = counts.agg(F.sort_array(F.collect_list(F.struct("n", "b"))).alias("o")).selectExpr(
+        "transform(array_sort(transform(o, (e, i) -> struct(e.b as b, i as i))), e -> cast(e.i as bigint)) as ranks")
+    return materialize(ranks, "similar-ranks").scalar()
 
 
 def _fraction(threshold: float) -> tuple[int, int]:
@@ -102,29 +112,26 @@ def similar_pairs(values: DataFrame, threshold: float = K.SIMILARITY_THRESHOLD,
     """
     p, q = _fraction(threshold)
     a_num, a_den = 3 * p - 2 * q, 2 * q - p
-    s = values.select("s").filter(F.length("s") >= 3).distinct()
-    # the token table feeds four branches of the plan: written once (it grows
-    # with the distinct strings, not with the tickets)
-    toks = materialize(_bigram_tokens(s), "similar-tokens")
-    freq = toks.groupBy("tok").agg(F.count(F.lit(1)).alias("f"))
-    ranked = toks.join(freq, "tok")
-    w = Window.partitionBy("s").orderBy("f", "tok")
-    ranked = ranked.withColumn("r", F.row_number().over(w)).withColumn("l", F.length("s"))
-    need = F.greatest(F.lit(1), F.floor(F.col("l") * a_num / a_den).cast("long"))
-    prefix = ranked.filter(F.col("r") <= F.col("l") - need)
+    # one row a distinct string, read by the steps below: written once
+    strings = materialize(values.select("s").filter(F.length("s") >= 3).distinct().select(
+        F.monotonically_increasing_id().alias("id"), "s", F.length("s").alias("l"),
+        _tokens(BIGRAMS).alias("tk"), _tokens(CHARS).alias("ck")), "similar-strings")
+    # a string's tokens as integers, rarest first
+    ordered = strings.select("id", "l", "tk", _bucket_ranks(strings).alias("ranks")).withColumn("t", F.expr(
+        f"sort_array(transform(tk, t -> shiftleft(ranks[t & {BUCKETS - 1}], 16) + shiftrightunsigned(t, 16)))"))
+    need = F.greatest(F.lit(1), F.floor(F.col("l") * a_num / a_den).cast("int"))
     # Length band: an accepted pair has hi/lo < (2q - p)/p, so with bands
     # k = floor(log_base(l)) its two bands differ by at most one. The blocking
     # key is (token, band) and one side is also filed under the band below its
     # own: a hot bigram is split by length and only pairs whose lengths can
     # still match are compared (no pair is lost, each orientation is met once).
     band = F.floor(F.log(F.col("l").cast("double")) / math.log((2 * q - p) / p)).cast("int")
-    prefix = prefix.withColumn("k", band)
-    # rem = this token and the ones after it in the string's order
-    a = prefix.select(F.col("tok"), F.col("k"), F.col("s").alias("x"), F.col("l").alias("lx"),
-                      (F.col("l") - F.col("r")).alias("rx"))
-    b = prefix.select(F.col("tok"), F.explode(F.array(F.col("k"), F.col("k") - 1)).alias("k"),
-                      F.col("k").alias("ky"), F.col("s").alias("y"), F.col("l").alias("ly"),
-                      (F.col("l") - F.col("r")).alias("ry"))
+    prefix = ordered.select("id", "l", band.alias("k"), F.posexplode(F.slice("t", F.lit(1), F.col("l") - need)).alias("r", "tok"))
+    # left = this token and the ones after it in the string's order
+    left = F.col("l") - F.col("r") - 1
+    a = prefix.select("tok", "k", F.col("id").alias("x"), F.col("l").alias("lx"), left.alias("rx"))
+    b = prefix.select("tok", F.explode(F.array(F.col("k"), F.col("k") - 1)).alias("k"),
+                      F.col("k").alias("ky"), F.col("id").alias("y"), F.col("l").alias("ly"), left.alias("ry"))
     n = num_partitions or int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     lo, hi = F.least("lx", "ly"), F.greatest("lx", "ly")
     total = F.col("lx") + F.col("ly")
@@ -139,20 +146,18 @@ def similar_pairs(values: DataFrame, threshold: float = K.SIMILARITY_THRESHOLD,
             .filter(one_way & (2 * q * lo > p * (lo + hi))
                     & (2 * q * (ub + 1) > a_num * total))
             .select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), total.alias("T"))
-            .repartition(n, "x", "y").distinct())
-    # each string's own tokens (bigrams and characters, with occurrence
-    # numbers): bounded by its length, not by the data size
-    bag = (toks.groupBy("s").agg(F.collect_set("tok").alias("tk"))
-           .join(_char_tokens(s).groupBy("s").agg(F.collect_set("ctok").alias("ck")), "s"))
-    bx = bag.select(F.col("s").alias("x"), F.col("tk").alias("tx"), F.col("ck").alias("cx"))
-    by = bag.select(F.col("s").alias("y"), F.col("tk").alias("ty"), F.col("ck").alias("cy"))
+            .repartition("x").distinct())   # the partitioning also serves the join below
+    bag = strings.select("id", "s", "tk", "ck")
+    bx = bag.toDF("x", "sx", "tx", "cx")
+    by = bag.toDF("y", "sy", "ty", "cy")
     # common characters bound the matched ones (difflib's quick_ratio): 2*common/T > p/q
     common = F.size(F.array_intersect("cx", "cy"))
     shared = F.size(F.array_intersect("tx", "ty"))
-    kept = (cand.join(bx, "x").join(by, "y")
+    kept = (cand.join(bx, "x")
+            .repartition(n, "y")  # explicit count: AQE keeps the Python work spread out
+            .join(by, "y")
             .filter((2 * q * common > p * F.col("T")) & (2 * q * (shared + 1) > a_num * F.col("T")))
-            .select("x", "y")
-            .repartition(n, "x", "y"))  # explicit count: AQE keeps the Python work spread out
+            .select(F.least("sx", "sy").alias("x"), F.greatest("sx", "sy").alias("y")))
     return (kept.withColumn("ratio", _RATIO("x", "y", F.lit(float(threshold))))
             .filter((F.col("ratio") > threshold) & (F.col("ratio") < 1.0)))
 
@@ -161,8 +166,9 @@ def similar_values(df: DataFrame, field: str, threshold: float = K.SIMILARITY_TH
     """Rows (``value``, ``similar_value``, ``ratio``): two distinct
     spellings whose lower-cased forms have ``threshold < ratio < 1``;
     ``value`` is the smaller spelling (code-point order)."""
-    vals = (df.select(F.col(field).cast("string").alias("v")).filter(F.col("v").isNotNull())
-            .distinct().withColumn("s", F.lower("v")))
+    # distinct spellings, written: the tickets are read once
+    vals = materialize(df.select(F.col(field).cast("string").alias("v")).filter(F.col("v").isNotNull())
+                       .distinct().withColumn("s", F.lower("v")), "similar-values")
     pairs = similar_pairs(vals.select("s"), threshold)
     va = vals.select(F.col("v").alias("va"), F.col("s").alias("x"))
     vb = vals.select(F.col("v").alias("vb"), F.col("s").alias("y"))

@@ -202,6 +202,37 @@ SELECT count_if(regexp_matches(lower(subject), {q(pat)})) AS generic_count,
 FROM qi WHERE subject IS NOT NULL""")
 
 
+def _similar(column: str) -> str:
+    """Pairs of spellings by the matching-block ratio, as a recursion over segments: the
+    longest common part of a segment pair (the earliest in the first text, then in the
+    second) counts, and what lies before and after it in both is matched on.
+    The original's ratio ignores very frequent characters from 200 characters on; the
+    values here are shorter. Only pairs that lengths and common characters allow are taken up."""
+    return w(f"""
+, v AS (SELECT DISTINCT {column} AS v, lower({column}) AS s FROM qi WHERE {column} IS NOT NULL),
+s AS (SELECT s, len(s) AS n, list_sort(string_split(s, '')) AS cs FROM (SELECT DISTINCT s FROM v)),
+ch AS (SELECT s, n, c, count(*) AS k FROM (SELECT s, n, unnest(cs) AS c FROM s) GROUP BY ALL),
+near AS (
+  SELECT a.s AS x, b.s AS y, a.n + b.n AS t FROM ch a JOIN ch b ON a.c = b.c AND a.s < b.s AND 5 * least(a.n, b.n) > 2 * (a.n + b.n)
+  GROUP BY a.s, b.s, a.n, b.n HAVING 5 * sum(least(a.k, b.k)) > 2 * (a.n + b.n)
+),
+seg(x, y, t, a, b, m) AS (
+  SELECT x, y, t, x, y, 0::BIGINT FROM near
+  UNION ALL
+  SELECT x, y, t, CASE WHEN side THEN substr(a, 1, -best.i - 1) ELSE substr(a, best.k - best.i) END,
+    CASE WHEN side THEN substr(b, 1, best.j - 1) ELSE substr(b, best.j + best.k) END, CASE WHEN side THEN best.k ELSE 0 END
+  FROM (
+    SELECT *, list_max(list_filter(flatten(list_transform(range(1, len(a) + 1), lambda i: list_transform(range(1, len(a) - i + 2),
+      lambda k: {{'k': k, 'i': -i, 'j': instr(b, substr(a, i, k))}}))), lambda z: z.j > 0)) AS best
+    FROM seg WHERE a <> '' AND b <> ''
+  ), (VALUES (true), (false)) sides(side)
+  WHERE best IS NOT NULL
+),
+ratios AS (SELECT x, y, 2.0::DOUBLE * sum(m) / t AS ratio FROM seg GROUP BY x, y, t)
+SELECT least(p.v, r.v) AS value, greatest(p.v, r.v) AS similar_value, {r6('ratio')} AS ratio
+FROM ratios JOIN v p ON p.s = x JOIN v r ON r.s = y WHERE ratio > {K.SIMILARITY_THRESHOLD} AND ratio < 1""").replace("WITH ", "WITH RECURSIVE ", 1)
+
+
 RAW_COLS = ("id", "case_number", "account_name", "group_id", "subject", "description", "product_area",
             "product_feature", "pod_name", "created_at", "closed_at", "first_response_at", "case_type",
             "case_owner", "age_days", "is_escalated", "csat", "priority", "status", "rca")
@@ -352,6 +383,8 @@ SELECT value_lower, variation FROM v
 WHERE value_lower IN (SELECT value_lower FROM v GROUP BY value_lower HAVING count(*) > 1)"""),
         "value_counts": w("SELECT product_feature AS value, count(*) AS value_count FROM qi "
                           "WHERE product_feature IS NOT NULL GROUP BY product_feature"),
+        "similar_values": _similar("rca"),
+        "similar_features": _similar("product_feature"),
         "dq_date_rejects": w(" UNION ALL ".join(
             f"SELECT {q(c)} AS field, count_if({c} IS NOT NULL AND {c} NOT IN {sql_list(K.NA_TOKENS)} "
             f"AND {parse_ts(c)} IS NULL) AS rejected FROM raw" for c in ("created_at", "closed_at", "first_response_at"))),
@@ -369,6 +402,10 @@ FROM qi WHERE {_dp_mask()}"""),
                         f"LIMIT {K.SAMPLE_ISSUES}"),
         "dq_terms": _terms(),
     }
+    sql["field_consistency"] = f"""
+SELECT 'case_variations' AS table_name, value_lower || '|' || variation AS key, 1.0::DOUBLE AS value FROM ({sql["case_variations"]})
+UNION ALL SELECT 'value_counts', value, value_count FROM ({sql["value_counts"]})
+UNION ALL SELECT 'similar_values', value || '|' || similar_value, ratio FROM ({sql["similar_features"]})"""
     sql["export_zone_dropped"] = w("SELECT id, case_number, created_at FROM t")
     sql["result_csv"] = sql["priority_distribution"]
     sql["report_set"] = _long_form(sql, REPORT_KEYS)
