@@ -3,8 +3,9 @@
 The filtered tickets without their long text columns are written once to the
 shared checkpoint folder, and so is the base cube (after its shuffle): a lost
 executor re-reads them instead of recomputing. Count tables roll up from the
-cube; duration tables read the narrow copy; word tables read their one text
-column straight from the source plan (column pruning: one column each). The
+cube; duration tables and the words of short columns read the narrow copy (two
+scans for both durations, one for all short columns); the words of the long texts
+are read straight from the source plan (column pruning: one column each). The
 data-quality issues are written once and every quality table reads them.
 """
 
@@ -25,16 +26,21 @@ LONG_TEXT = ("subject", "description")
 
 
 def report_tables(t: DataFrame, persist: bool = True) -> dict[str, DataFrame]:
-    """Every ticket report table, keyed by name, from filtered tickets ``t``."""
+    """Every ticket report table, keyed by name, from filtered tickets ``t``. Runs
+    the jobs that write what several tables share."""
     narrow = t.drop(*LONG_TEXT)
     if persist:
         narrow = materialize(narrow, "filtered-tickets-narrow")
     cube = metrics.ticket_cube(narrow)
     if persist:
         cube = materialize(cube, "ticket-cube")
-    # one row per priority, written for its summary
-    res = materialize(durations.resolution_by_priority(narrow), "resolution", num_files=1)
-    first = materialize(durations.first_response_by_priority(narrow), "first-response", num_files=1) if "first_response_at" in t.columns else None
+    # both durations from two scans; one row a measure and priority, written for the summaries
+    measures = [m for m, end in (("resolution", "closed_at"), ("first_response", "first_response_at")) if end in t.columns]
+    medians = materialize(durations.duration_medians(narrow, measures), "durations")
+    res = durations.of_measure(medians, "resolution")
+    # words of the short columns: one pass, at most the top words of each
+    short = [c for c in WORD_COLUMNS if c not in LONG_TEXT]
+    tagged = materialize(words.word_tables(narrow, short), "short-words")
     out = {
         "overview_kpis": metrics.overview_kpis(cube),
         "top_accounts": metrics.top_accounts_labeled(cube),
@@ -51,10 +57,11 @@ def report_tables(t: DataFrame, persist: bool = True) -> dict[str, DataFrame]:
         "rca_distribution": metrics.rca_distribution(cube),
         "rca_by_priority_top5": metrics.rca_by_priority_top(cube),
     }
-    if first is not None:
+    if "first_response" in measures:
+        first = durations.of_measure(medians, "first_response")
         out |= {"first_response_by_priority": first, "first_response_summary": durations.summarize(first)}
     for c in WORD_COLUMNS:
-        out[f"words_{c}"] = words.word_frequencies(t if c in LONG_TEXT else narrow, c)
+        out[f"words_{c}"] = words.of_column(tagged, c) if c in short else words.word_frequencies(t, c)
     return out
 
 
