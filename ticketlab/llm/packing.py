@@ -197,6 +197,7 @@ def pack(docs: DataFrame, cfg: PackConfig = PackConfig()) -> DataFrame:
     bounded_batches(spark)
     cut = pieces(docs, cfg).withColumn("bar", F.ceil(F.col("length") / cfg.unit).cast("int"))
     cut = cut.withColumn("bar", F.when(F.col("length") < cfg.length, F.col("bar")).otherwise(-1))  # -1: full
+    cut = materialize(cut, "pack-cut")   # ranking reads it twice; texts are tokenised once
     dealt = materialize(ranked(cut, ["bar"], ["doc_id", "start", "ids_crc32"], "rank"), "pack-pieces")
     bars = {r["bar"]: r["n"] for r in dealt.groupBy("bar").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most length / unit + 1 rows
     full = bars.pop(-1, 0)
