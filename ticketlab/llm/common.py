@@ -40,22 +40,33 @@ def label_table(labels: DataFrame, label: str) -> DataFrame:
             .groupBy("doc_id").agg(F.max(label).alias("label")))
 
 
+def smallest_of_each(ids: DataFrame, order, rows: int) -> DataFrame:
+    """Of each label the ``rows`` ids of the smallest hash ``order`` (ties: doc_id). Hashes are
+    first counted in 65,536 ranges a label, so only ids up to the range that reaches
+    ``rows`` are numbered: a label's rows never meet in one task."""
+    ids = ids.withColumn("_h", order).withColumn("_range", F.shiftright("_h", 48))
+    counts = ids.groupBy("label", "_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy("label").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    last = (counts.withColumn("_before", F.coalesce(before, F.lit(0))).where(F.col("_before") < rows)
+            .groupBy("label").agg(F.max("_range").alias("_last")))
+    near = ids.join(materialize(last, "sample-ranges"), "label").where(F.col("_range") <= F.col("_last"))
+    nth = F.row_number().over(Window.partitionBy("label").orderBy("_h", "doc_id"))
+    return near.withColumn("_nth", nth).where(F.col("_nth") <= rows).select("doc_id", "label")
+
+
 def training_sample(docs: DataFrame, ids: DataFrame, rows: int, max_bytes: int, per_label: bool = False) -> DataFrame:
     """doc_id, text, label of a bounded part of the labelled documents ``ids``
     (doc_id, label): at most ``rows`` ids, those of the smallest hash of the id
     (``per_label``: of each label), and of them as many as hold ``max_bytes`` of
     text; ``per_label`` takes them in the order of the bytes that their own label
     has up to them, so labels get equal bytes and one with less keeps all of its
-    texts. It is the same at any partitioning. An id with several texts gives the
-    smallest text."""
+    texts. Texts of over a hundredth of ``max_bytes`` take no part, or one of them
+    could fill the sample. It is the same at any partitioning. An id with several
+    texts gives the smallest text."""
     order = F.xxhash64(F.lit(17), "doc_id")
-    if per_label:
-        nth = F.row_number().over(Window.partitionBy("label").orderBy(order, "doc_id"))
-        ids = ids.withColumn("_nth", nth).where(F.col("_nth") <= rows).drop("_nth")
-    else:
-        ids = ids.orderBy(order, "doc_id").limit(rows)
+    ids = smallest_of_each(ids, order, rows) if per_label else ids.orderBy(order, "doc_id").limit(rows)
     ids = materialize(ids, "sample-ids")  # at most `rows` (of each label), so it may be broadcast
-    texts = (docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").where("text is not null")
+    texts = (docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").where(F.octet_length("text") <= max_bytes // 100)
              .groupBy("doc_id").agg(F.min("text").alias("text"), F.max("label").alias("label")))
     texts = materialize(texts, "sample-texts")
     sizes = texts.select("doc_id", "label", F.octet_length("text").alias("_size"))
