@@ -49,6 +49,45 @@ def test_short_items(spark):
                                        (8, 1, "exact", True), (9, 3, "exact", True)]
 
 
+def test_names_of_other_lengths(spark):
+    """Names of one, two and three words for each other."""
+    item = "A courier rides from Rome to Paris in 3 days and then from Paris to Milan in 2 days while Anna waits at home for news."
+    swap = "A courier rides from New York to San Diego in 5 days and then from San Diego to Las Vegas in 4 days while Mary Jane Smith waits at home for news."
+    clash = swap.replace("then from San Diego", "then from New Orleans")
+    assert run(spark, [(1, f"{FILL}. {swap}"), (2, clash), (3, item)], [(7, item)]) == [
+        (1, 7, "reparameterised", True), (2, 7, "template", False), (3, 7, "exact", True)]
+
+
+def test_names_that_open_sentences(spark):
+    item = "Carol sold 5 pens. Dave sold 7 more pens. Carol gave 2 pens to Dave. How many pens did Dave have?"
+    swap = "Erin sold 6 pens. Frank sold 9 more pens. Erin gave 3 pens to Frank. How many pens did Frank have?"
+    clash = "Erin sold 6 pens. Frank sold 9 more pens. George gave 3 pens to Frank. How many pens did Frank have?"
+    assert run(spark, [(1, f"{FILL}. {swap} {FILL}"), (2, f"{FILL}. {clash}"), (3, item)], [(7, item)]) == [
+        (1, 7, "reparameterised", True), (2, 7, "template", False), (3, 7, "exact", True)]
+
+
+def test_copies_in_small_letters(spark):
+    short = "Carol met Dave in Rome at noon."
+    docs = [(1, f"{FILL}. {ITEM.lower()}"), (2, SWAP.lower()), (3, f"{FILL} {short.lower()}"), (4, ITEM.lower().replace("120", "77"))]
+    got = run(spark, docs, [(7, ITEM), (8, short)])
+    assert (1, 7, "exact", True) in got and (3, 8, "exact", True) in got and (4, 7, "reparameterised", True) in got
+    assert not any(r[0] == 2 and r[2] == "exact" for r in got)     # other names are other words there
+
+
+def test_items_of_little_but_names(spark):
+    item = "Did Mary Jane Smith marry John Paul Jones?"
+    docs = [(1, f"{FILL}. {item} {FILL}"), (2, f"{FILL}. Did Anna Bell marry Carl Dean?"), (3, item.lower())]
+    assert run(spark, docs, [(7, item)]) == [(1, 7, "exact", True), (3, 7, "exact", True)]
+
+
+def test_pipeline_stage_drops_them(spark):
+    item = "Carol sold 5 pens in Rome. Dave sold 7 more pens in Oslo. How many pens did both of them sell in a day?"
+    swap = "Erin sold 6 pens in New York. Frank sold 9 more pens in Las Vegas. How many pens did both of them sell in a day?"
+    docs = spark.createDataFrame([(1, swap), (2, item.lower()), (3, FILL)], "doc_id long, text string")
+    kept = D.decontaminate(docs, spark.createDataFrame([(7, item)], "item_id long, text string"))
+    assert [r.doc_id for r in kept.collect()] == [3]
+
+
 def test_edge_cases(spark):
     docs = [(1, None), (2, ""), (3, "...!!!\n"), (None, f"{FILL} {ITEM}"), (4, ITEM), (4, ITEM), (4, FILL), (5, "one two three four five six seven"),
             (6, "word " * 20_000 + ITEM)]

@@ -1,13 +1,16 @@
 """Benchmark decontamination by canonical templates (DataFrame functions only).
 
 Texts become tokens: numbers, words, sentence breaks. A number turns into
-``#``, a unit right after a number into ``@unit``, a capitalised word inside a
-sentence into ``@name``; other words are lower-cased, breaks are left out. Every
-run of ``window`` canonical tokens of a benchmark item is hashed and joined
-with those of the documents, so an item is found with its numbers, names and
-units exchanged, and whatever its spacing and punctuation.
-
-A match is a run of windows on one diagonal (document place less item place).
+``#``, a unit right after a number into ``@unit``, a run of capitalised words
+('Rome', 'New York') into one ``@name``; other words are lower-cased, breaks are left
+out. A capitalised word that opens a sentence is a name unless it is one of the
+common openers ('The', 'How'). Every run of ``window`` canonical tokens of a
+benchmark item is hashed and joined with those of the documents, so an item is
+found with its numbers, names and units exchanged, and whatever its spacing and
+punctuation. The item is hashed a second time with all its letters lowered, where
+names are words: so copies in small letters are found too.
+
+A match is a run of windows on one diagonal (document place less item place) of one form.
 Its slots (placeholders) are then compared by value:
 
 * ``exact``: every slot holds the item's own value (or there is no slot);
@@ -26,7 +29,7 @@ broadcasts them only below its threshold; beyond, windows are shuffled.
 
 Edge cases: null or empty texts have no tokens and match nothing; an item with
 fewer tokens than ``window`` is matched as one window of its own length, if
-it has at least ``min_tokens``. The first word of an item of one window may stand
+it has at least ``min_tokens`` (a run of names is one). The first word of an item of one window may stand
 after anything in a document ('Q: What'), but has to be the item's own. Items
 of fewer tokens are found only as exact copies (but for case) that stand whole
 between breaks, colons, quotes, brackets or ends of the text: 'Q: Why?' holds
@@ -56,6 +59,21 @@ UNITS = (
     "heure heures jour jours mois ans stunde stunden tag tage jahr jahre hora horas dia dias mes meses"
 ).split()
 
+# ---------------------------------------------------------------------------
+# Words that commonly open a sentence, capitalised or not.
+# ---------------------------------------------------------------------------
+OPENERS = (
+    "the a an this that these those there here it its he she they we you i his her their our my your "
+    "what which who whom whose when where why how if then and or but so for from in on at by to of with as "
+    "after before during while until since once because although each every all some many most both one two "
+    "is are was were do does did can could will would should has have had may let find given suppose consider "
+    "der die das ein eine es er sie wir ihr ich was wer wie wo wann warum wenn dann und oder aber "
+    "im am zu von mit nach vor bei auf aus ist sind war "
+    "le la les un une il elle nous vous je qui que quel quelle comment quand pourquoi si et ou mais dans "
+    "sur avec pour de du des est "
+    "el los las una ella nosotros yo quien cual como cuando donde por con en y o pero si es son"
+).split()
+
 #: A break, a number, a percent sign, or a word.
 TOKEN = r"[.!?\n]|[0-9]+(?:[.,][0-9]+)*|%|\p{L}[\p{L}\p{M}]*"
 
@@ -80,8 +98,8 @@ def _is_number(x: Column) -> Column:
     return (x >= "0") & (x < ":")
 
 
-def canonical(tokens: str) -> Column:
-    """Canonical form of each token of a column of raw tokens; null for breaks."""
+def classes(tokens: str) -> Column:
+    """Canonical form of each token of a column of raw tokens, names one by one; null for breaks."""
     raw = F.col(tokens)
 
     def one(x: Column, i: Column) -> Column:
@@ -92,25 +110,44 @@ def canonical(tokens: str) -> Column:
                 .when(_is_number(x), F.lit("#"))
                 .when(_is_number(before) & ((x == "%") | low.isin(UNITS)), F.lit("@unit"))
                 .when(x == low, x)
-                .when(~_is_break(before) & (F.substring(x, 2, 1 << 30) == F.substring(low, 2, 1 << 30)) & (F.length(x) > 1),
-                      F.lit("@name"))
+                .when((F.substring(x, 2, 1 << 30) == F.substring(low, 2, 1 << 30)) & (F.length(x) > 1)
+                      & ~(_is_break(before) & low.isin(OPENERS)), F.lit("@name"))
                 .otherwise(low))
     return F.transform(raw, one)
 
 
-def _raw(df: DataFrame, keys: list) -> DataFrame:
-    """keys and ``raw``: the tokens of ``text``, as a column of its own, since the
-    lambdas below look at neighbours and would else tokenise again each time."""
-    return df.select(*keys, F.regexp_extract_all(F.col("text"), F.lit(TOKEN), 0).alias("raw"))
+def _follows_name(k: Column, i: Column) -> Column:
+    return (F.get(k, i) == "@name") & F.coalesce(F.get(k, i - 1) == "@name", F.lit(False)) & (i > 0)
+
+
+def _collapsed(k: Column) -> Column:
+    """Classes with a run of names as its first one; null for its others and for breaks."""
+    return F.transform(k, lambda x, i: F.when(~F.coalesce(_follows_name(k, i), F.lit(False)), x))
 
 
-def _canonical_words(df: DataFrame, keys: list, own: bool = False) -> DataFrame:
-    """keys and ``t``: the canonical tokens of ``text`` (``own``: and ``v``, their lower-cased words)."""
-    raw = _raw(df, keys)
-    names = [c for c in raw.columns if c != "raw"]
-    words = F.filter("raw", lambda x: ~_is_break(x))
-    return raw.select(*names, F.filter(canonical("raw"), lambda t: t.isNotNull()).alias("t"),
-                      *([F.transform(words, lambda x: F.lower(x)).alias("v")] if own else []))
+def _run_length(k: Column, i: Column) -> Column:
+    """Words of the run of names that starts at place ``i`` of the classes; 1 for other tokens."""
+    others = F.transform(F.slice(k, i + 1, F.size(k)), lambda x: F.coalesce(x != "@name", F.lit(True)))
+    to = F.array_position(others, True).cast("int")
+    return F.when(F.get(k, i) == "@name", F.when(to > 0, to - 1).otherwise(F.size(others))).otherwise(1)
+
+
+def _raw(df: DataFrame, keys: list, text: Column | None = None) -> DataFrame:
+    """keys, ``raw`` (the tokens of ``text``) and ``k`` (their classes), as columns of their
+    own, since the lambdas below look at neighbours and would else tokenise again each time."""
+    text = F.col("text") if text is None else text
+    return df.select(*keys, F.regexp_extract_all(text, F.lit(TOKEN), 0).alias("raw")).select("*", classes("raw").alias("k"))
+
+
+def _canonical_words(df: DataFrame, keys: list, own: bool = False, text: Column | None = None) -> DataFrame:
+    """keys and ``t``: the canonical tokens of ``text`` (``own``: and ``v``, the lower-cased word
+    of each, of a run of names the last)."""
+    raw = _raw(df, keys, text)
+    names = [c for c in raw.columns if c not in ("raw", "k")]
+    k = F.col("k")
+    out = raw.select(*names, "raw", "k", _collapsed(k).alias("c"))
+    words = F.filter(F.transform("c", lambda x, i: F.when(x.isNotNull(), F.lower(F.get(F.col("raw"), i + _run_length(k, i) - 1)))), lambda w: w.isNotNull())
+    return out.select(*names, F.filter("c", lambda t: t.isNotNull()).alias("t"), *([words.alias("v")] if own else []))
 
 
 def _solid(tokens: Column) -> Column:
@@ -150,11 +187,13 @@ def _sequences(df: DataFrame, keys: list) -> DataFrame:
 def short_matches(docs: DataFrame, benchmark: DataFrame, cfg: DecontamConfig) -> DataFrame | None:
     """Rows of ``matches`` for the items of fewer than ``min_tokens`` tokens;
     None if there are none."""
-    items = (_sequences(benchmark.where("text is not null"), ["item_id", "text"])
-             .where((F.size("s") > 0) & (F.size("s") < cfg.min_tokens))
+    tokens = _canonical_words(benchmark.where("text is not null"), ["item_id", "text"])
+    few = tokens.where(F.size("t") < cfg.min_tokens).select("item_id", "text")
+    items = (_sequences(few, ["item_id", "text"])
+             .where(F.size("s") > 0)
              .select("item_id", "text", F.size("s").alias("n"), F.xxhash64(F.transform("s", lambda p: p["v"]), F.size("s")).alias("h")))
     items = materialize(items.distinct(), "decontam-short")
-    lengths = sorted(r[0] for r in items.select("n").distinct().collect())  # fewer than cfg.min_tokens numbers
+    lengths = sorted(r[0] for r in items.select("n").distinct().collect())  # below cfg.min_tokens, or of items that are little but names
     if not lengths:
         return None
     slots = _slots(items, ["item_id", "h"]).groupBy("item_id", "h").agg(F.countDistinct("kind", "value").alias("slots"))
@@ -174,25 +213,34 @@ def short_matches(docs: DataFrame, benchmark: DataFrame, cfg: DecontamConfig) ->
                     F.lit(1.0).alias("share"), "place", "slots", F.lit(True).alias("contaminated")))
 
 
-def _slots(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Placeholders of each text: keys, place among the canonical tokens, kind, value."""
-    both = F.filter(F.arrays_zip(canonical("raw").alias("c"), F.col("raw").alias("v")), lambda p: p["c"].isNotNull())
-    return (_raw(df, keys).select(*keys, F.posexplode(both).alias("place", "t"))
-            .where(F.col("t.c").isin("#", "@unit", "@name"))
-            .select(*keys, "place", F.col("t.c").alias("kind"), F.lower("t.v").alias("value")))
+def _slots(df: DataFrame, keys: list[str], text: Column | None = None) -> DataFrame:
+    """Placeholders of each text: keys, place among the canonical tokens, kind, value (all words of a run of names)."""
+    k = F.col("k")
+    both = F.filter(F.transform(_collapsed(k), lambda c, i: F.struct(c.alias("c"), i.alias("i"))), lambda p: p["c"].isNotNull())
+    found = _raw(df, keys, text).select(*keys, "raw", "k", F.posexplode(both).alias("place", "t")).where(F.col("t.c").isin("#", "@unit", "@name"))
+    words = F.slice(F.col("raw"), F.col("t.i") + 1, _run_length(k, F.col("t.i")))
+    return found.select(*keys, "place", F.col("t.c").alias("kind"), F.lower(F.array_join(words, " ")).alias("value"))
+
+
+#: The forms of an item: as written, and with all letters lowered.
+FORMS = ((0, None), (1, F.lower))
 
 
 def benchmark_windows(benchmark: DataFrame, cfg: DecontamConfig) -> DataFrame:
-    """item_id, place, h, width, single (the item's only window); written, so its size is known."""
-    items = (_canonical_words(benchmark.where("text is not null"), ["item_id"])
-             .where(F.size("t") >= cfg.min_tokens).withColumn("width", F.least(F.lit(cfg.window), F.size("t")))
+    """item_id, form, place, h, width, single (the item's only window); written, so its size is known."""
+    some = benchmark.where("text is not null")
+    items = None
+    for form, change in FORMS:
+        one = _canonical_words(some, ["item_id"], text=None if change is None else change("text")).withColumn("form", F.lit(form))
+        items = one if items is None else items.unionByName(one)
+    items = (items.where(F.size("t") >= cfg.min_tokens).withColumn("width", F.least(F.lit(cfg.window), F.size("t")))
              .withColumn("single", F.size("t") == F.col("width")))
-    runs = items.select("item_id", "width", "single", F.posexplode(F.transform(
+    runs = items.select("item_id", "form", "width", "single", F.posexplode(F.transform(
         F.sequence(F.lit(1), F.size("t") - F.col("width") + 1), lambda i: F.slice("t", i, F.col("width")))).alias("place", "run"))
-    runs = runs.select("item_id", "width", "single", "place", F.xxhash64("run", "width").alias("h"), _solid(F.col("run")).alias("solid"))
-    any_solid = runs.groupBy("item_id").agg(F.max("solid").alias("any_solid"))
-    used = (runs.alias("r").join(any_solid.alias("a"), F.col("r.item_id").eqNullSafe(F.col("a.item_id")))
-            .where("solid or not any_solid").select("r.item_id", "place", "h", "width", "single"))
+    runs = runs.select("item_id", "form", "width", "single", "place", F.xxhash64("run", "width").alias("h"), _solid(F.col("run")).alias("solid"))
+    any_solid = runs.groupBy("item_id", "form").agg(F.max("solid").alias("any_solid"))
+    used = (runs.alias("r").join(any_solid.alias("a"), F.col("r.item_id").eqNullSafe(F.col("a.item_id")) & (F.col("r.form") == F.col("a.form")))
+            .where("solid or not any_solid").select("r.item_id", "r.form", "place", "h", "width", "single"))
     return materialize(used.distinct(), "decontam-windows")
 
 
@@ -202,41 +250,45 @@ def matches(docs: DataFrame, benchmark: DataFrame, cfg: DecontamConfig = Deconta
     (of the item's windows), place (first canonical token in the document),
     slots, contaminated."""
     bench = benchmark_windows(benchmark, cfg)
-    totals = bench.groupBy("item_id").agg(F.countDistinct("place").alias("item_windows"))
+    totals = bench.groupBy("item_id", "form").agg(F.countDistinct("place").alias("item_windows"))
     widths = bench.groupBy("width").agg(F.max("single")).collect()  # at most cfg.window - min_tokens + 1 rows
     texts = _canonical_words(docs, ["doc_id", F.xxhash64("text").alias("text_hash")], any(single for _, single in widths))
     hits = None
     for width, single in sorted(widths):
         w = (texts.select("doc_id", "text_hash", F.posexplode(_windows("t", F.lit(width))).alias("at", "h"))
-             .join(bench.where(F.col("width") == width).select("item_id", "place", "h"), "h"))
+             .join(bench.where(F.col("width") == width).select("item_id", "form", "place", "h"), "h"))
         if single:
             w = w.unionByName(texts.select("doc_id", "text_hash", F.posexplode(_opened_windows("t", "v", F.lit(width))).alias("at", "h"))
-                              .join(bench.where((F.col("width") == width) & F.col("single")).select("item_id", "place", "h"), "h"))
-        w = w.select("doc_id", "text_hash", "item_id", "at", "place", F.lit(width).alias("width"))
+                              .join(bench.where((F.col("width") == width) & F.col("single")).select("item_id", "form", "place", "h"), "h"))
+        w = w.select("doc_id", "text_hash", "item_id", "form", "at", "place", F.lit(width).alias("width"))
         hits = w if hits is None else hits.unionByName(w)
     if hits is None:
-        hits = docs.sparkSession.createDataFrame([], "doc_id bigint, text_hash bigint, item_id bigint, at int, place int, width int")
+        hits = docs.sparkSession.createDataFrame([], "doc_id bigint, text_hash bigint, item_id bigint, form int, at int, place int, width int")
     hits = materialize(hits, "decontam-hits")
 
     # a diagonal's windows; judged are those long enough, and the best of each document and item
     pair = ["doc_id", "text_hash", "item_id"]
-    lines = (hits.groupBy(*pair, (F.col("at") - F.col("place")).alias("shift"))
+    lines = (hits.groupBy(*pair, "form", (F.col("at") - F.col("place")).alias("shift"))
              .agg(F.countDistinct("place").alias("n_windows"), F.min("at").alias("first")))
-    lines = materialize(lines.alias("l").join(totals.alias("t"), F.col("l.item_id").eqNullSafe(F.col("t.item_id")))
+    lines = materialize(lines.alias("l").join(totals.alias("t"), F.col("l.item_id").eqNullSafe(F.col("t.item_id")) & (F.col("l.form") == F.col("t.form")))
                         .select("l.*", (F.col("n_windows") / F.col("item_windows")).alias("share")), "decontam-lines")
-    rank = [F.col("n_windows"), (-F.col("first")).alias("minus_first"), F.col("shift")]
+    rank = [F.col("n_windows"), (-F.col("first")).alias("minus_first"), (-F.col("form")).alias("minus_form"), F.col("shift")]
     long_enough = (F.col("share") >= cfg.min_share) | (F.col("n_windows") >= cfg.min_windows)
-    best = lines.groupBy(*pair).agg(F.max(F.struct(*rank, "share", "first")).alias("b")).select(*pair, "b.shift", "b.n_windows", "b.first", "b.share")
-    best = materialize(best.unionByName(lines.where(long_enough)).distinct(), "decontam-best")
+    best = lines.groupBy(*pair).agg(F.max(F.struct(*rank, "share", "first", "form")).alias("b")).select(*pair, "b.form", "b.shift", "b.n_windows", "b.first", "b.share")
+    best = materialize(best.unionByName(lines.where(long_enough).select(best.columns)).distinct(), "decontam-best")
 
     # slots of the matched stretch, on both sides
     covered = hits.withColumn("shift", F.col("at") - F.col("place"))
-    on = [F.col(f"h.{c}").eqNullSafe(F.col(f"b.{c}")) for c in ("doc_id", "text_hash", "item_id", "shift")]
-    stretch = (covered.alias("h").join(best.alias("b"), on[0] & on[1] & on[2] & on[3], "left_semi")
-               .select("doc_id", "text_hash", "item_id", "shift", F.explode(F.sequence(F.col("place"), F.col("place") + F.col("width") - 1)).alias("place")).distinct())
-    item_slots = materialize(_slots(benchmark, ["item_id"]), "decontam-item-slots")
-    wanted = stretch.alias("s").join(item_slots.alias("i"), F.col("s.item_id").eqNullSafe(F.col("i.item_id")) & (F.col("s.place") == F.col("i.place"))) \
-        .select("s.doc_id", "s.text_hash", "s.item_id", "s.shift", (F.col("s.place") + F.col("s.shift")).alias("at"), F.col("i.kind").alias("kind"), F.col("i.value").alias("item_value"))
+    on = [F.col(f"h.{c}").eqNullSafe(F.col(f"b.{c}")) for c in ("doc_id", "text_hash", "item_id", "form", "shift")]
+    stretch = (covered.alias("h").join(best.alias("b"), on[0] & on[1] & on[2] & on[3] & on[4], "left_semi")
+               .select("doc_id", "text_hash", "item_id", "form", "shift", F.explode(F.sequence(F.col("place"), F.col("place") + F.col("width") - 1)).alias("place")).distinct())
+    item_slots = None
+    for form, change in FORMS:
+        one = _slots(benchmark, ["item_id"], None if change is None else change("text")).withColumn("form", F.lit(form))
+        item_slots = one if item_slots is None else item_slots.unionByName(one)
+    item_slots = materialize(item_slots, "decontam-item-slots")
+    wanted = stretch.alias("s").join(item_slots.alias("i"), F.col("s.item_id").eqNullSafe(F.col("i.item_id")) & (F.col("s.form") == F.col("i.form")) & (F.col("s.place") == F.col("i.place"))) \
+        .select("s.doc_id", "s.text_hash", "s.item_id", "s.form", "s.shift", (F.col("s.place") + F.col("s.shift")).alias("at"), F.col("i.kind").alias("kind"), F.col("i.value").alias("item_value"))
     wanted = materialize(wanted, "decontam-wanted")
     owners = wanted.select("doc_id", "text_hash").distinct()
     d = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).alias("d")
@@ -244,8 +296,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, cfg: DecontamConfig = Deconta
     own_texts = d.join(owners.alias("o"), same_doc("d", "o"), "left_semi")
     doc_slots = _slots(own_texts, ["doc_id", "text_hash"]).distinct()
     values = (wanted.alias("w").join(doc_slots.alias("v"), same_doc("w", "v") & (F.col("w.at") == F.col("v.place")))
-              .select("w.doc_id", "w.text_hash", "w.item_id", "w.shift", "w.kind", "w.item_value", F.col("v.value").alias("doc_value")).distinct())
-    key = [*pair, "shift"]
+              .select("w.doc_id", "w.text_hash", "w.item_id", "w.form", "w.shift", "w.kind", "w.item_value", F.col("v.value").alias("doc_value")).distinct())
+    key = [*pair, "form", "shift"]
     forward = values.groupBy(*key, "kind", "item_value").agg(F.count(F.lit(1)).alias("n"), F.min("doc_value").alias("v"))
     backward = values.groupBy(*key, "kind", "doc_value").agg(F.count(F.lit(1)).alias("n"))
     f = forward.groupBy(*key).agg(F.count(F.lit(1)).alias("slots"), F.max("n").alias("most"),
@@ -254,7 +306,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, cfg: DecontamConfig = Deconta
     slots = both.groupBy(*key).agg(F.max("slots").alias("slots"), F.max("most").alias("most"), F.min("same").alias("same"))
     on = [F.col(f"b.{c}").eqNullSafe(F.col(f"s.{c}")) for c in key]
     kind = (F.when(F.coalesce("s.same", F.lit(True)), "exact").when(F.col("s.most") == 1, "reparameterised").otherwise("template"))
-    judged = (best.alias("b").join(slots.alias("s"), on[0] & on[1] & on[2] & on[3], "left")
+    judged = (best.alias("b").join(slots.alias("s"), on[0] & on[1] & on[2] & on[3] & on[4], "left")
               .select("b.*", kind.alias("kind"), F.coalesce("s.slots", F.lit(0)).alias("slots")))
     leak = ((F.col("kind") != "template") & long_enough).alias("contaminated")
     found = judged.groupBy(*pair).agg(F.max(F.struct(leak, *rank, "share", "first", "kind", "slots")).alias("f"))
@@ -281,40 +333,49 @@ def op10_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.where("contaminated").select("doc_id", "item_id", "kind", "n_windows", "share", "place", "slots")
 
 
-_CANON = """CASE WHEN x IN ('.', '!', '?', chr(10)) THEN NULL
+_CLASS = """CASE WHEN x IN ('.', '!', '?', chr(10)) THEN NULL
   WHEN x >= '0' AND x < ':' THEN '#'
   WHEN r[i - 1] >= '0' AND r[i - 1] < ':' AND (x = '%' OR lower(x) IN ({units})) THEN '@unit'
   WHEN x = lower(x) THEN x
-  WHEN i > 1 AND r[i - 1] NOT IN ('.', '!', '?', chr(10)) AND substr(x, 2) = substr(lower(x), 2) AND length(x) > 1 THEN '@name'
-  ELSE lower(x) END""".format(units=", ".join(f"'{u}'" for u in UNITS))
+  WHEN substr(x, 2) = substr(lower(x), 2) AND length(x) > 1
+    AND NOT ((i = 1 OR r[i - 1] IN ('.', '!', '?', chr(10))) AND lower(x) IN ({openers})) THEN '@name'
+  ELSE lower(x) END""".format(units=", ".join(f"'{u}'" for u in UNITS), openers=", ".join(f"'{w}'" for w in dict.fromkeys(OPENERS)))
 
-#: The same rows by window texts instead of hashes, for items of eight tokens or more.
+#: The same rows by window texts instead of hashes, every diagonal long enough judged; for tables
+#: without items of fewer than eight tokens. A run of names is joined word by word, from its end.
 ORACLE_SQL = f"""
-WITH texts AS (SELECT 0 AS side, doc_id AS id, text FROM documents WHERE text IS NOT NULL
-               UNION ALL SELECT 1, item_id, text FROM benchmark WHERE text IS NOT NULL),
-raw AS (SELECT side, id, regexp_extract_all(text, '{TOKEN}') AS r FROM texts),
-canon AS (SELECT side, id, list_filter(list_transform(r, lambda x, i: {{'c': {_CANON}, 'v': lower(x)}}), lambda p: p.c IS NOT NULL) AS t FROM raw),
-places AS (SELECT side, id, t, unnest(range(0, len(t) - 7)) AS place FROM canon WHERE len(t) >= 8),
-runs AS (SELECT side, id, place, list_transform(t[place + 1 : place + 8], lambda p: p.c) AS w FROM places),
+WITH texts AS (SELECT 0 AS side, 0 AS form, doc_id AS id, text FROM documents WHERE text IS NOT NULL
+               UNION ALL SELECT 1, 0, item_id, text FROM benchmark WHERE text IS NOT NULL
+               UNION ALL SELECT 1, 1, item_id, lower(text) FROM benchmark WHERE text IS NOT NULL),
+raw AS (SELECT side, form, id, regexp_extract_all(text, '{TOKEN}') AS r FROM texts),
+class AS (SELECT side, form, id, r, list_transform(r, lambda x, i: {_CLASS}) AS k FROM raw),
+canon AS (SELECT side, form, id, list_filter(list_transform(r, lambda x, i: {{'c': CASE WHEN NOT coalesce(k[i] = '@name' AND k[i - 1] = '@name', false) THEN k[i] END,
+    'v': CASE WHEN k[i] = '@name' AND coalesce(k[i + 1] = '@name', false)
+      THEN lower(array_to_string(r[i : i + coalesce(list_position(list_transform(k[i :], lambda y: coalesce(y <> '@name', true)), true), len(k) - i + 2) - 2], ' '))
+      ELSE lower(x) END}}), lambda p: p.c IS NOT NULL) AS t FROM class),
+places AS (SELECT side, form, id, t, unnest(range(0, len(t) - 7)) AS place FROM canon WHERE len(t) >= 8),
+runs AS (SELECT side, form, id, place, list_transform(t[place + 1 : place + 8], lambda p: p.c) AS w FROM places),
 solid AS (SELECT *, len(list_filter(w, lambda c: c IN ('#', '@unit', '@name'))) <= 4 AS ok FROM runs WHERE side = 1),
-bench AS (SELECT DISTINCT id, place, w FROM (SELECT *, bool_or(ok) OVER (PARTITION BY id) AS any_ok FROM solid) WHERE ok OR NOT any_ok),
-totals AS (SELECT id, count(DISTINCT place) AS item_windows FROM bench GROUP BY id),
-hits AS (SELECT d.id AS doc_id, b.id AS item_id, d.place AS pos, b.place AS place FROM runs d JOIN bench b ON d.side = 0 AND d.w = b.w),
-lines AS (SELECT doc_id, item_id, pos - place AS shift, count(DISTINCT place) AS n_windows, min(pos) AS first FROM hits GROUP BY ALL),
-best AS (SELECT * FROM lines QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY n_windows DESC, first, shift DESC) = 1),
-stretch AS (SELECT DISTINCT h.doc_id, h.item_id, b.shift, h.place + o.k AS place FROM hits h JOIN best b ON h.doc_id = b.doc_id AND h.item_id = b.item_id
-            AND h.pos - h.place = b.shift, (SELECT unnest(range(0, 8)) AS k) o),
-slot AS (SELECT DISTINCT s.doc_id, s.item_id, i.t[s.place + 1].c AS kind, i.t[s.place + 1].v AS item_value, d.t[s.place + s.shift + 1].v AS doc_value
-         FROM stretch s JOIN canon i ON i.side = 1 AND i.id = s.item_id JOIN canon d ON d.side = 0 AND d.id = s.doc_id
+bench AS (SELECT DISTINCT id, form, place, w FROM (SELECT *, bool_or(ok) OVER (PARTITION BY id, form) AS any_ok FROM solid) WHERE ok OR NOT any_ok),
+totals AS (SELECT id, form, count(DISTINCT place) AS item_windows FROM bench GROUP BY ALL),
+hits AS (SELECT d.id AS doc_id, b.id AS item_id, b.form, d.place AS pos, b.place AS place FROM runs d JOIN bench b ON d.side = 0 AND d.w = b.w),
+lines AS (SELECT doc_id, item_id, l.form, shift, n_windows, first, n_windows / item_windows AS share FROM (
+    SELECT doc_id, item_id, form, pos - place AS shift, count(DISTINCT place) AS n_windows, min(pos) AS first FROM hits GROUP BY ALL) l
+  JOIN totals t ON t.id = item_id AND t.form = l.form),
+best AS (SELECT * FROM lines WHERE share >= 0.3 OR n_windows >= 6),
+stretch AS (SELECT DISTINCT h.doc_id, h.item_id, h.form, b.shift, h.place + o.k AS place FROM hits h JOIN best b ON h.doc_id = b.doc_id AND h.item_id = b.item_id
+            AND h.form = b.form AND h.pos - h.place = b.shift, (SELECT unnest(range(0, 8)) AS k) o),
+slot AS (SELECT DISTINCT s.doc_id, s.item_id, s.form, s.shift, i.t[s.place + 1].c AS kind, i.t[s.place + 1].v AS item_value, d.t[s.place + s.shift + 1].v AS doc_value
+         FROM stretch s JOIN canon i ON i.side = 1 AND i.id = s.item_id AND i.form = s.form JOIN canon d ON d.side = 0 AND d.id = s.doc_id
          WHERE i.t[s.place + 1].c IN ('#', '@unit', '@name')),
-forward AS (SELECT doc_id, item_id, kind, item_value, count(*) AS n, min(doc_value) AS v FROM slot GROUP BY ALL),
-backward AS (SELECT doc_id, item_id, kind, doc_value, count(*) AS n FROM slot GROUP BY ALL),
-f AS (SELECT doc_id, item_id, count(*) AS slots, max(n) AS most, bool_and(n = 1 AND v = item_value) AS same FROM forward GROUP BY ALL),
-b AS (SELECT doc_id, item_id, max(n) AS most FROM backward GROUP BY ALL),
-kinds AS (SELECT doc_id, item_id, slots, CASE WHEN same THEN 'exact' WHEN greatest(f.most, b.most) = 1 THEN 'reparameterised' ELSE 'template' END AS kind
-          FROM f JOIN b USING (doc_id, item_id))
-SELECT t.doc_id, t.item_id, coalesce(k.kind, 'exact') AS kind, t.n_windows::BIGINT AS n_windows, t.n_windows / item_windows AS share, t.first::INT AS place,
-       coalesce(k.slots, 0)::BIGINT AS slots
-FROM best t JOIN totals ON totals.id = t.item_id LEFT JOIN kinds k USING (doc_id, item_id)
-WHERE coalesce(k.kind, 'exact') <> 'template' AND (t.n_windows / item_windows >= 0.3 OR t.n_windows >= 6)
+forward AS (SELECT doc_id, item_id, form, shift, kind, item_value, count(*) AS n, min(doc_value) AS v FROM slot GROUP BY ALL),
+backward AS (SELECT doc_id, item_id, form, shift, kind, doc_value, count(*) AS n FROM slot GROUP BY ALL),
+f AS (SELECT doc_id, item_id, form, shift, count(*) AS slots, max(n) AS most, bool_and(n = 1 AND v = item_value) AS same FROM forward GROUP BY ALL),
+b AS (SELECT doc_id, item_id, form, shift, max(n) AS most FROM backward GROUP BY ALL),
+kinds AS (SELECT doc_id, item_id, form, shift, slots, CASE WHEN same THEN 'exact' WHEN greatest(f.most, b.most) = 1 THEN 'reparameterised' ELSE 'template' END AS kind
+          FROM f JOIN b USING (doc_id, item_id, form, shift)),
+judged AS (SELECT t.*, coalesce(k.kind, 'exact') AS kind, coalesce(k.slots, 0) AS slots FROM best t LEFT JOIN kinds k USING (doc_id, item_id, form, shift))
+SELECT doc_id, item_id, kind, n_windows::BIGINT AS n_windows, share, first::INT AS place, slots::BIGINT AS slots
+FROM judged WHERE kind <> 'template'
+QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY n_windows DESC, first, form, shift DESC) = 1
 """
