@@ -42,9 +42,9 @@ def label_table(labels: DataFrame, label: str) -> DataFrame:
 
 def smallest_of_each(ids: DataFrame, order, rows: int) -> DataFrame:
     """Of each label the ``rows`` ids of the smallest hash ``order`` (ties: doc_id). Hashes are
-    first counted in 65,536 ranges a label, so only ids up to the range that reaches
+    first counted in 4,096 ranges a label, so only ids up to the range that reaches
     ``rows`` are numbered: a label's rows never meet in one task."""
-    ids = ids.withColumn("_h", order).withColumn("_range", F.shiftright("_h", 48))
+    ids = ids.withColumn("_h", order).withColumn("_range", F.shiftright("_h", 52))
     counts = ids.groupBy("label", "_range").agg(F.count(F.lit(1)).alias("_n"))
     before = F.sum("_n").over(Window.partitionBy("label").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
     last = (counts.withColumn("_before", F.coalesce(before, F.lit(0))).where(F.col("_before") < rows)
