@@ -91,14 +91,11 @@ SIMILARITY_THRESHOLD = 0.8
 # Word-frequency stop words added for support tickets.
 # ---------------------------------------------------------------------------
 TICKET_STOP_WORDS = (
-    # common words
     "nan", "none", "null", "unspecified", "undefined", "unknown",
-    # support terms
     "ticket", "case", "issue", "problem", "request", "support",
     "customer", "user", "client", "team", "please", "thanks",
     "hello", "hi", "hey", "dear", "greetings", "regards",
     "morning", "afternoon", "evening",
-    # common verbs and prepositions
     "is", "are", "was", "were", "be", "been", "being",
     "have", "has", "had", "do", "does", "did",
     "will", "would", "should", "could", "may", "might",
@@ -106,15 +103,12 @@ TICKET_STOP_WORDS = (
     "need", "needed", "needs", "required", "requiring",
     "facing", "seeing", "looking", "trying", "tried",
     "getting", "got", "received", "receiving",
-    # articles and conjunctions
     "the", "a", "an", "and", "or", "but", "nor", "for",
     "yet", "so", "although", "because", "before", "after",
     "when", "while", "where", "why", "how",
-    # digits and symbols
     "0", "1", "2", "3", "4", "5", "6", "7", "8", "9",
     "@", "#", "$", "%", "&", "*", "(", ")", "-", "_",
     "+", "=", "[", "]", "{", "}", "|", "\\", "/", "<", ">",
-    # time words
     "today", "yesterday", "tomorrow", "week", "month", "year",
     "monday", "tuesday", "wednesday", "thursday", "friday",
     "saturday", "sunday", "jan", "feb", "mar", "apr", "may",

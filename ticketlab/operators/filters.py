@@ -103,7 +103,8 @@ def _ntz(ts: dt.datetime):
 
 
 def filter_tickets(t: DataFrame, f: TicketFilter = TicketFilter()) -> DataFrame:
-    """the compound filter as one predicate plus at most two semi joins."""
+    """the compound filter as one predicate and semi joins. Owner groups run a
+    job while the plan is built (:func:`filter_by_owner_group`)."""
     out = t
     if f.areas is None:
         out = out.filter(F.col("product_area") != K.UNSPECIFIED)
@@ -143,7 +144,7 @@ def filter_by_owner_group(df: DataFrame, t: DataFrame, groups) -> DataFrame:
     """keep tickets whose owner is in the chosen groups (derived from ``t``);
     all tickets if the groups hold no owner.
 
-    The owner list is written first, so the planner knows its size: below the
+    Runs a job while the plan is built: the owner list is written first, so the planner knows its size: below the
     broadcast threshold no ticket is shuffled by owner.
     """
     owners = owner_groups(t).filter(F.col("owner_group").isin(list(groups))).select("case_owner").distinct()
