@@ -125,9 +125,13 @@ def _collapsed(k: Column) -> Column:
     return F.transform(k, lambda x, i: F.when(~F.coalesce(_follows_name(k, i), F.lit(False)), x))
 
 
+#: Words of a run of names that are told apart by value; what follows them in a longer run is not compared.
+RUN = 16
+
+
 def _run_length(k: Column, i: Column) -> Column:
-    """Words of the run of names that starts at place ``i`` of the classes; 1 for other tokens."""
-    others = F.transform(F.slice(k, i + 1, F.size(k)), lambda x: F.coalesce(x != "@name", F.lit(True)))
+    """Words of the run of names that starts at place ``i`` of the classes, at most ``RUN``; 1 for other tokens."""
+    others = F.transform(F.slice(k, i + 1, RUN), lambda x: F.coalesce(x != "@name", F.lit(True)))
     to = F.array_position(others, True).cast("int")
     return F.when(F.get(k, i) == "@name", F.when(to > 0, to - 1).otherwise(F.size(others))).otherwise(1)
 
@@ -184,11 +188,10 @@ def _sequences(df: DataFrame, keys: list) -> DataFrame:
     return raw.select(*names, F.filter(marked, lambda p: ~p["edge"]).alias("s"))
 
 
-def short_matches(docs: DataFrame, benchmark: DataFrame, cfg: DecontamConfig) -> DataFrame | None:
+def short_matches(docs: DataFrame, tokens: DataFrame, cfg: DecontamConfig) -> DataFrame | None:
     """Rows of ``matches`` for the items of fewer than ``min_tokens`` tokens;
     None if there are none."""
-    tokens = _canonical_words(benchmark.where("text is not null"), ["item_id", "text"])
-    few = tokens.where(F.size("t") < cfg.min_tokens).select("item_id", "text")
+    few = tokens.where((F.col("form") == 0) & (F.size("t") < cfg.min_tokens)).select("item_id", "text")
     items = (_sequences(few, ["item_id", "text"])
              .where(F.size("s") > 0)
              .select("item_id", "text", F.size("s").alias("n"), F.xxhash64(F.transform("s", lambda p: p["v"]), F.size("s")).alias("h")))
@@ -214,25 +217,32 @@ def short_matches(docs: DataFrame, benchmark: DataFrame, cfg: DecontamConfig) ->
 
 
 def _slots(df: DataFrame, keys: list[str], text: Column | None = None) -> DataFrame:
-    """Placeholders of each text: keys, place among the canonical tokens, kind, value (all words of a run of names)."""
-    k = F.col("k")
-    both = F.filter(F.transform(_collapsed(k), lambda c, i: F.struct(c.alias("c"), i.alias("i"))), lambda p: p["c"].isNotNull())
-    found = _raw(df, keys, text).select(*keys, "raw", "k", F.posexplode(both).alias("place", "t")).where(F.col("t.c").isin("#", "@unit", "@name"))
-    words = F.slice(F.col("raw"), F.col("t.i") + 1, _run_length(k, F.col("t.i")))
-    return found.select(*keys, "place", F.col("t.c").alias("kind"), F.lower(F.array_join(words, " ")).alias("value"))
+    """Placeholders of each text: keys, place among the canonical tokens, kind, value (of a run of names its words)."""
+    k, raw = F.col("k"), F.col("raw")
+    slot = lambda c, i: F.when(c.isin("#", "@unit", "@name"), F.lower(F.array_join(F.slice(raw, i + 1, _run_length(k, i)), " ")))
+    both = F.filter(F.transform(F.col("c"), lambda c, i: F.struct(c.alias("c"), slot(c, i).alias("v"))), lambda p: p["c"].isNotNull())
+    classed = _raw(df, keys, text).select(*keys, "raw", "k", _collapsed(k).alias("c"))
+    return (classed.select(*keys, F.posexplode(both).alias("place", "t")).where(F.col("t.v").isNotNull())
+            .select(*keys, "place", F.col("t.c").alias("kind"), F.col("t.v").alias("value")))
 
 
 #: The forms of an item: as written, and with all letters lowered.
 FORMS = ((0, None), (1, F.lower))
 
 
-def benchmark_windows(benchmark: DataFrame, cfg: DecontamConfig) -> DataFrame:
-    """item_id, form, place, h, width, single (the item's only window); written, so its size is known."""
-    some = benchmark.where("text is not null")
-    items = None
+def item_tokens(benchmark: DataFrame) -> DataFrame:
+    """item_id, text, form, t (canonical tokens); written, or filters on t would be pushed
+    below the tokens and make them anew for each of their elements."""
+    some, out = benchmark.where("text is not null"), None
     for form, change in FORMS:
-        one = _canonical_words(some, ["item_id"], text=None if change is None else change("text")).withColumn("form", F.lit(form))
-        items = one if items is None else items.unionByName(one)
+        one = _canonical_words(some, ["item_id", "text"], text=None if change is None else change("text")).withColumn("form", F.lit(form))
+        out = one if out is None else out.unionByName(one)
+    return materialize(out, "decontam-items")
+
+
+def benchmark_windows(items: DataFrame, cfg: DecontamConfig) -> DataFrame:
+    """item_id, form, place, h, width, single (the item's only window) of :func:`item_tokens`;
+    written, so its size is known."""
     items = (items.where(F.size("t") >= cfg.min_tokens).withColumn("width", F.least(F.lit(cfg.window), F.size("t")))
              .withColumn("single", F.size("t") == F.col("width")))
     runs = items.select("item_id", "form", "width", "single", F.posexplode(F.transform(
@@ -249,7 +259,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, cfg: DecontamConfig = Deconta
     text_hash, item_id, kind, n_windows (matched on the best diagonal), share
     (of the item's windows), place (first canonical token in the document),
     slots, contaminated."""
-    bench = benchmark_windows(benchmark, cfg)
+    tokens = item_tokens(benchmark)
+    bench = benchmark_windows(tokens, cfg)
     totals = bench.groupBy("item_id", "form").agg(F.countDistinct("place").alias("item_windows"))
     widths = bench.groupBy("width").agg(F.max("single")).collect()  # at most cfg.window - min_tokens + 1 rows
     texts = _canonical_words(docs, ["doc_id", F.xxhash64("text").alias("text_hash")], any(single for _, single in widths))
@@ -311,7 +322,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, cfg: DecontamConfig = Deconta
     leak = ((F.col("kind") != "template") & long_enough).alias("contaminated")
     found = judged.groupBy(*pair).agg(F.max(F.struct(leak, *rank, "share", "first", "kind", "slots")).alias("f"))
     found = found.select(*pair, "f.kind", "f.n_windows", "f.share", F.col("f.first").alias("place"), "f.slots", "f.contaminated")
-    short = short_matches(docs, benchmark, cfg)
+    short = short_matches(docs, tokens, cfg)
     if short is None:
         return found
     # an id with items of several lengths keeps one row
@@ -351,7 +362,8 @@ raw AS (SELECT side, form, id, regexp_extract_all(text, '{TOKEN}') AS r FROM tex
 class AS (SELECT side, form, id, r, list_transform(r, lambda x, i: {_CLASS}) AS k FROM raw),
 canon AS (SELECT side, form, id, list_filter(list_transform(r, lambda x, i: {{'c': CASE WHEN NOT coalesce(k[i] = '@name' AND k[i - 1] = '@name', false) THEN k[i] END,
     'v': CASE WHEN k[i] = '@name' AND coalesce(k[i + 1] = '@name', false)
-      THEN lower(array_to_string(r[i : i + coalesce(list_position(list_transform(k[i :], lambda y: coalesce(y <> '@name', true)), true), len(k) - i + 2) - 2], ' '))
+      THEN lower(array_to_string(r[i : i + coalesce(list_position(list_transform(k[i : i + {RUN - 1}], lambda y: coalesce(y <> '@name', true)), true),
+                                                       least({RUN}, len(k) - i + 1) + 1) - 2], ' '))
       ELSE lower(x) END}}), lambda p: p.c IS NOT NULL) AS t FROM class),
 places AS (SELECT side, form, id, t, unnest(range(0, len(t) - 7)) AS place FROM canon WHERE len(t) >= 8),
 runs AS (SELECT side, form, id, place, list_transform(t[place + 1 : place + 8], lambda p: p.c) AS w FROM places),
