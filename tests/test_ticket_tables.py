@@ -4,6 +4,7 @@ import datetime as dt
 
 import pytest
 
+from ticketlab.plans import catalog
 from ticketlab.sources.tickets import tickets_from_tables
 
 TABLES = {
@@ -57,3 +58,10 @@ def test_orders_side_of_a_join_may_be_broadcast(spark, tmp_path, conf):
 
 def test_no_parts_no_tickets(spark, tmp_path):
     assert tickets_from_tables(spark, write_tables(spark, tmp_path, part=[])).collect() == []
+
+
+def test_scratch_csv_is_compressed(spark, tmp_path):
+    d = write_tables(spark, tmp_path)
+    got = catalog.scan_tickets(spark, d)
+    assert got.inputFiles() and all(f.endswith(".csv.gz") for f in got.inputFiles())
+    assert sorted(map(str, got.collect())) == sorted(map(str, catalog.raw(spark, d).collect()))
