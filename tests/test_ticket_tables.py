@@ -1,10 +1,12 @@
 """The ticket view over tables of its own rows."""
 
 import datetime as dt
+import re
 
 import pytest
 
 from ticketlab.plans import catalog
+from ticketlab.sources import sinks
 from ticketlab.sources.tickets import tickets_from_tables
 
 TABLES = {
@@ -65,3 +67,18 @@ def test_scratch_csv_is_compressed(spark, tmp_path):
     got = catalog.scan_tickets(spark, d)
     assert got.inputFiles() and all(f.endswith(".csv.gz") for f in got.inputFiles())
     assert sorted(map(str, got.collect())) == sorted(map(str, catalog.raw(spark, d).collect()))
+
+
+def test_export_is_compressed_and_its_tasks_are_small(spark, tmp_path, monkeypatch):
+    """Written from a shuffle of which one task would read all."""
+    d, key = write_tables(spark, tmp_path), "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before = spark.conf.get(key)
+    monkeypatch.setattr(sinks, "TASK_BYTES", 4096)
+    t = catalog.filtered(spark, d).repartition("case_number")
+    sinks.write_table(t, f"{tmp_path}/out")
+    files = spark.read.parquet(f"{tmp_path}/out").inputFiles()
+    assert all(f.endswith(".zstd.parquet") for f in files)
+    assert len({re.search(r"part-(\d+)", f).group(1) for f in files}) > 1
+    assert spark.conf.get(key) == before
+    names = sorted(t.columns)
+    assert sorted(map(str, spark.read.parquet(f"{tmp_path}/out").select(names).collect())) == sorted(map(str, t.select(names).collect()))
