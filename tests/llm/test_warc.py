@@ -96,3 +96,14 @@ def test_damage_is_noticed(spark, tmp_path):
     (Path(f"{tmp_path}/a") / f".{f.name}.crc").unlink(missing_ok=True)
     with pytest.raises(Exception, match="damaged"):
         W.read_records(spark, f"{tmp_path}/a").collect()
+
+
+def test_first_task_without_rows_leaves_no_file(spark, tmp_path):
+    """One row of four partitions stands in the last one."""
+    W.write_archive(spark.createDataFrame([(1, "u", "abc" * 1000)], "page_id long, url string, html string"), f"{tmp_path}/a", chunk_bytes=500)
+    files = list(Path(f"{tmp_path}/a").glob("part-*.gz"))
+    assert len(files) == 1 and gzip.decompress(files[0].read_bytes())
+    assert [r.payload_bytes for r in W.read_records(spark, f"{tmp_path}/a").collect()] == [3000]
+    none = spark.createDataFrame([], "page_id long, url string, html string")
+    W.write_archive(none, f"{tmp_path}/none")
+    assert W.read_records(spark, f"{tmp_path}/none").collect() == []

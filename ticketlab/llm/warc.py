@@ -134,6 +134,19 @@ def write_archive(pages: DataFrame, path: str, chunk_bytes: int = CHUNK_BYTES, m
             yield pa.record_batch([pa.array(out, pa.binary()).cast(pa.string())], ["value"])
 
     rows.mapInArrow(cut, "value string").write.option("lineSep", CRLF * 2).option("compression", "gzip").text(path)
+    _drop_empty_first(pages.sparkSession, path)
+
+
+EMPTY_GZIP = 20   # bytes of a gzip file of nothing
+
+
+def _drop_empty_first(spark: SparkSession, path: str) -> None:
+    """Spark writes a file for the first task though it has no rows; it goes where others stand beside it."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    fs = hadoop(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    first = fs.globStatus(hadoop(f"{path}/part-00000-*"))
+    if len(first) == 1 and first[0].getLen() <= EMPTY_GZIP and len(fs.globStatus(hadoop(f"{path}/part-*"))) > 1:
+        fs.delete(first[0].getPath(), False)
 
 
 def read_chunks(spark: SparkSession, path: str) -> DataFrame:
