@@ -84,3 +84,25 @@ def test_export_is_compressed_and_its_tasks_are_small(spark, tmp_path, monkeypat
     assert spark.conf.get(key) == before
     names = sorted(t.columns)
     assert sorted(map(str, spark.read.parquet(f"{tmp_path}/out").select(names).collect())) == sorted(map(str, t.select(names).collect()))
+
+
+def written_plan(spark):
+    """Physical plan of the last execution."""
+    done = spark._jsparkSession.sharedState().statusStore().executionsList()
+    return done.apply(done.size() - 1).physicalPlanDescription()
+
+
+@pytest.mark.parametrize("open_files", [240, 2, 1])
+def test_export_does_not_sort_texts_by_month(spark, tmp_path, monkeypatch, open_files):
+    """Five months; those beyond the open files are written after them. Small row groups."""
+    monkeypatch.setattr(sinks, "OPEN_FILES", open_files)
+    monkeypatch.setattr(sinks, "GROUP_BYTES", 1024)
+    t, key = catalog.filtered(spark, write_tables(spark, tmp_path)), "spark.sql.maxConcurrentOutputFileWriters"
+    before = spark.conf.get(key)
+    sinks.write_table(t, f"{tmp_path}/out")
+    plan = written_plan(spark)
+    assert "WriteFiles" in plan and not re.search(r"Sort \[month", plan) and "Arguments: [month" not in plan
+    assert spark.conf.get(key) == before
+    names, back = sorted(t.columns), spark.read.parquet(f"{tmp_path}/out")
+    assert back.select("month").distinct().count() > 2
+    assert sorted(map(str, back.select(names).collect())) == sorted(map(str, t.select(names).collect()))
